@@ -115,15 +115,32 @@ def versioned_exclusion(
     ``listing`` has one row per (version, value) with the order columns of the version; a
     new version replaces the whole list, and before the first one nothing is excluded.
     An empty version is a row with a null value.
+
+    The versions are turned into switches per value - on where a version has it, off where
+    the next one does not - so the rows are looked at per value and not as one sequence.
     """
     order_by = _list(order_by)
     versions = listing.select(version, *order_by).distinct()
-    timed = asof(rows, versions, (), order_by, lambda row, p: {"_v": p[version]})
-    banned = listing.where(F.col(value).isNotNull()).select(
-        F.col(version).alias("_bv"), F.col(value).alias("_bx")
+    here = F.struct(*order_by)
+    spans = o.ordered(versions.withColumn("_from", here), (), order_by).add(_to=o.lead("_from"))
+    listed = listing.where(F.col(value).isNotNull()).join(
+        spans.df.select(version, "_from", "_to"), version
+    )
+
+    def switch(at: str, on: bool) -> DataFrame:
+        return listed.where(F.col(at).isNotNull()).select(
+            value, *[F.col(at)[c].alias(c) for c in order_by], F.lit(on).alias("_on")
+        )
+
+    # where one version ends and the next has the value again, "on" wins
+    switches = (
+        switch("_from", True)
+        .unionByName(switch("_to", False))
+        .groupBy(value, *order_by)
+        .agg(F.max("_on").alias("_on"))
     )
-    hit = (F.col("_v") == F.col("_bv")) & (F.col(value) == F.col("_bx"))
-    return timed.join(banned, hit, "left_anti").drop("_v")
+    judged = asof(rows, switches, value, order_by, lambda row, s: {"_out": s["_on"]})
+    return judged.where(~F.coalesce(F.col("_out"), F.lit(False))).drop("_out")
 
 
 def enrich(rows: DataFrame, lookup: DataFrame, key: Names) -> DataFrame:

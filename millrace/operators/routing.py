@@ -96,3 +96,11 @@ def least_loaded(loads: DataFrame, target: str, load: str) -> DataFrame:
 def tap(df: DataFrame, name: str, *metrics: Column) -> DataFrame:
     """Observe metrics of the rows that pass, without changing them."""
     return df.observe(name, *metrics)
+
+
+def concat(first: DataFrame, *others: DataFrame, name: str = "part") -> DataFrame:
+    """All rows of the first input before all of the second: the part leads the order."""
+    whole = first.withColumn(name, F.lit(0))
+    for i, df in enumerate(others, start=1):
+        whole = whole.unionByName(df.withColumn(name, F.lit(i)))
+    return whole

@@ -273,9 +273,10 @@ def cache_outcome(
     """
     is_update = F.coalesce(update, F.lit(False)) if update is not None else F.lit(False)
     seq = o.ordered(df, key, order_by).with_columns(_u=is_update).add(_pt=o.lag(ts), _pu=o.lag("_u"))
-    allowed = F.when(
-        F.col("_pu"), F.lit(update_idle_seconds or idle_seconds)
-    ).otherwise(F.lit(idle_seconds)) * MICROS
+    micros = lambda seconds: F.lit(seconds * MICROS).cast("bigint")
+    allowed = F.when(F.col("_pu"), micros(update_idle_seconds or idle_seconds)).otherwise(
+        micros(idle_seconds)
+    )
     kept = epoch_micros(ts) - epoch_micros("_pt") < allowed
     outcome = (
         F.when(F.col("_u"), "update").when(F.coalesce(kept, F.lit(False)), "hit").otherwise("miss")

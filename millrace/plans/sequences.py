@@ -13,10 +13,13 @@ from millrace.plans.common import events, user_events
 from millrace.plans.registry import query
 from millrace.sources.tables import table
 
-N = F.count(F.lit(1)).alias("n")
 PER_USER = "PARTITION BY user_id ORDER BY ts, event_id"
 
 
+def counted():
+    return F.count(F.lit(1)).alias("n")
+
+
 def _sql(body: str) -> str:
     return body.replace("{w}", PER_USER)
 
@@ -109,7 +112,7 @@ def run_groups(spark, sf_dir):
     grouped = sq.runs(user_events(spark, sf_dir, "event_type"), "event_type").df
     return sq.summarise(
         grouped, "user_id", "run_no",
-        F.first("event_type").alias("event_type"), N,
+        F.first("event_type").alias("event_type"), counted(),
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"),
     )
 
@@ -130,7 +133,7 @@ def run_groups(spark, sf_dir):
 def sessions_30m(spark, sf_dir):
     grouped = sq.sessions(user_events(spark, sf_dir, "value"), "ts", 30 * 60).df
     return sq.summarise(
-        grouped, "user_id", "session_no", N,
+        grouped, "user_id", "session_no", counted(),
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"),
         F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"),
     )
@@ -149,7 +152,7 @@ def sessions_30m(spark, sf_dir):
 def global_sessions(spark, sf_dir):
     rows = events(spark, sf_dir).select("ts", "event_id")
     grouped = sq.sessions(o.ordered(rows, (), ["ts", "event_id"]), "ts", 10 * 60).df
-    return grouped.groupBy("session_no").agg(N, F.min("event_id").alias("first_id"))
+    return grouped.groupBy("session_no").agg(counted(), F.min("event_id").alias("first_id"))
 
 
 @query(
@@ -172,7 +175,7 @@ def scenes(spark, sf_dir):
     seq = user_events(spark, sf_dir, "value").with_columns(s=start, e=start + length)
     grouped = sq.scenes(seq, "s", "e", 3_600_000_000).df
     return sq.summarise(
-        grouped, "user_id", "scene_no", N, F.min("s").alias("start_us"), F.max("e").alias("end_us")
+        grouped, "user_id", "scene_no", counted(), F.min("s").alias("start_us"), F.max("e").alias("end_us")
     )
 
 
@@ -189,7 +192,7 @@ def scenes(spark, sf_dir):
 def timed_chunks(spark, sf_dir):
     rows = events(spark, sf_dir).select("user_id", "ts", "event_id")
     cut = sq.timed_chunks(rows, "user_id", ["ts", "event_id"], "ts", 2, "1 day")
-    return cut.groupBy("user_id", "bucket", "chunk_no").agg(N, F.min("event_id").alias("first_id"))
+    return cut.groupBy("user_id", "bucket", "chunk_no").agg(counted(), F.min("event_id").alias("first_id"))
 
 
 @query(
@@ -217,7 +220,7 @@ def chunk_by_marker(spark, sf_dir):
     chunked = sq.marker_chunks(seq, F.col("event_type") == "purchase").df
     placed = o.ordered(chunked, ["user_id", "chunk_no"], ["ts", "event_id"]).add(pos=o.index()).df
     keys = ["user_id", "chunk_no"]
-    heads = placed.groupBy(*keys).agg(F.min_by("event_type", "pos").alias("head"), N)
+    heads = placed.groupBy(*keys).agg(F.min_by("event_type", "pos").alias("head"), counted())
     rest = sq.fold_text(placed.where("pos > 0"), keys, "pos", "event_type", leading=True)
     treated = (
         F.when(F.col("head") == "click", F.upper("folded"))
@@ -290,13 +293,13 @@ def _unit_groups(drop_last: str) -> str:
 @query("second_buckets", _unit_groups(""))
 def second_buckets(spark, sf_dir):
     grouped = sq.changed_seconds(user_events(spark, sf_dir), "ts", "minute")
-    return sq.summarise(grouped, "user_id", "group_no", N)
+    return sq.summarise(grouped, "user_id", "group_no", counted())
 
 
 @query("second_buckets_drop_last", _unit_groups("WHERE nxt IS NOT NULL"))
 def second_buckets_drop_last(spark, sf_dir):
     grouped = sq.changed_seconds(user_events(spark, sf_dir), "ts", "minute", drop_last=True)
-    return sq.summarise(grouped, "user_id", "group_no", N)
+    return sq.summarise(grouped, "user_id", "group_no", counted())
 
 
 def _slot_pick(pick: str) -> str:
@@ -380,7 +383,7 @@ def retained_value(spark, sf_dir):
 def flush_batches(spark, sf_dir):
     seq = user_events(spark, sf_dir, "event_type")
     batched = sq.flush_batches(seq, "ts", F.col("event_type") == "purchase", 2 * 3600)
-    return sq.summarise(batched, "user_id", "batch_no", N, F.min("event_id").alias("first_id"))
+    return sq.summarise(batched, "user_id", "batch_no", counted(), F.min("event_id").alias("first_id"))
 
 
 @query(
@@ -435,7 +438,7 @@ def dedupe_first(spark, sf_dir):
         """
         SELECT user_id, event_id, CASE WHEN event_type = 'signup' THEN 'update'
           WHEN epoch_us(ts) - epoch_us(lag(ts) OVER ({w}))
-               < CASE WHEN lag(event_type) OVER ({w}) = 'signup' THEN 3600 ELSE 1800 END * 1000000
+               < CASE WHEN lag(event_type) OVER ({w}) = 'signup' THEN 3600000000 ELSE 1800000000 END
           THEN 'hit' ELSE 'miss' END AS outcome
         FROM events
         """
@@ -486,7 +489,7 @@ def late_filter_by_user(spark, sf_dir):
     "chat_echo",
     """
     SELECT conv_id, chunk_no, count(*) AS n,
-           'Hello ' || string_agg(upper(text), '; ' ORDER BY turn) || '!' AS reply
+           'Hello ' || string_agg(replace(upper(text), 'ẞ', 'SS'), '; ' ORDER BY turn) || '!' AS reply
     FROM (SELECT conv_id, turn, text,
                  (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 10 AS chunk_no
           FROM conversations)
@@ -498,7 +501,7 @@ def chat_echo(spark, sf_dir):
     chunked = sq.chunks(o.ordered(turns, "conv_id", "turn"), 10).df
     keys = ["conv_id", "chunk_no"]
     folded = sq.fold_text(chunked, keys, "turn", F.upper("text"), separator="; ")
-    sizes = chunked.groupBy(*keys).agg(N)
+    sizes = chunked.groupBy(*keys).agg(counted())
     reply = F.format_string("Hello %s!", "folded")
     return folded.join(sizes, keys).withColumn("reply", reply).drop("folded")
 
@@ -506,12 +509,12 @@ def chat_echo(spark, sf_dir):
 @query(
     "tokens",
     r"""
-    SELECT doc_id, upper(t) AS token, count(*) AS n
+    SELECT doc_id, replace(upper(t), 'ẞ', 'SS') AS token, count(*) AS n
     FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \t\n\r\f\v]+')) AS t FROM documents)
-    WHERE t <> '' GROUP BY doc_id, upper(t)
+    WHERE t <> '' GROUP BY ALL
     """,
 )
 def tokens(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    listed = docs.select("doc_id", F.upper(F.explode(text.tokens("text"))).alias("token"))
-    return listed.groupBy("doc_id", "token").agg(N)
+    listed = docs.select("doc_id", F.explode(text.tokens(F.upper("text"))).alias("token"))
+    return listed.groupBy("doc_id", "token").agg(counted())

@@ -52,7 +52,7 @@ def normal(columns, rows):
 
 def compare(df, con, sql):
     spark_cols, spark_rows = normal(df.columns, [tuple(r) for r in df.collect()])
-    table = con.execute(sql).fetch_arrow_table()
+    table = con.execute(sql).to_arrow_table()
     # Through DuckDB's own Python values, as Spark rows are Python values too.
     result = con.execute(sql)
     duck_cols, duck_rows = normal([d[0] for d in result.description], result.fetchall())
@@ -62,8 +62,8 @@ def compare(df, con, sql):
     elif spark_rows != duck_rows:
         problems.append(f"rows {len(spark_rows)} vs {len(duck_rows)}")
         a, b = set(spark_rows), set(duck_rows)
-        problems.append(f"  spark only: {sorted(a - b)[:3]}")
-        problems.append(f"  check only: {sorted(b - a)[:3]}")
+        problems.append(f"  spark only: {sorted(a - b)[:2]}"[:340])
+        problems.append(f"  check only: {sorted(b - a)[:2]}"[:340])
     types = {n: str(t) for n, t in zip(table.schema.names, table.schema.types)}
     names = {"bigint": "int64", "int": "int32", "double": "double", "string": "string",
              "boolean": "bool", "timestamp_ntz": "timestamp[us]", "date": "date32[day]",
@@ -121,7 +121,7 @@ def main():
             bad.append(name)
         print(f"{state:5} {name:28} {n:8} rows {time.time() - t:6.2f} s", flush=True)
         for line in problems:
-            print("      ", line, flush=True)
+            print("      ", line[:700], flush=True)
     print(f"{len(bad)} bad: {bad}")
 
 
