@@ -8,26 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import lower_median, medians_by
-from millrace.functions.numbers import floor_2, integer_average
+from millrace.functions.numbers import exact_sum, floor_2, integer_average
 from millrace.operators import ordered as o
 from millrace.operators import sequence as sq
 
 Names = Sequence[str] | str
 
-# Sums of two-decimal measures are exact (and so independent of the row order) as decimals.
-MONEY = "decimal(18,2)"
-
-
 def _list(names: Names) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
-def exact_sum(value: Column | str, places: str = MONEY) -> Column:
-    """Sum without rounding noise, returned as DOUBLE."""
-    v = F.col(value) if isinstance(value, str) else value
-    return F.sum(v.cast(places)).cast("double")
-
-
 def delay_average(df: DataFrame, by: Names, delay: str) -> DataFrame:
     """Count, sum and integer average of the positive values per key."""
     return (
@@ -39,7 +29,7 @@ def delay_average(df: DataFrame, by: Names, delay: str) -> DataFrame:
 
 
 def min_mean_max(
-    df: DataFrame, by: Names, value: str, seed_zero: bool = False, places: str = MONEY
+    df: DataFrame, by: Names, value: str, seed_zero: bool = False, places: int = 2
 ) -> DataFrame:
     """Count, minimum, mean and maximum per key, sorted by key.
 
@@ -62,11 +52,11 @@ def min_mean_max(
     )
 
 
-def partials(df: DataFrame, by: Names, value: str, places: str = MONEY) -> DataFrame:
+def partials(df: DataFrame, by: Names, value: str, places: int = 2) -> DataFrame:
     """Mergeable state per key: count, total, lowest, highest.  Can be stored and merged later."""
     return df.groupBy(*_list(by)).agg(
         F.count(value).alias("n"),
-        F.sum(F.col(value).cast(places)).alias("total"),
+        exact_sum(value, places).cast(f"decimal(38,{places})").alias("total"),
         F.min(value).alias("lowest"),
         F.max(value).alias("highest"),
     )
@@ -191,15 +181,26 @@ def deltas(df: DataFrame, by: Names, order_by: Names, value: str, name: str = "d
 
 
 def running_maps(
-    df: DataFrame, by: Names, order_by: Names, key: str, value: str, keys: Sequence[str] | None = None
+    df: DataFrame,
+    by: Names,
+    order_by: Names,
+    key: str,
+    value: str,
+    keys: Sequence[str] | None = None,
+    most_columns: int = 64,
 ) -> DataFrame:
-    """After each row, the map of all keys so far with their newest value.
+    """After each row, the map of all keys so far with their newest value (``so_far``).
 
-    One last-known column per key, so no list of past rows is kept.  Without ``keys`` the
-    distinct keys of the data are taken; the maps themselves grow with their number.
+    Few keys: one last-known column per key, so no list of past rows is kept.  ``keys``
+    names them; otherwise they are looked up if there are at most ``most_columns``.  More
+    keys: one row per (row, key of its sequence), the newest value per key looked up as of
+    each row, and the entries put together per row; that is as large as the maps are.
     """
     if keys is None:
-        keys = [r[0] for r in df.select(key).distinct().orderBy(key).collect()]
+        found = df.select(key).distinct().limit(most_columns + 1).collect()
+        keys = sorted(r[0] for r in found) if len(found) <= most_columns else None
+    if keys is None:
+        return _running_maps_long(df, _list(by), _list(order_by), key, value)
     slots = {f"_k{i}": k for i, k in enumerate(keys)}
     boxed = F.struct(F.col(key).alias("key"), F.col(value).alias("value"))
     seq = o.ordered(df, by, order_by).with_columns(
@@ -212,6 +213,26 @@ def running_maps(
     )
 
 
+def _running_maps_long(
+    df: DataFrame, by: list[str], order_by: list[str], key: str, value: str
+) -> DataFrame:
+    firsts = df.groupBy(*by, F.col(key).alias("_key")).agg(
+        F.min(F.struct(*order_by)).alias("_first")
+    )
+    # only the keys that are in the map of the row: the output, entry by entry
+    seen = F.struct(*order_by) >= F.col("_first")
+    wide = df.select(*by, *order_by, key, value).join(firsts, by).where(seen)
+    boxed = F.when(F.col(key) == F.col("_key"), F.struct(F.col(value).alias("v")))
+    filled = o.ordered(wide.withColumn("_own", boxed), [*by, "_key"], order_by).add(
+        _newest=o.last_known("_own")
+    )
+    entry = F.struct(F.col("_key").alias("key"), F.col("_newest")["v"].alias("value"))
+    maps = filled.df.groupBy(*by, *order_by).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("so_far")
+    )
+    return df.join(maps, [*by, *order_by])
+
+
 def coverage(
     df: DataFrame, by: Names, branch: str, order_by: Names, branches: int
 ) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import ordered as o
+
 Names = Sequence[str] | str
 
 
@@ -52,15 +54,19 @@ def keep_newest(df: DataFrame, by: Names, order_by: Names, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def kth_smallest(df: DataFrame, by: Names, value: str, k: int, tie: Names = ()) -> DataFrame:
-    """k-th smallest value per key (1-based); keys with fewer rows give none."""
-    w = Window.partitionBy(*_list(by)).orderBy(value, *_list(tie))
-    return (
-        df.withColumn("_rn", F.row_number().over(w))
-        .where(F.col("_rn") <= k)
-        .where(F.col("_rn") == k)
-        .drop("_rn")
-    )
+def kth_smallest(
+    df: DataFrame, by: Names, value: str, k: int, tie: Names = (), small_k: int = 10_000
+) -> DataFrame:
+    """k-th smallest value per key (1-based); keys with fewer rows give none.
+
+    For a small k each task sends its k smallest; a large k is a position in the order.
+    """
+    if k <= small_k:
+        w = Window.partitionBy(*_list(by)).orderBy(value, *_list(tie))
+        ranked = df.withColumn("_rn", F.row_number().over(w))
+        return ranked.where(F.col("_rn") <= k).where(F.col("_rn") == k).drop("_rn")
+    seq = o.ordered(df, by, [value, *_list(tie)]).add(_rn=o.index())
+    return seq.where(F.col("_rn") == k - 1).df.drop("_rn")
 
 
 def retained(df: DataFrame, topic: Names, ts: str, order_by: Names, since: Column) -> DataFrame:

@@ -30,6 +30,8 @@ from millrace.runtime import Limits, estimated_bytes, pin
 
 BLOCK = "_block"
 LIGHT = -1
+# More blocks would cost more in shuffle files than they save; beyond that blocks grow.
+MOST_BLOCKS = 20_000
 
 
 @dataclass(frozen=True)
@@ -276,6 +278,6 @@ def _blocks(
     df: DataFrame, by: tuple[str, ...], order_by: tuple[str, ...], total: int, limits: Limits
 ) -> DataFrame:
     # Twice as many blocks as needed on average: range bounds come from a sample.
-    n = max(2, -(-2 * total // limits.rows_per_task))
+    n = min(max(2, -(-2 * total // limits.rows_per_task)), MOST_BLOCKS)
     ranged = df.repartitionByRange(n, *by, *order_by)
     return pin(ranged.withColumn(BLOCK, F.spark_partition_id()), "blocks")

@@ -179,24 +179,29 @@ def fold_text(
     separator: str = " ",
     leading: bool = False,
     name: str = "folded",
-    piece_rows: int = 1024,
+    part: str = "part",
+    part_bytes: int = 64 * 1024 * 1024,
 ) -> DataFrame:
-    """Concatenate texts per group in the order of a 0-based position.
+    """Concatenate texts per group in the order of a position.
 
-    Pieces of ``piece_rows`` rows are joined first, in parallel also within one group, so
-    only the pieces meet in the last step.  The result is still one text per group.
+    A text that gets longer than ``part_bytes`` goes on in the next part (0, 1, ...), so
+    no task gathers more than that of a group however large it is; the parts put together
+    are the whole text, separators included.
     """
     by = [by] if isinstance(by, str) else list(by)
     value = F.col(text) if isinstance(text, str) else text
-    piece = F.floor(F.col(position) / piece_rows).alias("_piece")
-
-    def join(position_col: str, text_col: Column) -> Column:
-        listed = F.array_sort(F.collect_list(F.struct(F.col(position_col), text_col.alias("t"))))
-        return F.array_join(F.transform(listed, lambda s: s["t"]), separator)
-
-    pieces = df.groupBy(*by, piece).agg(join(position, value).alias("_text"))
-    folded = pieces.groupBy(*by).agg(join("_piece", F.col("_text")).alias(name))
-    return folded.withColumn(name, F.concat(F.lit(separator), name)) if leading else folded
+    sized = df.select(*by, position, value.alias("_t")).withColumn(
+        "_b", F.coalesce(F.octet_length("_t"), F.lit(0)) + len(separator)
+    )
+    placed = o.ordered(sized, by, position).add(_upto=o.running_sum("_b")).df
+    start = F.floor((F.col("_upto") - F.col("_b")) / part_bytes).cast("int")
+    listed = F.array_sort(F.collect_list(F.struct(position, "_t")))
+    joined = F.array_join(F.transform(listed, lambda s: s["_t"]), separator)
+    folded = placed.groupBy(*by, start.alias(part)).agg(joined.alias(name))
+    goes_on = F.lit(True) if leading else F.col(part) > 0
+    return folded.withColumn(
+        name, F.when(goes_on, F.concat(F.lit(separator), name)).otherwise(F.col(name))
+    )
 
 
 def take_while(seq: Ordered, holds: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from millrace.operators import aggregates as ag
 from millrace.operators import latest
 from millrace.operators import ordered as o
 from millrace.operators import sequence as sq
+from millrace.operators import user
 from millrace.plans.common import events
 from millrace.plans.registry import query
 from millrace.sources.tables import table
@@ -174,7 +175,7 @@ def empty_fold(spark, sf_dir):
 @query(
     "text_fold",
     """
-    SELECT conv_id, ' ' || string_agg(role, ' ' ORDER BY turn) AS folded, count(*) AS n
+    SELECT conv_id, 0 AS part, ' ' || string_agg(role, ' ' ORDER BY turn) AS folded, count(*) AS n
     FROM conversations GROUP BY conv_id
     """,
 )
@@ -203,7 +204,7 @@ def chunk_sums(spark, sf_dir):
     return paged.groupBy("chunk_no").agg(
         F.sum("o_orderkey").alias("key_sum"),
         F.count(F.lit(1)).alias("n"),
-        ag.exact_sum("o_totalprice").alias("price_sum"),
+        numbers.exact_sum("o_totalprice").alias("price_sum"),
     )
 
 
@@ -385,6 +386,62 @@ def running_map(spark, sf_dir):
     )
 
 
+@query(
+    "running_map_many_keys",
+    """
+    WITH firsts AS (SELECT user_id, event_type, min((ts, event_id)) AS f FROM events GROUP BY ALL),
+    entries AS (
+      SELECT e.user_id, e.event_id, f.event_type AS k,
+             (SELECT arg_max(x.value, (x.ts, x.event_id)) FROM events x WHERE x.user_id = e.user_id
+              AND x.event_type = f.event_type AND (x.ts, x.event_id) <= (e.ts, e.event_id)) AS v
+      FROM events e JOIN firsts f ON f.user_id = e.user_id AND f.f <= (e.ts, e.event_id))
+    SELECT user_id, event_id, string_agg(k || '=' || CAST(CAST(round(v * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY k) AS so_far
+    FROM entries GROUP BY user_id, event_id
+    """,
+)
+def running_map_many_keys(spark, sf_dir):
+    # the form for key sets of any size
+    rows = events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type", "value")
+    mapped = ag.running_maps(
+        rows, "user_id", ["ts", "event_id"], "event_type", "value", most_columns=2
+    )
+    entry = F.transform(
+        F.array_sort(F.map_entries("so_far")),
+        lambda e: F.concat_ws("=", e["key"], numbers.units(e["value"]).cast("string")),
+    )
+    return mapped.select("user_id", "event_id", F.array_join(entry, ",").alias("so_far"))
+
+
+@query(
+    "user_fold",
+    """
+    SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total,
+           CAST(max(l_linenumber) AS BIGINT) AS top FROM lineitem GROUP BY l_returnflag
+    """,
+)
+def user_fold(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+
+    def fold(rows):
+        return {
+            "n": len(rows),
+            "total": int(rows["l_quantity"].sum()),
+            "top": int(rows["l_linenumber"].max()),
+        }
+
+    def merge(states):
+        return {
+            "n": int(states["n"].sum()),
+            "total": int(states["total"].sum()),
+            "top": int(states["top"].max()),
+        }
+
+    return user.fold_per_key(
+        items, "l_returnflag", ["l_quantity", "l_linenumber"], "n BIGINT, total BIGINT, top BIGINT",
+        fold, merge, fan_in=16,
+    )
+
+
 @query(
     "running_fold",
     """
@@ -396,10 +453,10 @@ def running_map(spark, sf_dir):
 )
 def running_fold(spark, sf_dir):
     rows = events(spark, sf_dir).select(
-        "user_id", "ts", "event_id", F.col("value").cast(ag.MONEY).alias("value")
+        "user_id", "ts", "event_id", numbers.units("value").alias("value")
     )
     folded = sq.running_fold(o.ordered(rows, "user_id", ["ts", "event_id"]), "value")
-    return folded.withColumn("folded", F.col("folded").cast("double"))
+    return folded.withColumn("folded", F.col("folded") / 100.0)
 
 
 @query(

@@ -111,7 +111,7 @@ def subtitles(spark, sf_dir):
         "ts",
         "event_id",
         start.alias("start"),
-        (start + F.round(F.col("value") * 10).cast("bigint")).alias("end"),
+        (start + F.floor(F.col("value") * 10 + 0.5)).alias("end"),
         F.array(F.col("event_type"), F.format_string("value %d", "user_id")).alias("lines"),
     )
     records.write_subtitles(blocks, path, ["ts", "event_id"])
@@ -366,7 +366,7 @@ def marked_scenes(spark, sf_dir):
     start = F.unix_millis(F.col("ts").cast("timestamp"))
     blocks = events(spark, sf_dir).select(
         "ts", "event_id", start.alias("s"),
-        (start + F.round(F.col("value") * 1000).cast("bigint")).alias("e"),
+        (start + F.rint(F.col("value") * 1000).cast("bigint")).alias("e"),
     )
     grouped = sq.scenes(o.ordered(blocks, (), ["ts", "event_id"]), "s", "e", 60_000).df
     return grouped.groupBy("scene_no").agg(counted())

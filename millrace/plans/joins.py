@@ -249,7 +249,7 @@ def plausible_answers(spark, sf_dir):
 @query(
     "filled_templates",
     """
-    SELECT conv_id, 'Text lines:' || chr(10) || string_agg(text || chr(10) || chr(10), '' ORDER BY turn)
+    SELECT conv_id, 0 AS part, 'Text lines:' || chr(10) || string_agg(text || chr(10) || chr(10), '' ORDER BY turn)
            || 'End' AS prompt
     FROM conversations GROUP BY conv_id
     """,
@@ -259,4 +259,4 @@ def filled_templates(spark, sf_dir):
     placed = o.ordered(turns, "conv_id", "turn").add(pos=o.index()).df
     block = F.concat("text", F.lit("\n\n"))
     folded = sq.fold_text(placed, "conv_id", "pos", block, separator="")
-    return folded.select("conv_id", F.format_string("Text lines:\n%sEnd", "folded").alias("prompt"))
+    return folded.select("conv_id", "part", F.format_string("Text lines:\n%sEnd", "folded").alias("prompt"))

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import arrays, messages, numbers, protect, text
 from millrace.functions import time as clock
-from millrace.operators import aggregates as ag
 from millrace.operators import ordered as o
-from millrace.operators import routing
+from millrace.operators import routing, user
 from millrace.plans.common import events
 from millrace.plans.registry import query
 from millrace.sources.tables import table
@@ -43,6 +42,22 @@ def with_original(spark, sf_dir):
     return routing.beside(rows, "scaled", lambda v: F.round(v * 1.5 + 1, 4), "value")
 
 
+@query(
+    "user_batches",
+    """
+    SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, p_size * 2 AS doubled FROM part
+    """,
+)
+def user_batches(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+
+    def split(batch):
+        batch = batch.assign(word=batch["p_name"].str.split(" "), doubled=batch["p_size"] * 2)
+        return batch.explode("word")[["p_partkey", "word", "doubled"]]
+
+    return user.map_batches(parts, split, "p_partkey BIGINT, word STRING, doubled INT")
+
+
 @query(
     "fan_functions",
     """
@@ -169,7 +184,7 @@ def weighted_targets(spark, sf_dir):
 )
 def least_loaded(spark, sf_dir):
     suppliers = table(spark, sf_dir, "supplier")
-    total = F.sum(F.col("s_acctbal").cast(ag.MONEY)).cast("double")
+    total = numbers.exact_sum("s_acctbal")
     loads = suppliers.groupBy("s_nationkey").agg(
         F.round(total / 10000).cast("bigint").alias("load")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text
+from millrace.functions.numbers import exact_sum
 from millrace.functions.time import epoch_micros
 from millrace.operators import latest
 from millrace.operators import ordered as o
@@ -135,7 +136,7 @@ def sessions_30m(spark, sf_dir):
     return sq.summarise(
         grouped, "user_id", "session_no", counted(),
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"),
-        F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"),
+        exact_sum("value").alias("total"),
     )
 
 
@@ -171,7 +172,7 @@ def global_sessions(spark, sf_dir):
 def scenes(spark, sf_dir):
     # a block lasts as many minutes as its value; scenes end at a pause of an hour
     start = epoch_micros("ts")
-    length = F.round(F.col("value") * 1000).cast("bigint") * 1000 * 60
+    length = F.rint(F.col("value") * 1000).cast("bigint") * 1000 * 60
     seq = user_events(spark, sf_dir, "value").with_columns(s=start, e=start + length)
     grouped = sq.scenes(seq, "s", "e", 3_600_000_000).df
     return sq.summarise(
@@ -207,7 +208,7 @@ def timed_chunks(spark, sf_dir):
           SELECT *, row_number() OVER (PARTITION BY user_id, chunk_no ORDER BY ts, event_id) - 1 AS pos
           FROM marked)
         SELECT user_id, chunk_no, count(*) AS n, arg_min(event_type, pos) AS head,
-          CASE arg_min(event_type, pos)
+          0 AS part, CASE arg_min(event_type, pos)
             WHEN 'click' THEN upper(' ' || string_agg(event_type, ' ' ORDER BY pos) FILTER (WHERE pos > 0))
             WHEN 'view' THEN lower(' ' || string_agg(event_type, ' ' ORDER BY pos) FILTER (WHERE pos > 0))
             ELSE 'error' END AS treated
@@ -227,7 +228,8 @@ def chunk_by_marker(spark, sf_dir):
         .when(F.col("head") == "view", F.lower("folded"))
         .otherwise("error")
     )
-    return heads.join(rest, keys, "left").withColumn("treated", treated).drop("folded")
+    whole = heads.join(rest, keys, "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    return whole.withColumn("treated", treated).drop("folded")
 
 
 @query(
@@ -488,7 +490,7 @@ def late_filter_by_user(spark, sf_dir):
 @query(
     "chat_echo",
     """
-    SELECT conv_id, chunk_no, count(*) AS n,
+    SELECT conv_id, chunk_no, count(*) AS n, 0 AS part,
            'Hello ' || string_agg(replace(upper(text), 'ẞ', 'SS'), '; ' ORDER BY turn) || '!' AS reply
     FROM (SELECT conv_id, turn, text,
                  (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 10 AS chunk_no

@@ -110,6 +110,8 @@ def sessions_30m_stream(spark, sf_dir):
     folder = runs.Folder.new(spark, "sessions")
     rows = table_stream(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp"))
     whole = rows.unionByName(runs.end_marks(spark, folder, KEYED))
+    # a heavy user's rows are merged into sessions before the shuffle
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     stream = windows.sessions(runs.with_event_time(whole, "ts", "4 seconds"), "user_id", "ts", 1800)
     done = _to_the_end(spark, folder, stream, KEYED)
     return _ntz(done.where(F.col("user_id").isNotNull()), "start_ts", "end_ts")
@@ -135,7 +137,7 @@ def _land_by_arrival(spark, sf_dir, folder, writer_of):
 @query("late_filter_stream", _ON_TIME)
 def late_filter_stream(spark, sf_dir):
     folder = runs.Folder.new(spark, "late")
-    rule = stateful.LateFilter(folder, [], ["arrival", "event_id"], "ts", 10 * 86_400)
+    rule = stateful.late_filter(folder, [], ["arrival", "event_id"], "ts", 10 * 86_400)
     _land_by_arrival(spark, sf_dir, folder, rule.writer)
     kept = runs.read_batches(folder, SCHEMAS["events"])
     return kept.select("event_id", "event_type", "ts")
@@ -156,7 +158,7 @@ def late_filter_stream(spark, sf_dir):
 def late_and_closed_stream(spark, sf_dir):
     # only windows that the final mark has closed come out
     late = runs.Folder.new(spark, "late")
-    rule = stateful.LateFilter(late, [], ["arrival", "event_id"], "ts", 10 * 86_400)
+    rule = stateful.late_filter(late, [], ["arrival", "event_id"], "ts", 10 * 86_400)
     _land_by_arrival(spark, sf_dir, late, rule.writer)
 
     folder = runs.Folder.new(spark, "closed")
@@ -273,17 +275,52 @@ def cache_hit_miss_stream(spark, sf_dir):
     folder = runs.Folder.new(spark, "cache")
     rows = events(spark, sf_dir).select("user_id", "event_id", "event_type", "ts")
     landing = folder.landing("days")
-    # the month arrives in three pieces, the state goes from one to the next
+    outcomes = stateful.cache_outcomes(
+        folder, "user_id", ["ts", "event_id"], "ts",
+        lambda: F.col("event_type") == "signup", 1800, 3600,
+    )
+    # the month arrives in three pieces; the last accesses go from one to the next
     for first, last in ((1, 10), (11, 20), (21, 31)):
         day = F.dayofmonth("ts")
         rows.where((day >= first) & (day <= last)).write.mode("append").parquet(landing)
-        stream = spark.readStream.schema(rows.schema).parquet(landing)
-        outcome = stateful.cache_outcomes(
-            runs.with_event_time(stream, "ts", "1 second"),
-            "user_id", "event_id", "ts", "event_type", 1800, 3600, update_kind="signup",
-        )
-        runs.drain(folder.append_to(outcome))
-    return folder.read(outcome)
+        runs.drain(outcomes.writer(spark.readStream.schema(rows.schema).parquet(landing)))
+    return runs.read_batches(
+        folder, "user_id BIGINT, event_id BIGINT, outcome STRING"
+    ).drop("batch_id")
+
+
+@query(
+    "keyed_fold_stream",
+    """
+    SELECT user_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id
+    FROM events GROUP BY user_id
+    """,
+)
+def keyed_fold_stream(spark, sf_dir):
+    # a user fold with state: what a key has gathered comes out at the end of the input
+    folder = runs.Folder.new(spark, "fold")
+    schema = "user_id BIGINT, event_id BIGINT, ts TIMESTAMP"
+    rows = table_stream(spark, sf_dir, "events").select(
+        "user_id", "event_id", F.col("ts").cast("timestamp")
+    )
+    whole = rows.unionByName(runs.end_marks(spark, folder, schema))
+    timed = runs.with_event_time(whole, "ts", "4 seconds")
+
+    def step(state, batch):
+        n, first, last = state
+        ids = batch["event_id"].dropna()
+        if ids.empty:
+            return state
+        return n + len(ids), min(first, int(ids.min())), max(last, int(ids.max()))
+
+    stream = stateful.fold_until_idle(
+        timed, "user_id", "event_id", (0, 2**62, -1), "n BIGINT, first_id BIGINT, last_id BIGINT",
+        step, idle_ms=365 * 86_400_000,
+    )
+    partial = _to_the_end(spark, folder, stream, schema).where(F.col("user_id").isNotNull())
+    return partial.groupBy("user_id").agg(
+        F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")
+    )
 
 
 @query(

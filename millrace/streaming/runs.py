@@ -13,8 +13,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from millrace.runtime import work_dir
 
-# Fixed value: after any event time; a row at this time closes every window and session.
-END_OF_TIME = "2999-01-01 00:00:00"
+# Fixed value: after any event time (and still a time to pandas); a row at this time closes every window and session.
+END_OF_TIME = "2200-01-01 00:00:00"
 BATCH = "batch_id"
 
 

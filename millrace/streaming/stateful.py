@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,54 +14,110 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from millrace.functions.time import epoch_micros
 from millrace.operators import latest
 from millrace.operators import ordered as o
+from millrace.operators.ordered import Ordered
 from millrace.streaming.runs import BATCH, Folder
 
 MICROS = 1_000_000
+FRESH = "_fresh"
 
 
 @dataclass(frozen=True)
-class LateFilter:
-    """Rows in arrival order, without those older than the newest time so far minus a delay.
-
-    The mark moves with every row, not once per micro-batch as a watermark does: inside a
-    batch it is a running maximum over the batch's rows (cut into blocks when there are
-    many), and between batches one row per key is carried.  The carried rows of a batch
-    are stored under its number, so a repeated batch starts from the same ones.
+class CarriedScan:
+    """An ordered scan that goes on from one micro-batch to the next.
+
+    A batch is scanned together with the rows carried from the batch before, which come
+    first in the order; ``scan`` adds its columns, ``carry`` picks the rows (one per key,
+    say) that the next batch needs.  Inside a batch heavy keys are cut into blocks as in
+    any ordered scan.  Carried rows are stored under the number of their batch, so a
+    repeated batch starts from the same ones and writes the same result.
     """
 
     folder: Folder
     by: Sequence[str]
-    arrival: Sequence[str]
-    ts: str
-    delay_seconds: int
+    order_by: Sequence[str]
+    scan: Callable[[Ordered], Ordered]
+    carry: Callable[[DataFrame], DataFrame]
 
-    def _carried(self, spark, batch_id: int) -> DataFrame | None:
-        if batch_id == 0:
-            return None
-        return spark.read.parquet(f"{self.folder.path}/carried/{BATCH}={batch_id - 1}")
+    def _carried_path(self, batch_id: int) -> str:
+        return f"{self.folder.path}/carried/{BATCH}={batch_id}"
 
     def writer(self, stream: DataFrame) -> DataStreamWriter:
         def process(batch: DataFrame, batch_id: int) -> None:
-            spark, by = batch.sparkSession, list(self.by)
-            past = self._carried(spark, batch_id)
-            seq = o.ordered(batch, by, list(self.arrival)).add(_here=o.running_max(self.ts))
-            rows = seq.df
-            newest = batch.groupBy(*by).agg(F.max(self.ts).alias("_top"))
-            if past is not None:
-                # one row per key (one row in all without keys)
-                rows = rows.join(past, by, "left") if by else rows.join(F.broadcast(past), how="left")
-                newest = newest.unionByName(past).groupBy(*by).agg(F.max("_top").alias("_top"))
-                rows = rows.withColumn("_here", F.greatest("_here", "_top")).drop("_top")
-            mark = epoch_micros("_here") - self.delay_seconds * MICROS
-            kept = rows.where(epoch_micros(self.ts) >= mark).drop("_here")
-            kept.write.mode("overwrite").parquet(f"{self.folder.output}/{BATCH}={batch_id}")
-            newest.write.mode("overwrite").parquet(f"{self.folder.path}/carried/{BATCH}={batch_id}")
+            spark, columns = batch.sparkSession, batch.columns
+            rows = batch.withColumn(FRESH, F.lit(1))
+            if batch_id > 0:
+                past = spark.read.schema(batch.schema).parquet(self._carried_path(batch_id - 1))
+                rows = rows.unionByName(past.withColumn(FRESH, F.lit(0)))
+            seq = self.scan(o.ordered(rows, self.by, [FRESH, *self.order_by]))
+            seq.where(F.col(FRESH) == 1).df.drop(FRESH).write.mode("overwrite").parquet(
+                f"{self.folder.output}/{BATCH}={batch_id}"
+            )
+            self.carry(rows).select(*columns).write.mode("overwrite").parquet(
+                self._carried_path(batch_id)
+            )
 
         return stream.writeStream.option(
             "checkpointLocation", self.folder.checkpoint
         ).foreachBatch(process)
 
 
+def late_filter(
+    folder: Folder, by: Sequence[str], arrival: Sequence[str], ts: str, delay_seconds: int
+) -> CarriedScan:
+    """Drop rows older than the newest time so far, in arrival order, minus a delay.
+
+    The mark moves with every row, not once per micro-batch as a watermark does.  The row
+    with the newest time of each key (of all, without keys) is carried.
+    """
+
+    def on_time(seq: Ordered) -> Ordered:
+        mark = epoch_micros("_top") - delay_seconds * MICROS
+        return seq.add(_top=o.running_max(ts)).where(epoch_micros(ts) >= mark).drop("_top")
+
+    def newest(rows: DataFrame) -> DataFrame:
+        if by:
+            return latest.newest_per(rows, list(by), [ts, *arrival])
+        row = F.max_by(F.struct(*rows.columns), F.struct(ts, *arrival)).alias("r")
+        return rows.agg(row).where("r IS NOT NULL").select("r.*")
+
+    return CarriedScan(folder, by, arrival, on_time, newest)
+
+
+def cache_outcomes(
+    folder: Folder,
+    key: str,
+    order_by: Sequence[str],
+    ts: str,
+    is_update: Callable[[], Column],
+    idle_seconds: int,
+    update_idle_seconds: int,
+    name: str = "outcome",
+) -> CarriedScan:
+    """``hit``, ``miss`` or ``update`` per row, by the access of the key before it.
+
+    Reading renews the idle time; an update keeps the entry for its own idle time.  The
+    last access per key is carried, as long as it is recent enough to still matter.
+    """
+    keep = max(idle_seconds, update_idle_seconds) * MICROS
+
+    def judge(seq: Ordered) -> Ordered:
+        seq = seq.with_columns(_u=is_update()).add(_pt=o.lag(ts), _pu=o.lag("_u"))
+        allowed = F.when(F.col("_pu"), F.lit(update_idle_seconds)).otherwise(F.lit(idle_seconds))
+        idle = epoch_micros(ts) - epoch_micros("_pt")
+        hit = F.coalesce(idle < allowed.cast("bigint") * MICROS, F.lit(False))
+        outcome = F.when(F.col("_u"), "update").when(hit, "hit").otherwise("miss")
+        return seq.with_columns(**{name: outcome}).drop("_u", "_pt", "_pu")
+
+    def last_access(rows: DataFrame) -> DataFrame:
+        # older than the idle time before the newest of all: a miss in any case,
+        # because rows arrive in time order
+        newest = rows.agg(F.max(ts).alias("_now"))
+        last = latest.newest_per(rows, key, list(order_by)).join(F.broadcast(newest))
+        return last.where(epoch_micros("_now") - epoch_micros(ts) <= keep).drop("_now")
+
+    return CarriedScan(folder, [key], order_by, judge, last_access)
+
+
 @dataclass(frozen=True)
 class RunningCounts:
     """Counts per key that can be read at any time, as a log of their changes.
@@ -92,45 +148,45 @@ class RunningCounts:
         return latest.newest_per(self.changes(), self.key, BATCH).drop(BATCH)
 
 
-def cache_outcomes(
-    stream: DataFrame, key: str, ident: str, ts: str, kind: str, idle_seconds: int,
-    update_idle_seconds: int, update_kind: str = "update",
+def fold_until_idle(
+    stream: DataFrame,
+    key: str,
+    spread_by: str,
+    zero: tuple,
+    state_schema: str,
+    step: Callable[[tuple, pd.DataFrame], tuple],
+    idle_ms: int,
+    spread: int = 8,
 ) -> DataFrame:
-    """``hit``, ``miss`` or ``update`` per row, with the last access of each key as state.
+    """A user fold per key; its result comes out when the key has been idle, and at the end.
 
-    Reading renews the idle time; an update keeps the entry for its own idle time.  The
-    state of a key is three values, and it ends when the key has been idle long enough to
-    be a miss anyway.  The input needs a watermark on ``ts``.
+    ``step`` folds one Arrow batch of rows into the state, so a key's rows are never held
+    together.  Each key is spread over several states by a hash of ``spread_by``, so one
+    heavy key does not wait for one task: the results are partial folds per (key, spread),
+    to be merged by a plain aggregate.  ``step`` must not depend on the order of rows.
+    The stream needs a watermark.
     """
-    schema = stream.select(key, ident).schema
-    # (last access in microseconds, whether it was an update)
-    state_schema = "at BIGINT, updated BOOLEAN"
+    key_type = stream.select(key).schema[0].dataType.simpleString()
 
-    def judge(
+    def fold(
         group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            done = state.get
             state.remove()
+            names = [f.split(" ")[0] for f in state_schema.split(", ")]
+            yield pd.DataFrame({key: [group[0]], **{n: [v] for n, v in zip(names, done)}})
             return
-        at, updated = state.get if state.exists else (None, False)
-        rows = pd.concat(list(batches)).sort_values(["_at", ident])
-        outcomes = []
-        for now, is_update in zip(rows["_at"].tolist(), rows["_update"].tolist()):
-            allowed = (update_idle_seconds if updated else idle_seconds) * MICROS
-            if is_update:
-                outcomes.append("update")
-            else:
-                outcomes.append("hit" if at is not None and now - at < allowed else "miss")
-            at, updated = now, is_update
-        state.update((int(at), bool(updated)))
-        idle = max(idle_seconds, update_idle_seconds) * 1000
-        state.setTimeoutTimestamp(max(at // 1000 + idle, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: group[0], ident: rows[ident], "outcome": outcomes})
-
-    prepared = stream.withColumn("_at", F.unix_micros(ts)).withColumn(
-        "_update", F.col(kind) == update_kind
+        value = state.get if state.exists else zero
+        for rows in batches:
+            value = step(value, rows)
+        state.update(value)
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+
+    salted = stream.withColumn(
+        "_spread", F.pmod(F.xxhash64(spread_by), F.lit(spread)).cast("int")
     )
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-    return prepared.groupBy(key).applyInPandasWithState(
-        judge, f"{out}, outcome STRING", state_schema, "append", GroupStateTimeout.EventTimeTimeout
+    return salted.groupBy(key, "_spread").applyInPandasWithState(
+        fold, f"{key} {key_type}, {state_schema}", state_schema, "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
