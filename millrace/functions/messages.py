@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.numbers import number_in
+
 # Fixed values of the message formats.
 START_OF_BLOCK = "\x0b"
 END_OF_BLOCK = "\x1c"
@@ -25,22 +27,29 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def change_event(json: Column | str) -> Column:
-    """A change event as a struct; absent or mistyped fields get their default.
+def raw_change(json: Column | str) -> Column:
+    """The JSON of a change event with every field as text.
+
+    Fields are cast one by one afterwards, so a wrong type in one does not null the others.
+    """
+    return F.from_json(_col(json), CHANGE_SCHEMA)
+
+
+def change_event(raw: Column) -> Column:
+    """A change event from its raw fields; absent or mistyped ones get their default.
 
-    Fields are read as text and cast one by one, so a wrong type in one of them does not
-    null the others.
+    ``raw`` should be a column of its own (as ``records.change_events`` makes it): given
+    the parsing expression itself, Spark may parse once per field.
     """
-    raw = F.from_json(_col(json), CHANGE_SCHEMA)
     text = lambda c: F.coalesce(c, F.lit(""))
     bot = F.coalesce(raw["bot"].try_cast("boolean"), F.lit(False))
     sized = text(raw["type"]).isin(*SIZED_CHANGES)
     size = lambda c: F.when(
-        sized, F.coalesce(c.try_cast("int"), F.lit(0))
+        sized, F.coalesce(number_in(c, "int"), F.lit(0))
     ).otherwise(0)
     new, old = size(raw["length"]["new"]), size(raw["length"]["old"])
     return F.struct(
-        F.coalesce(raw["timestamp"].try_cast("bigint"), F.lit(0)).alias("timestamp"),
+        F.coalesce(number_in(raw["timestamp"], "bigint"), F.lit(0)).alias("timestamp"),
         text(raw["title"]).alias("title"),
         text(raw["server_name"]).alias("server_name"),
         text(raw["user"]).alias("user"),

@@ -16,9 +16,9 @@ def _col(c: Column | str) -> Column:
 
 def clock_ms(text: Column | str) -> Column:
     """``HH:mm:ss,SSS`` to milliseconds of the day; null if it is not such a time."""
-    part = lambda i: F.regexp_extract(
-        _col(text), r"^\s*(\d{2}):(\d{2}):(\d{2}),(\d{3})\s*$", i
-    ).try_cast("bigint")
+    part = lambda i: F.nullif(
+        F.regexp_extract(_col(text), r"^\s*(\d{2}):(\d{2}):(\d{2}),(\d{3})\s*$", i), F.lit("")
+    ).cast("bigint")
     return (
         part(1) * MS_PER_HOUR + part(2) * MS_PER_MINUTE + part(3) * MS_PER_SECOND + part(4)
     )

@@ -12,6 +12,7 @@ from millrace.operators import sequence as sq
 from millrace.operators import user
 from millrace.plans.common import events
 from millrace.plans.registry import query
+from millrace.runtime import spread
 from millrace.sources.tables import table
 
 
@@ -105,7 +106,7 @@ def partial_rollup(spark, sf_dir):
     """,
 )
 def word_count(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("text"))
     listed = docs.select(F.explode(text.words("text")).alias("word"))
     return ag.count_words(listed, "word", ignore=["the"])
 

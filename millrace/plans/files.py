@@ -11,7 +11,7 @@ from millrace.operators import ordered as o
 from millrace.operators import sequence as sq
 from millrace.plans.common import events
 from millrace.plans.registry import query
-from millrace.runtime import work_dir
+from millrace.runtime import spread, work_dir
 from millrace.sources import files, lines, records
 from millrace.sources.index import DocumentIndex
 from millrace.sources.tables import table
@@ -161,11 +161,15 @@ def _messages(spark, sf_dir):
     person = F.format_string("PID|1||%d^^^ID||||", "o_custkey")
     observed = F.transform(
         F.sequence(F.lit(1).cast("bigint"), key % 4 + 1),
-        lambda n: F.format_string("OBX|%d|NM|%d^part~%d^supplier||%d|||", n, key + n, key % 13, n * 7),
+        lambda n: F.concat(
+            F.lit("OBX|"), n.cast("string"), F.lit("|NM|"), (key + n).cast("string"),
+            F.lit("^part~"), (key % 13).cast("string"), F.lit("^supplier||"),
+            (n * 7).cast("string"), F.lit("|||"),
+        ),
     )
     body = F.array_join(F.concat(F.array(head, person), observed), messages.SEGMENT_END)
     framed = messages.frame(F.concat(body, F.lit(messages.SEGMENT_END)))
-    return orders.select("o_orderkey", framed.alias("message"))
+    return spread(orders).select("o_orderkey", framed.alias("message"))
 
 
 @query(
@@ -250,7 +254,7 @@ def xml_docs(spark, sf_dir):
         '<embeddedDoc id="%d" mediaType="%s/%s">%s</embeddedDoc>',
         F.col("doc_id"), F.lit(kind), F.col(name), protect.to_base64(body, "mime"),
     )
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     xml = F.concat(
         F.lit("<documents>"),
         element("text", "lang", "text"),

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import arrays, messages, numbers, protect, text
+from millrace.functions import arrays, numbers, protect, text
 from millrace.functions import time as clock
 from millrace.operators import ordered as o
 from millrace.operators import routing, user
 from millrace.plans.common import events
 from millrace.plans.registry import query
+from millrace.runtime import spread
+from millrace.sources import records
 from millrace.sources.tables import table
 
 
@@ -244,8 +246,9 @@ def change_events(spark, sf_dir):
             F.struct(k.alias("new"), (k - 5).alias("old")).alias("length"),
         )
     )
-    changes = rows.select("event_id", messages.change_event(payload).alias("c"))
-    return changes.select("event_id", "c.*").drop("server_name", "user")
+    texts = rows.select("event_id", payload.alias("json"))
+    changes = records.change_events(texts, "json")
+    return changes.select("event_id", "change.*").drop("server_name", "user")
 
 
 @query(
@@ -260,9 +263,10 @@ def change_events(spark, sf_dir):
     """,
 )
 def entities(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("lang") != "zh")
+    docs = table(spark, sf_dir, "documents").where(F.col("lang") != "zh").select("doc_id", "text")
     return (
-        docs.select("doc_id", text.names("text").alias("names"))
+        spread(docs)
+        .select("doc_id", text.names("text").alias("names"))
         .where(F.size("names") > 0)
         .select(
             "doc_id",

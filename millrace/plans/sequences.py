@@ -12,6 +12,7 @@ from millrace.operators import ordered as o
 from millrace.operators import sequence as sq
 from millrace.plans.common import events, user_events
 from millrace.plans.registry import query
+from millrace.runtime import spread
 from millrace.sources.tables import table
 
 PER_USER = "PARTITION BY user_id ORDER BY ts, event_id"
@@ -517,6 +518,6 @@ def chat_echo(spark, sf_dir):
     """,
 )
 def tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     listed = docs.select("doc_id", F.explode(text.tokens(F.upper("text"))).alias("token"))
     return listed.groupBy("doc_id", "token").agg(counted())

@@ -59,6 +59,17 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root}/millrace/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the input comes in far fewer pieces than there are cores.
+
+    For heavy work per row (tokens, messages) over a small number of files that cannot be
+    split.  A table of many files has enough pieces and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if pieces * 2 <= cores else df
+
+
 def pin(df: DataFrame, purpose: str = "pinned") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -24,11 +24,14 @@ def subtitle_blocks(raw: DataFrame, block: str = "value") -> DataFrame:
 
     The number in a block's head is not used; texts that are no block are dropped.
     """
-    rows = F.filter(F.split(F.regexp_replace(block, "\r", ""), "\n"), lambda t: t != "")
-    times = F.split(F.get(rows, F.lit(1)), RANGE_MARK)
+    others = [c for c in raw.columns if c != block]
+    split = F.filter(F.split(F.regexp_replace(block, "\r", ""), "\n"), lambda t: t != "")
+    rows, times = F.col("_rows"), F.col("_times")
     return (
-        raw.select(
-            *[c for c in raw.columns if c != block],
+        raw.select(*others, split.alias("_rows"))
+        .withColumn("_times", F.split(F.get(rows, F.lit(1)), RANGE_MARK))
+        .select(
+            *others,
             clock_ms(F.get(times, F.lit(0))).alias("start"),
             clock_ms(F.get(times, F.lit(1))).alias("end"),
             F.when(F.size(rows) > 2, F.slice(rows, F.lit(3), F.size(rows)))
@@ -63,7 +66,14 @@ def points(lines: DataFrame, line: str = "line") -> DataFrame:
     Lines that are no point keep a null measurement.
     """
     part = lambda i: F.nullif(F.regexp_extract(line, POINT, i), F.lit(""))
-    head = F.split(part(1), ",")
+    others = [c for c in lines.columns if c != line]
+    lines = lines.select(
+        *others,
+        F.split(part(1), ",").alias("_head"),
+        F.split(part(2), ",").alias("_fields"),
+        part(3).try_cast("bigint").alias("at"),
+    )
+    head = F.col("_head")
     pairs = lambda items: F.transform(
         items,
         lambda p: F.struct(
@@ -75,13 +85,13 @@ def points(lines: DataFrame, line: str = "line") -> DataFrame:
         F.rlike(v, F.lit(r"^-?\d+i$")), F.regexp_replace(v, "i$", "")
     ).otherwise(F.regexp_replace(v, '^"|"$', ""))
     return lines.select(
-        *[c for c in lines.columns if c != line],
+        *others,
         F.get(head, F.lit(0)).alias("measurement"),
         F.map_from_entries(pairs(F.slice(head, F.lit(2), F.size(head)))).alias("tags"),
         F.transform_values(
-            F.map_from_entries(pairs(F.split(part(2), ","))), lambda k, v: bare(v)
+            F.map_from_entries(pairs(F.col("_fields"))), lambda k, v: bare(v)
         ).alias("fields"),
-        part(3).try_cast("bigint").alias("at"),
+        "at",
     )
 
 
@@ -101,34 +111,39 @@ def integer_field(value: Column) -> Column:
     return F.concat(value.cast("bigint").cast("string"), F.lit("i"))
 
 
+def change_events(table: DataFrame, json: str, name: str = "change") -> DataFrame:
+    """The JSON column replaced by the change event in it; parsed once per row."""
+    raw = table.withColumn("_raw", messages.raw_change(json)).drop(json)
+    return raw.withColumn(name, messages.change_event(F.col("_raw"))).drop("_raw")
+
+
 def hl7_segments(table: DataFrame, key: str, message: str) -> DataFrame:
     """A message table to a segment table.
 
     ``place`` is the 0-based place in the message, ``occurrence`` counts the segments of
-    one name from 1, so that the second OBX is (OBX, 2).  The count runs over the array
+    one name from 1, so that the second OBX is (OBX, 2).  It is counted within the array
     of the message itself: no shuffle.
     """
-    all_segments = messages.segments(message)
-    named = F.transform(all_segments, lambda s: F.substring(s, 1, 3))
-    numbered = F.transform(
-        all_segments,
-        lambda s, i: F.struct(
-            F.substring(s, 1, 3).alias("name"),
-            F.size(
-                F.filter(F.slice(named, F.lit(1), i + 1), lambda n: n == F.substring(s, 1, 3))
-            ).alias("occurrence"),
-            s.alias("segment"),
-        ),
-    )
-    return table.select(key, F.posexplode(numbered).alias("place", "s")).select(
-        key, "place", "s.name", "s.occurrence", "s.segment"
+    # one projection per step: inside a lambda an expression would be made per element
+    cut = table.select(key, messages.segments(message).alias("_all"))
+    named = cut.withColumn("_names", F.transform("_all", lambda s: F.substring(s, 1, 3)))
+    rows = named.select(key, "_names", F.posexplode("_all").alias("place", "segment"))
+    name = F.substring("segment", 1, 3)
+    return rows.withColumn("name", name).select(
+        key,
+        "place",
+        "name",
+        F.size(
+            F.filter(F.slice("_names", F.lit(1), F.col("place") + 1), lambda n: n == F.col("name"))
+        ).alias("occurrence"),
+        "segment",
     )
 
 
 def hl7_acknowledge(table: DataFrame, key: str, message: str) -> DataFrame:
     """One reply row per message: AA for a readable one, AE with the reason otherwise."""
-    segments = messages.segments(message)
-    header = F.get(segments, F.lit(0))
+    table = table.withColumn("_header", F.get(messages.segments(message), F.lit(0)))
+    header = F.col("_header")
     control = F.nullif(messages.field(header, 10), F.lit(""))
     version = F.nullif(messages.field(header, 12), F.lit(""))
     error = (
