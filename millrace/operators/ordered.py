@@ -5,9 +5,9 @@ That is the best plan as long as no key is too heavy, and it is what is used the
 exchange and one sort, shared by every running column added to the same ``Ordered``.
 
 When a key (or the whole table, if no key is given) has more rows than a task should
-hold, its rows are range-partitioned by key *and* order, so that the key is cut into
-consecutive blocks of bounded size.  The block number is fixed by writing the rows once
-to the shared folder.  Every running column is then computed
+hold, it is cut into consecutive blocks of bounded size, by ranges of the first order
+column or, where that cannot be, by range partitions of all order columns.  Every running
+column is then computed
 
 1. inside each block, by the same window expressions, and
 2. across blocks, from one summary row per (key, block) - counts, sums, last values -
@@ -25,13 +25,19 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from millrace.functions.time import epoch_micros
 from millrace.runtime import Limits, estimated_bytes, pin
 
 BLOCK = "_block"
 LIGHT = -1
 # More blocks would cost more in shuffle files than they save; beyond that blocks grow.
 MOST_BLOCKS = 20_000
+# Several small blocks share a task; that evens out how they fall into tasks by hash.
+BLOCKS_PER_TASK = 4
+# Histogram bins per block.
+BINS_PER_BLOCK = 8
 
 
 @dataclass(frozen=True)
@@ -199,6 +205,62 @@ class Ordered:
     def _with(self, rows: DataFrame) -> "Ordered":
         return Ordered(rows, self.by, self.order_by, self.blocked)
 
+    def number_groups(
+        self, name: str, columns: Sequence[str], starts: Callable[[Column, Column], Column]
+    ) -> "Ordered":
+        """Number groups of consecutive rows from 0.
+
+        A row starts a new group where ``starts(previous, this)`` holds; both are structs of
+        the named columns.  The first row starts group 0.  One pass over the blocks: their
+        summaries hold the starts inside and the rows at both ends.
+        """
+        this = F.struct(*columns)
+        keys = [*self.by, BLOCK] if self.blocked else list(self.by)
+        w = Window.partitionBy(*keys).orderBy(*self.order_by)
+        started = lambda a, b: F.when(
+            a.isNotNull() & F.coalesce(starts(a, b), F.lit(False)), 1
+        ).otherwise(0)
+        marked = self.rows.withColumn("_prev", F.lag(this).over(w)).withColumn(
+            "_start", started(F.col("_prev"), this)
+        )
+        local = F.sum("_start").over(_upto(w))
+        if not self.blocked:
+            return self._with(marked.withColumn(name, local).drop("_prev", "_start"))
+
+        order = F.struct(*self.order_by)
+        summaries = (
+            marked.where(F.col(BLOCK) > LIGHT)
+            .groupBy(*keys)
+            .agg(
+                F.sum("_start").alias("_s"),
+                F.min_by(this, order).alias("_first"),
+                F.max_by(this, order).alias("_last"),
+            )
+        )
+        across = Window.partitionBy(*self.by).orderBy(BLOCK)
+        seams = summaries.withColumn("_before", F.lag("_last").over(across)).withColumn(
+            "_seam", started(F.col("_before"), F.col("_first"))
+        )
+        past = F.sum("_seam").over(_upto(across)) + F.coalesce(
+            F.sum("_s").over(_before(across)), F.lit(0)
+        )
+        carried = seams.select(*[F.col(k).alias(f"_k_{k}") for k in keys], past.alias("_c"))
+        joined = marked.withColumn("_l", local).join(
+            F.broadcast(carried), self._same_block(), "left"
+        )
+        return self._with(
+            joined.select(
+                *[c for c in self.rows.columns if c != name],
+                (F.col("_l") + F.coalesce(F.col("_c"), F.lit(0))).alias(name),
+            )
+        )
+
+    def _same_block(self) -> Column:
+        keys = [*self.by, BLOCK]
+        return reduce(
+            lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+        )
+
     def _plain_add(self, columns: dict[str, Running]) -> "Ordered":
         w = Window.partitionBy(*self.by).orderBy(*self.order_by)
         return self._with(self.rows.withColumns({n: r.plain(w) for n, r in columns.items()}))
@@ -219,10 +281,7 @@ class Ordered:
             *[F.col(k).alias(f"_k_{k}") for k in keys],
             *[r.carry(F.col(f"_s_{n}"), across).alias(f"_c_{n}") for n, r in columns.items()],
         )
-        same = reduce(
-            lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-        )
-        joined = local.join(F.broadcast(carried), same, "left")
+        joined = local.join(F.broadcast(carried), self._same_block(), "left")
         return self._with(
             joined.select(
                 *[c for c in self.rows.columns if c not in columns],
@@ -240,44 +299,131 @@ def ordered(
     """Look at ``df`` as sequences per ``by`` in the order ``order_by``.
 
     ``order_by`` must be a total order within a key (end it with a unique column).
-    Without ``by`` the whole table is one sequence.
+    Without ``by`` the whole table is one sequence.  An input that is costly to make
+    should be a table: looking for heavy keys reads it once more.
     """
     by = (by,) if isinstance(by, str) else tuple(by)
     order_by = (order_by,) if isinstance(order_by, str) else tuple(order_by)
     if not order_by:
         raise ValueError("rows have no order of their own: name the order columns")
+    plain = Ordered(df, by, order_by, blocked=False)
     limits = Limits.of(df.sparkSession)
     if estimated_bytes(df) <= limits.small_bytes:
-        return Ordered(df, by, order_by, blocked=False)
-    if not by:
-        total = df.count()
-        if total <= limits.rows_per_task:
-            return Ordered(df, by, order_by, blocked=False)
-        return Ordered(_blocks(df, (), order_by, total, limits), by, order_by, blocked=True)
+        return plain
 
     # One column-pruned pass with map-side counts; at most rows / rows_per_task keys remain.
+    place = _place(df, order_by[0])
+    ends = [f(place).alias(n) for f, n in ((F.min, "_lo"), (F.max, "_hi"))] if place is not None else []
     heavy = pin(
-        df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        df.groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("_n"), *ends)
         .where(F.col("_n") > limits.rows_per_task),
         "heavy-keys",
     )
     total = heavy.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     if total == 0:
-        return Ordered(df, by, order_by, blocked=False)
-    heavy = heavy.select(*[F.col(k).alias(f"_h_{k}") for k in by])
-    is_heavy = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in by])
-    light_rows = df.join(F.broadcast(heavy), is_heavy, "left_anti")
-    heavy_rows = df.join(F.broadcast(heavy), is_heavy, "left_semi")
-    rows = light_rows.withColumn(BLOCK, F.lit(LIGHT)).unionByName(
-        _blocks(heavy_rows, by, order_by, total, limits)
-    )
+        return plain
+    rows = None
+    if place is not None:
+        rows = _value_blocks(df, by, place, heavy, total, limits)
+    if rows is None:
+        rows = _range_blocks(df, by, order_by, heavy, total, limits)
     return Ordered(rows, by, order_by, blocked=True)
 
 
-def _blocks(
-    df: DataFrame, by: tuple[str, ...], order_by: tuple[str, ...], total: int, limits: Limits
+def _place(df: DataFrame, column: str) -> Column | None:
+    """The column as a number in the same order; None where there is none (texts, say)."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return epoch_micros(column)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("bigint")
+    if isinstance(kind, T.IntegralType):
+        return F.col(column).cast("bigint")
+    return None
+
+
+def _match(by: Sequence[str], prefix: str) -> Column:
+    return reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in by], F.lit(True)
+    )
+
+
+def _prefixed(df: DataFrame, by: Sequence[str], prefix: str, *rest: Column | str) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"{prefix}{k}") for k in by], *rest)
+
+
+def _value_blocks(
+    df: DataFrame, by: tuple[str, ...], place: Column, heavy: DataFrame, total: int, limits: Limits
+) -> DataFrame | None:
+    """Blocks by ranges of the first order column.  The block is a function of the row.
+
+    A histogram of the heavy keys, finer than needed, is put together to blocks of about
+    equal size; rows find their block through two broadcast lookups.  Nothing is shuffled
+    or written but the small tables, and light rows pass through the same plan.
+    None when single places hold too many rows to be cut this way.
+    """
+    per_block = max(-(-limits.rows_per_task // BLOCKS_PER_TASK), -(-total // MOST_BLOCKS))
+    meta = heavy.select(
+        *by,
+        "_lo",
+        ((F.ceil(F.col("_n") / per_block) * BINS_PER_BLOCK) / (F.col("_hi") - F.col("_lo") + 1)).alias(
+            "_scale"
+        ),
+    )
+    if by:
+        known = F.broadcast(_prefixed(meta, by, "_h_", "_lo", "_scale"))
+        placed = df.join(known, _match(by, "_h_"), "left")
+    else:  # one sequence: its two numbers are constants
+        low, scale = meta.first()
+        placed = df.withColumns({"_lo": F.lit(low), "_scale": F.lit(scale)})
+    # rows without a place come first in the order, as the smallest do
+    binned = placed.withColumn(
+        "_bin",
+        F.when(
+            F.col("_lo").isNotNull(),
+            F.coalesce(F.floor((place - F.col("_lo")) * F.col("_scale")), F.lit(0)),
+        ),
+    ).drop(*[f"_h_{k}" for k in by], "_lo", "_scale")
+
+    counts = binned.where(F.col("_bin").isNotNull()).groupBy(*by, "_bin").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    upto = F.sum("_n").over(_upto(Window.partitionBy(*by).orderBy("_bin")))
+    bins = pin(
+        counts.select(*by, "_bin", "_n", F.floor((upto - F.col("_n")) / per_block).cast("int").alias(BLOCK)),
+        "bins",
+    )
+    if bins.agg(F.max("_n")).first()[0] > max(limits.rows_per_task, 2 * per_block):
+        return None
+    lookup = F.broadcast(_prefixed(bins, by, "_b_", F.col("_bin").alias("_b_bin"), BLOCK))
+    same = _match(by, "_b_") & (F.col("_bin") == F.col("_b_bin"))
+    return (
+        binned.join(lookup, same, "left")
+        .withColumn(BLOCK, F.coalesce(F.col(BLOCK), F.lit(LIGHT)))
+        .drop("_bin", "_b_bin", *[f"_b_{k}" for k in by])
+    )
+
+
+def _range_blocks(
+    df: DataFrame,
+    by: tuple[str, ...],
+    order_by: tuple[str, ...],
+    heavy: DataFrame,
+    total: int,
+    limits: Limits,
 ) -> DataFrame:
-    # Twice as many blocks as needed on average: range bounds come from a sample.
+    """Blocks by range partitions of all order columns, for any type and any ties.
+
+    The block of a row depends on sampled bounds, so the heavy rows are written once.
+    """
+    # Twice as many blocks as needed on average: the bounds come from a sample.
     n = min(max(2, -(-2 * total // limits.rows_per_task)), MOST_BLOCKS)
-    ranged = df.repartitionByRange(n, *by, *order_by)
-    return pin(ranged.withColumn(BLOCK, F.spark_partition_id()), "blocks")
+    known = F.broadcast(_prefixed(heavy, by, "_h_"))
+    heavy_rows = df.join(known, _match(by, "_h_"), "left_semi") if by else df
+    ranged = heavy_rows.repartitionByRange(n, *by, *order_by)
+    blocks = pin(ranged.withColumn(BLOCK, F.spark_partition_id()), "blocks")
+    if not by:
+        return blocks
+    light = df.join(known, _match(by, "_h_"), "left_anti")
+    return light.withColumn(BLOCK, F.lit(LIGHT)).unionByName(blocks)

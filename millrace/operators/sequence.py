@@ -53,38 +53,29 @@ def sliding(seq: Ordered, value: str, size: int, name: str = "win") -> DataFrame
 
 def drop_consecutive_duplicates(seq: Ordered, value: str) -> DataFrame:
     """Keep the first row of each run of equal values (nulls equal nulls)."""
-    marked = seq.add(_i=o.index(), _p=o.lag(value))
-    keep = (F.col("_i") == 0) | ~F.col("_p").eqNullSafe(F.col(value))
-    return marked.where(keep).df.drop("_i", "_p")
-
-
-def islands(seq: Ordered, starts: Column, name: str) -> Ordered:
-    """Number groups that start where ``starts`` holds; the first row starts group 0."""
-    counted = seq.with_columns(_s=starts).add(_i=o.index())
-    boundary = _flag((F.col("_i") > 0) & F.coalesce(F.col("_s"), F.lit(False)))
-    return counted.with_columns(_b=boundary).add(**{name: o.running_sum("_b")}).drop(
-        "_s", "_i", "_b"
-    )
+    marked = seq.with_columns(_v=F.struct(F.col(value).alias("v"))).add(_p=o.lag("_v"))
+    keep = F.col("_p").isNull() | ~F.col("_p")["v"].eqNullSafe(F.col(value))
+    return marked.where(keep).df.drop("_v", "_p")
 
 
 def runs(seq: Ordered, key: str, name: str = "run_no") -> Ordered:
     """A new group whenever the key differs from the row before."""
-    return islands(
-        seq.add(_pk=o.lag(key)), ~F.col("_pk").eqNullSafe(F.col(key)), name
-    ).drop("_pk")
+    return seq.number_groups(name, [key], lambda a, b: ~a[key].eqNullSafe(b[key]))
 
 
 def sessions(
     seq: Ordered, ts: str, gap_seconds: float, name: str = "session_no"
 ) -> Ordered:
     """A new group when the time since the row before is at least the gap."""
-    gap = epoch_micros(ts) - epoch_micros("_pt")
-    return islands(seq.add(_pt=o.lag(ts)), gap >= int(gap_seconds * MICROS), name).drop("_pt")
+    gap = int(gap_seconds * MICROS)
+    return seq.number_groups(
+        name, [ts], lambda a, b: epoch_micros(b[ts]) - epoch_micros(a[ts]) >= gap
+    )
 
 
 def number_sessions(seq: Ordered, at: str, gap: int, name: str = "session_no") -> Ordered:
     """Sessions over plain numbers, with the same rule: a gap equal to the limit splits."""
-    return islands(seq.add(_pt=o.lag(at)), F.col(at) - F.col("_pt") >= gap, name).drop("_pt")
+    return seq.number_groups(name, [at], lambda a, b: b[at] - a[at] >= gap)
 
 
 def scenes(
@@ -94,9 +85,7 @@ def scenes(
 
     The end of the row before counts, not the largest end so far.
     """
-    return islands(
-        seq.add(_pe=o.lag(end)), F.col(start) - F.col("_pe") >= max_gap, name
-    ).drop("_pe")
+    return seq.number_groups(name, [start, end], lambda a, b: b[start] - a[end] >= max_gap)
 
 
 def flush_batches(
@@ -107,20 +96,25 @@ def flush_batches(
     Flush rows are no items, and a batch without items does not exist, so the numbers are
     those of the item rows only.
     """
-    marked = seq.with_columns(_f=flush).add(_pf=o.lag("_f"), _pt=o.lag(ts))
-    idle = epoch_micros(ts) - epoch_micros("_pt") >= int(idle_seconds * MICROS)
-    raw = islands(marked, idle | F.col("_pf"), "_raw").where(~F.col("_f"))
-    batches = islands(
-        raw.add(_pr=o.lag("_raw")), F.col("_raw") != F.col("_pr"), name
+    idle = int(idle_seconds * MICROS)
+    closed = seq.with_columns(_f=flush).number_groups(
+        "_raw",
+        [ts, "_f"],
+        lambda a, b: a["_f"] | (epoch_micros(b[ts]) - epoch_micros(a[ts]) >= idle),
+    )
+    items = closed.where(~F.col("_f"))
+    return items.number_groups(name, ["_raw"], lambda a, b: a["_raw"] != b["_raw"]).df.drop(
+        "_f", "_raw"
     )
-    return batches.df.drop("_f", "_pf", "_pt", "_raw", "_pr")
 
 
 def marker_chunks(seq: Ordered, terminator: Column, name: str = "chunk_no") -> Ordered:
     """Chunks that end with a terminator row, which stays in its chunk."""
-    return islands(
-        seq.with_columns(_t=terminator).add(_pm=o.lag("_t")), F.col("_pm"), name
-    ).drop("_t", "_pm")
+    return (
+        seq.with_columns(_t=terminator)
+        .number_groups(name, ["_t"], lambda a, b: a["_t"])
+        .drop("_t")
+    )
 
 
 def changed_seconds(
@@ -130,11 +124,11 @@ def changed_seconds(
 
     ``drop_last`` leaves out the final row of each sequence, as counting over pairs does.
     """
-    unit_of = lambda c: F.date_trunc(unit, F.col(c).cast("timestamp"))
-    grouped = islands(seq.add(_pt=o.lag(ts)), unit_of("_pt") != unit_of(ts), name)
+    unit_of = lambda s: F.date_trunc(unit, s[ts].cast("timestamp"))
+    grouped = seq.number_groups(name, [ts], lambda a, b: unit_of(a) != unit_of(b))
     if drop_last:
         grouped = grouped.add(_nt=o.lead(ts)).where(F.col("_nt").isNotNull()).drop("_nt")
-    return grouped.df.drop("_pt")
+    return grouped.df
 
 
 def chunks(seq: Ordered, size: int, name: str = "chunk_no") -> Ordered:

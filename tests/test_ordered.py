@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import ordered as o
@@ -37,8 +38,13 @@ def _result(df, by):
     return seq.blocked, sorted(again.df.collect(), key=lambda r: r["id"])
 
 
-def test_blocked_equals_plain(spark, request):
+@pytest.mark.parametrize("kind", ["value blocks", "range blocks", "ties"])
+def test_blocked_equals_plain(spark, kind):
     df = spark.createDataFrame(_rows(), "k string, t int, id int, v int")
+    if kind == "range blocks":  # a text has no place in numbers
+        df = df.withColumn("t", F.lpad(F.col("t").cast("string"), 3, "0"))
+    if kind == "ties":  # one place holds too much
+        df = df.withColumn("t", F.lit(1))
     for by in (["k"], []):
         plain_blocked, plain = _result(df, by)
         assert not plain_blocked
@@ -72,3 +78,22 @@ def test_plain_plan_has_one_exchange_and_one_sort(spark, sf_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert plan.count("Sort [") == 1
+
+
+def test_value_blocks_add_no_shuffle_of_the_rows(spark, heavy):
+    rows = [("hot", t, t) for t in range(40)] + [("cold", 1, 1), (None, 2, 2)]
+    df = spark.createDataFrame(rows, "k string, t int, id int")
+    seq = o.ordered(df, by="k", order_by=["t", "id"])
+    plan = seq.rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan
+    sizes = [r["count"] for r in seq.rows.where("_block >= 0").groupBy("_block").count().collect()]
+    assert sum(sizes) == 40 and max(sizes) <= 6
+
+
+def test_rows_without_a_place_come_first(spark, heavy):
+    rows = [("k", None if i % 4 == 0 else i, i) for i in range(24)]
+    df = spark.createDataFrame(rows, "k string, t int, id int")
+    seq = o.ordered(df, by="k", order_by=["t", "id"]).add(i=o.index())
+    assert seq.blocked
+    order = [r["id"] for r in seq.df.orderBy("i").collect()]
+    assert order == [i for i in range(24) if i % 4 == 0] + [i for i in range(24) if i % 4]

@@ -20,9 +20,14 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query_equals_its_check(spark, con, sf_dir, name):
     assert name in plans.CHECKS, "every query has a check"
-    n, problems = check_queries.compare(plans.QUERIES[name](spark, sf_dir), con, plans.CHECKS[name])
+    df = plans.QUERIES[name](spark, sf_dir)
+    n, problems = check_queries.compare(df, con, plans.CHECKS[name])
     assert not problems, problems
     assert n > 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    # one-row sides only: the reference time of a range
+    assert "BroadcastNestedLoopJoin" not in plan or name == "series_recent"
 
 
 def test_entry_point(spark):
@@ -52,12 +57,3 @@ def test_aggregates_combine_before_the_shuffle(spark, sf_dir):
 def test_sequences_need_one_exchange(spark, sf_dir):
     for name in ("row_index", "dedupe_consecutive", "cache_hit_miss", "replace_append", "asof_param"):
         assert plan_of(spark, sf_dir, name).count("Exchange hashpartitioning") == 1, name
-
-
-def test_no_query_joins_all_with_all(spark, sf_dir):
-    streaming = [n for n in plans.QUERIES if n.endswith("_stream")]
-    for name in sorted(set(plans.QUERIES) - set(streaming)):
-        plan = plan_of(spark, sf_dir, name)
-        assert "CartesianProduct" not in plan, name
-        # one-row sides only: the reference time of a range
-        assert "BroadcastNestedLoopJoin" not in plan or name == "series_recent", name
