@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 MS_PER_HOUR = 3_600_000
 MS_PER_MINUTE = 60_000
 MS_PER_SECOND = 1_000
+MICROS_PER_DAY = 86_400_000_000
+MICROS_PER_MINUTE = 60_000_000
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00")
 
 
 def _col(c: Column | str) -> Column:
@@ -52,13 +58,29 @@ def floor_to(value: Column | str, step: int) -> Column:
 
 
 def epoch_micros(ts: Column | str) -> Column:
-    """Microseconds since 1970 of a TIMESTAMP or TIMESTAMP_NTZ in the session zone UTC."""
+    """Microseconds since 1970 of a TIMESTAMP; a TIMESTAMP_NTZ is read in the session zone."""
     return F.unix_micros(_col(ts).cast("timestamp"))
 
 
-def seconds_between(later: Column | str, earlier: Column | str) -> Column:
-    """Exact difference in microseconds, as a DOUBLE of seconds."""
-    return (epoch_micros(later) - epoch_micros(earlier)) / 1_000_000.0
+def wall_micros(ts: Column | str) -> Column:
+    """Microseconds since 1970 of a TIMESTAMP_NTZ as if its clock ran in UTC, in any session zone."""
+    t = _col(ts)
+    days = F.unix_date(t.cast("date")).cast("bigint")
+    minutes = F.hour(t) * 60 + F.minute(t)
+    micros = (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+    return days * MICROS_PER_DAY + minutes.cast("bigint") * MICROS_PER_MINUTE + micros
+
+
+def micros_of(df: DataFrame, column: str) -> Callable[[Column | str], Column]:
+    """How to turn values of a time column into microseconds, in time order.
+
+    Times without a zone must not pass through a zone with clock changes; where the
+    session zone is UTC the plain cast is the same and much cheaper.
+    """
+    if not isinstance(df.schema[column].dataType, TimestampNTZType):
+        return epoch_micros
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    return epoch_micros if zone in UTC_NAMES else wall_micros
 
 
 def local_seconds(epoch_seconds: Column | str, zone: str = "UTC") -> Column:

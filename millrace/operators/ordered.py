@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.time import epoch_micros
+from millrace.functions.time import micros_of
 from millrace.runtime import Limits, estimated_bytes, pin
 
 BLOCK = "_block"
@@ -335,7 +335,7 @@ def _place(df: DataFrame, column: str) -> Column | None:
     """The column as a number in the same order; None where there is none (texts, say)."""
     kind = df.schema[column].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return epoch_micros(column)
+        return micros_of(df, column)(column)
     if isinstance(kind, T.DateType):
         return F.unix_date(column).cast("bigint")
     if isinstance(kind, T.IntegralType):

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.time import epoch_micros
+from millrace.functions.time import micros_of
 from millrace.operators import ordered as o
 from millrace.operators.ordered import Ordered
 
@@ -67,10 +67,8 @@ def sessions(
     seq: Ordered, ts: str, gap_seconds: float, name: str = "session_no"
 ) -> Ordered:
     """A new group when the time since the row before is at least the gap."""
-    gap = int(gap_seconds * MICROS)
-    return seq.number_groups(
-        name, [ts], lambda a, b: epoch_micros(b[ts]) - epoch_micros(a[ts]) >= gap
-    )
+    gap, micros = int(gap_seconds * MICROS), micros_of(seq.rows, ts)
+    return seq.number_groups(name, [ts], lambda a, b: micros(b[ts]) - micros(a[ts]) >= gap)
 
 
 def number_sessions(seq: Ordered, at: str, gap: int, name: str = "session_no") -> Ordered:
@@ -96,11 +94,11 @@ def flush_batches(
     Flush rows are no items, and a batch without items does not exist, so the numbers are
     those of the item rows only.
     """
-    idle = int(idle_seconds * MICROS)
+    idle, micros = int(idle_seconds * MICROS), micros_of(seq.rows, ts)
     closed = seq.with_columns(_f=flush).number_groups(
         "_raw",
         [ts, "_f"],
-        lambda a, b: a["_f"] | (epoch_micros(b[ts]) - epoch_micros(a[ts]) >= idle),
+        lambda a, b: a["_f"] | (micros(b[ts]) - micros(a[ts]) >= idle),
     )
     items = closed.where(~F.col("_f"))
     return items.number_groups(name, ["_raw"], lambda a, b: a["_raw"] != b["_raw"]).df.drop(
@@ -124,7 +122,7 @@ def changed_seconds(
 
     ``drop_last`` leaves out the final row of each sequence, as counting over pairs does.
     """
-    unit_of = lambda s: F.date_trunc(unit, s[ts].cast("timestamp"))
+    unit_of = lambda s: F.date_trunc(unit, s[ts])
     grouped = seq.number_groups(name, [ts], lambda a, b: unit_of(a) != unit_of(b))
     if drop_last:
         grouped = grouped.add(_nt=o.lead(ts)).where(F.col("_nt").isNotNull()).drop("_nt")
@@ -272,11 +270,12 @@ def cache_outcome(
     """
     is_update = F.coalesce(update, F.lit(False)) if update is not None else F.lit(False)
     seq = o.ordered(df, key, order_by).with_columns(_u=is_update).add(_pt=o.lag(ts), _pu=o.lag("_u"))
-    micros = lambda seconds: F.lit(seconds * MICROS).cast("bigint")
-    allowed = F.when(F.col("_pu"), micros(update_idle_seconds or idle_seconds)).otherwise(
-        micros(idle_seconds)
+    span = lambda seconds: F.lit(seconds * MICROS).cast("bigint")
+    allowed = F.when(F.col("_pu"), span(update_idle_seconds or idle_seconds)).otherwise(
+        span(idle_seconds)
     )
-    kept = epoch_micros(ts) - epoch_micros("_pt") < allowed
+    micros = micros_of(df, ts)
+    kept = micros(ts) - micros("_pt") < allowed
     outcome = (
         F.when(F.col("_u"), "update").when(F.coalesce(kept, F.lit(False)), "hit").otherwise("miss")
     )
@@ -321,9 +320,10 @@ def late_rows(
     seq: Ordered, ts: str, delay_seconds: int, name: str = "late"
 ) -> DataFrame:
     """Mark rows older than the newest time seen so far (in arrival order) minus the delay."""
-    mark = epoch_micros("_max") - delay_seconds * MICROS
+    micros = micros_of(seq.rows, ts)
+    mark = micros("_max") - delay_seconds * MICROS
     return (
         seq.add(_max=o.running_max(ts))
-        .with_columns(**{name: epoch_micros(ts) < mark})
+        .with_columns(**{name: micros(ts) < mark})
         .df.drop("_max")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, numbers, text
+from millrace.functions.time import micros_of
 from millrace.operators import aggregates as ag
 from millrace.operators import latest
 from millrace.operators import ordered as o
@@ -326,7 +327,7 @@ def throughput(spark, sf_dir):
     slots = rows.groupBy(F.window("ts", "1 day")["start"].alias("slot")).agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")
     )
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    micros = micros_of(rows, "ts")
     elapsed = F.floor((micros("b") - micros("a")) / 1000)
     return slots.select("slot", "n", ag.overall_rate(F.col("n"), elapsed).alias("rate"))
 

@@ -137,7 +137,7 @@ def line_protocol(spark, sf_dir):
         F.concat(F.lit("load_"), "event_type"),
         {"sensor": F.col("user_id")},
         {"hr": records.integer_field(F.col("event_id")), "level": F.col("value")},
-        F.unix_millis(F.col("ts").cast("timestamp")),
+        F.floor(clock.micros_of(rows, "ts")("ts") / 1000),
     )
     rows.select(line).write.text(path)
     back = records.points(lines.read_lines(spark, path))
@@ -367,8 +367,9 @@ def log_after_marker(spark, sf_dir):
 )
 def marked_scenes(spark, sf_dir):
     # intervals over the whole table: one sequence without a key
-    start = F.unix_millis(F.col("ts").cast("timestamp"))
-    blocks = events(spark, sf_dir).select(
+    rows = events(spark, sf_dir)
+    start = F.floor(clock.micros_of(rows, "ts")("ts") / 1000)
+    blocks = rows.select(
         "ts", "event_id", start.alias("s"),
         (start + F.rint(F.col("value") * 1000).cast("bigint")).alias("e"),
     )

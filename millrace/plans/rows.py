@@ -401,8 +401,9 @@ def bytes_roundtrip(spark, sf_dir):
 )
 def time_parts(spark, sf_dir):
     # January: the local zone is one hour ahead of UTC
-    seconds = F.floor(clock.epoch_micros("ts") / 1_000_000).cast("bigint")
-    return events(spark, sf_dir).select(
+    rows = events(spark, sf_dir)
+    seconds = F.floor(clock.micros_of(rows, "ts")("ts") / 1_000_000).cast("bigint")
+    return rows.select(
         "event_id",
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"),
         F.date_format("ts", "HH:mm:ss").alias("clock"),

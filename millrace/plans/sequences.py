@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.functions.numbers import exact_sum
-from millrace.functions.time import epoch_micros
+from millrace.functions.time import micros_of
 from millrace.operators import latest
 from millrace.operators import ordered as o
 from millrace.operators import sequence as sq
@@ -172,9 +172,10 @@ def global_sessions(spark, sf_dir):
 )
 def scenes(spark, sf_dir):
     # a block lasts as many minutes as its value; scenes end at a pause of an hour
-    start = epoch_micros("ts")
+    seq = user_events(spark, sf_dir, "value")
+    start = micros_of(seq.rows, "ts")("ts")
     length = F.rint(F.col("value") * 1000).cast("bigint") * 1000 * 60
-    seq = user_events(spark, sf_dir, "value").with_columns(s=start, e=start + length)
+    seq = seq.with_columns(s=start, e=start + length)
     grouped = sq.scenes(seq, "s", "e", 3_600_000_000).df
     return sq.summarise(
         grouped, "user_id", "scene_no", counted(), F.min("s").alias("start_us"), F.max("e").alias("end_us")

@@ -66,7 +66,10 @@ def spread(df: DataFrame) -> DataFrame:
     split.  A table of many files has enough pieces and is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        return df  # no plain scan: its shuffle decides
+    pieces = execution.toRdd().getNumPartitions()
     return df.repartition(cores) if pieces * 2 <= cores else df
 
 

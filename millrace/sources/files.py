@@ -27,6 +27,24 @@ def inventory(spark: SparkSession, folder: str, pattern: str = "*.zip", depth: i
     return files.orderBy(F.col("modificationTime").asc_nulls_last(), "path")
 
 
+def read_objects(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Objects below a folder of any file system Spark reaches: path, time, length, content.
+
+    Counting or listing them does not read the contents.
+    """
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern)
+        .load(folder)
+    )
+
+
+def put_text_objects(df: DataFrame, folder: str, name: str, text: str) -> None:
+    """One text object per row, in a folder of its name."""
+    df.select(name, text).write.mode("append").partitionBy(name).text(folder)
+
+
 def _matches(spark: SparkSession, pattern: str) -> bool:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(pattern)

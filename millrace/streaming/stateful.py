@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.functions.time import epoch_micros
+from millrace.functions.time import micros_of
 from millrace.operators import latest
 from millrace.operators import ordered as o
 from millrace.operators.ordered import Ordered
@@ -44,17 +44,21 @@ class CarriedScan:
     def writer(self, stream: DataFrame) -> DataStreamWriter:
         def process(batch: DataFrame, batch_id: int) -> None:
             spark, columns = batch.sparkSession, batch.columns
-            rows = batch.withColumn(FRESH, F.lit(1))
-            if batch_id > 0:
-                past = spark.read.schema(batch.schema).parquet(self._carried_path(batch_id - 1))
-                rows = rows.unionByName(past.withColumn(FRESH, F.lit(0)))
-            seq = self.scan(o.ordered(rows, self.by, [FRESH, *self.order_by]))
-            seq.where(F.col(FRESH) == 1).df.drop(FRESH).write.mode("overwrite").parquet(
-                f"{self.folder.output}/{BATCH}={batch_id}"
-            )
-            self.carry(rows).select(*columns).write.mode("overwrite").parquet(
-                self._carried_path(batch_id)
-            )
+            kept = batch.persist()  # read by the scan's passes and by the carry
+            try:
+                rows = kept.withColumn(FRESH, F.lit(1))
+                if batch_id > 0:
+                    past = spark.read.schema(batch.schema).parquet(self._carried_path(batch_id - 1))
+                    rows = rows.unionByName(past.withColumn(FRESH, F.lit(0)))
+                seq = self.scan(o.ordered(rows, self.by, [FRESH, *self.order_by]))
+                seq.where(F.col(FRESH) == 1).df.drop(FRESH).write.mode("overwrite").parquet(
+                    f"{self.folder.output}/{BATCH}={batch_id}"
+                )
+                self.carry(rows).select(*columns).write.mode("overwrite").parquet(
+                    self._carried_path(batch_id)
+                )
+            finally:
+                kept.unpersist()
 
         return stream.writeStream.option(
             "checkpointLocation", self.folder.checkpoint
@@ -71,8 +75,9 @@ def late_filter(
     """
 
     def on_time(seq: Ordered) -> Ordered:
-        mark = epoch_micros("_top") - delay_seconds * MICROS
-        return seq.add(_top=o.running_max(ts)).where(epoch_micros(ts) >= mark).drop("_top")
+        micros = micros_of(seq.rows, ts)
+        mark = micros("_top") - delay_seconds * MICROS
+        return seq.add(_top=o.running_max(ts)).where(micros(ts) >= mark).drop("_top")
 
     def newest(rows: DataFrame) -> DataFrame:
         if by:
@@ -103,7 +108,8 @@ def cache_outcomes(
     def judge(seq: Ordered) -> Ordered:
         seq = seq.with_columns(_u=is_update()).add(_pt=o.lag(ts), _pu=o.lag("_u"))
         allowed = F.when(F.col("_pu"), F.lit(update_idle_seconds)).otherwise(F.lit(idle_seconds))
-        idle = epoch_micros(ts) - epoch_micros("_pt")
+        micros = micros_of(seq.rows, ts)
+        idle = micros(ts) - micros("_pt")
         hit = F.coalesce(idle < allowed.cast("bigint") * MICROS, F.lit(False))
         outcome = F.when(F.col("_u"), "update").when(hit, "hit").otherwise("miss")
         return seq.with_columns(**{name: outcome}).drop("_u", "_pt", "_pu")
@@ -113,7 +119,8 @@ def cache_outcomes(
         # because rows arrive in time order
         newest = rows.agg(F.max(ts).alias("_now"))
         last = latest.newest_per(rows, key, list(order_by)).join(F.broadcast(newest))
-        return last.where(epoch_micros("_now") - epoch_micros(ts) <= keep).drop("_now")
+        micros = micros_of(rows, ts)
+        return last.where(micros("_now") - micros(ts) <= keep).drop("_now")
 
     return CarriedScan(folder, [key], order_by, judge, last_access)
 

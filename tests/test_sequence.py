@@ -218,6 +218,20 @@ def test_sessions_partition_the_input(spark, path):
             assert (t2 - t1 < 7) == (n1 == n2)
 
 
+def test_times_without_zone_ignore_clock_changes(spark, path):
+    # the clocks of this zone skip from 2 to 3 o'clock on that day
+    stamps = ["2024-03-10 01:50:00", "2024-03-10 02:30:00", "2024-03-10 03:10:00", "2024-03-10 04:20:00"]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame(list(enumerate(stamps)), "i int, s string").select(
+            "i", F.col("s").cast("timestamp_ntz").alias("ts")
+        )
+        numbered = sq.sessions(o.ordered(df, (), ["ts", "i"]), "ts", 3600).df
+        assert groups(numbered, "session_no", "i") == [[0, 1, 2], [3]]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_arguments_are_checked(spark):
     df = spark.range(3)
     with pytest.raises(ValueError):

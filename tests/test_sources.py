@@ -214,3 +214,14 @@ def test_scratch_paths_are_below_the_named_folder(spark):
     assert shared_root(spark) == root
     assert work_dir(spark, "x").startswith(f"{root}/millrace/x-")
     assert work_dir(spark, "x") != work_dir(spark, "x")
+
+
+def test_objects_put_listed_and_read(spark, tmp_path):
+    store = str(tmp_path / "store")
+    df = spark.range(10).select(F.format_string("o%02d", "id").alias("name"), F.lit("hello").alias("body"))
+    files.put_text_objects(df, store, "name", "body")
+    objects = files.read_objects(spark, store, "*.txt")
+    assert objects.count() == 10
+    assert {bytes(r["content"]) for r in objects.collect()} == {b"hello\n"}
+    listing = objects.select("path", "length")
+    assert "content" not in listing._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
