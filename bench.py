@@ -84,7 +84,8 @@ def text_runs(spark, sf_dir, rows):
 
     def stats():
         parsed = lines.pick_fields(
-            lines.read_lines(spark, stations), "location STRING, temperature DOUBLE", separator=";"
+            lines.read_lines(spark, stations), "location STRING, temperature DOUBLE", separator=";",
+            clean=True,
         )
         return ag.min_mean_max(parsed, "location", "temperature")
 

@@ -35,27 +35,39 @@ def zip_positional(
     return a.join(b, [*by, name])
 
 
+def _payload(df: DataFrame, without: Sequence[str]) -> Column:
+    # the flag keeps the struct from being empty
+    return F.struct(F.lit(True).alias("_is"), *[c for c in df.columns if c not in without])
+
+
 def _tagged(
-    left: DataFrame, right: DataFrame, by: list[str], order_by: list[str], ranks: tuple[int, int]
+    left: DataFrame,
+    right: DataFrame,
+    by: list[str],
+    order_by: list[str],
+    ranks: tuple[int, int],
+    left_without: Sequence[str],
 ) -> DataFrame:
-    """Both sides as one sequence; payloads in the structs ``_a`` and ``_b``."""
+    """Both sides as one sequence; payloads in the structs ``_a`` and ``_b``.
+
+    What travels as key or order column is not sent a second time in the payload.
+    """
+    payloads = {"_a": _payload(left, left_without), "_b": _payload(right, by)}
+    kinds = {
+        n: df.select(payloads[n].alias("s")).schema["s"].dataType
+        for n, df in (("_a", left), ("_b", right))
+    }
 
-    def side(df: DataFrame, mine: str, other: str, other_df: DataFrame, rank: int) -> DataFrame:
+    def side(df: DataFrame, mine: str, other: str, rank: int) -> DataFrame:
         return df.select(
             *by,
             *order_by,
             F.lit(rank).alias("_rank"),
-            F.struct(*df.columns).alias(mine),
-            F.lit(None).cast(_struct_type(other_df)).alias(other),
+            payloads[mine].alias(mine),
+            F.lit(None).cast(kinds[other]).alias(other),
         )
 
-    return side(left, "_a", "_b", right, ranks[0]).unionByName(
-        side(right, "_b", "_a", left, ranks[1])
-    )
-
-
-def _struct_type(df: DataFrame):
-    return df.select(F.struct(*df.columns).alias("s")).schema["s"].dataType
+    return side(left, "_a", "_b", ranks[0]).unionByName(side(right, "_b", "_a", ranks[1]))
 
 
 def combine_latest(
@@ -67,12 +79,12 @@ def combine_latest(
 ) -> DataFrame:
     """On each new row of either side, combine it with the last row of the other side.
 
-    Starts once both sides have a row.  ``combine`` gets the two rows as structs and names
-    the result columns.  Both sides carry the keys and the order columns; the left side
+    Starts once both sides have a row.  ``combine`` gets the two rows as structs (without
+    their keys) and names the result columns.  Both sides carry the keys and the order columns; the left side
     comes first where the order columns are equal.
     """
     by, order_by = _list(by), _list(order_by)
-    both = _tagged(left, right, by, order_by, (0, 1))
+    both = _tagged(left, right, by, order_by, (0, 1), left_without=by)
     seq = o.ordered(both, by, [*order_by, "_rank"]).add(
         _la=o.last_known("_a"), _lb=o.last_known("_b")
     )
@@ -90,17 +102,22 @@ def asof(
 ) -> DataFrame:
     """Each row with the newest parameter row at or before it (null before the first).
 
+    ``use`` gets the row and the parameter row (without its keys) as structs and names the
+    result columns.
+
     Union and last-known value: one shuffle on the keys, no range join.  A parameter with
     the same order values as a row counts as before it.
     """
     by, order_by = _list(by), _list(order_by)
-    both = _tagged(rows, params, by, order_by, (1, 0))
+    outside = [*by, *order_by]
+    both = _tagged(rows, params, by, order_by, (1, 0), left_without=outside)
     seq = o.ordered(both, by, [*order_by, "_rank"]).add(_p=o.last_known("_b"))
-    made = use(F.col("_a"), F.col("_p"))
-    return seq.df.where(F.col("_a").isNotNull()).select(
-        *[F.col("_a")[c].alias(c) for c in rows.columns],
-        *[c.alias(n) for n, c in made.items()],
-    )
+    columns = [
+        F.col(c) if c in outside else F.col("_a")[c].alias(c) for c in rows.columns
+    ]
+    found = seq.df.where(F.col("_a").isNotNull())
+    made = use(F.struct(*columns), F.col("_p"))
+    return found.select(*columns, *[c.alias(n) for n, c in made.items()])
 
 
 def versioned_exclusion(

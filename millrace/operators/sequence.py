@@ -217,14 +217,14 @@ def running_fold(
     """
     forms = {"sum": (o.running_sum, 0), "product": (o.running_product, 1)}
     form, zero = forms[kind]
-    done = seq.add(**{step: o.index(), name: form(value)})
-    rows = done.df.select(*seq.by, (F.col(step) + 1).alias(step), name)
-    keys = done.df.select(*seq.by).distinct() if seq.by else seq.df.sparkSession.range(1).select()
-    zeros = keys.select(
-        *seq.by, F.lit(0).cast("bigint").alias(step),
-        F.lit(zero).cast(rows.schema[name].dataType).alias(name),
+    done = seq.add(**{step: o.index(), name: form(value)}).df
+    at = F.struct((F.col(step) + 1).alias(step), F.col(name).alias(name))
+    start = F.struct(
+        F.lit(0).cast("bigint").alias(step), F.lit(zero).cast(done.schema[name].dataType).alias(name)
     )
-    return rows.unionByName(zeros)
+    # the first row also brings the zero: no second look at the input
+    steps = F.when(F.col(step) == 0, F.array(start, at)).otherwise(F.array(at))
+    return done.select(*seq.by, F.explode(steps).alias("_s")).select(*seq.by, "_s.*")
 
 
 def special_first(seq: Ordered, first: Column, rest: Column, name: str = "treated") -> DataFrame:

@@ -17,8 +17,8 @@ def each(spark, data, kind, column):
 
 
 def test_hashtags(spark):
-    found = each(spark, ["#other #akka aBody #akka", "#akka #other aBody", "none"], "string", text.hashtags)
-    assert found == [["#other", "#akka"], ["#akka", "#other"], []]
+    found = each(spark, ["#other #flow aBody #flow", "#flow #other aBody", "none"], "string", text.hashtags)
+    assert found == [["#other", "#flow"], ["#flow", "#other"], []]
 
 
 def test_tokens_and_words(spark):

@@ -36,6 +36,8 @@ def test_parse_fields_names_the_first_bad_field(spark, tmp_path):
     assert got["id, name, n"][3] == "id has another type"
     assert got["2,b,NA"] == (2, "b", None, "n has another type")
     assert got["3"] == (3, None, None, "fields are missing")
+    rare = lines.pick_fields(lines.read_lines(spark, path), "n INT", [2], clean=True)
+    assert sorted(str(r["n"]) for r in rare.collect()) == ["5", "None", "None", "None"]
     picked = lines.pick_fields(lines.read_lines(spark, path), "n INT", [2])
     assert sorted(str(r["n"]) for r in picked.collect()) == ["5", "None", "None", "None"]
 
@@ -225,3 +227,10 @@ def test_objects_put_listed_and_read(spark, tmp_path):
     assert {bytes(r["content"]) for r in objects.collect()} == {b"hello\n"}
     listing = objects.select("path", "length")
     assert "content" not in listing._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("separator", ["|", ".", ";", "\t", "^", "||", "$"])
+def test_separators_are_taken_literally(spark, separator):
+    df = spark.createDataFrame([(separator.join(["1", "b", "2"]),)], "line string")
+    got = lines.pick_fields(df, "a INT, b STRING, c INT", separator=separator).first()
+    assert tuple(got) == (1, "b", 2)
