@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality, simhash
+from millrace.llm import quality, simhash, substrings
 from millrace.llm.common import documents
 from millrace.llm.registry import query
 from millrace.sources.tables import table
@@ -18,3 +18,30 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query(
+    "op4_substrings",
+    r"""
+    WITH words AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ),
+    windows AS (
+        SELECT doc_id, s, array_to_string(w[s:s + 49], ' ') AS words
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words WHERE len(w) >= 50)
+    ),
+    repeated AS (
+        SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY words) AS source FROM windows)
+        WHERE source < doc_id
+    ),
+    gone AS (SELECT DISTINCT doc_id, s + unnest(range(50)) AS p FROM repeated),
+    lost AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+        sha256(coalesce(array_to_string(
+            list_transform(list_filter(range(1, len(w) + 1), lambda p: ps IS NULL OR NOT list_contains(ps, p)),
+                lambda p: w[p]), ' '), '')) AS kept_sha256
+    FROM words LEFT JOIN lost USING (doc_id)
+    """,
+)
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(documents(spark, sf_dir))
