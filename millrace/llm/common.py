@@ -32,6 +32,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WHITE)), F.lit(0)).cast("long")
 
 
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file, which every executor has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 class Scratch:
     """Tables below the folder that the cluster shares, written so that a lost executor costs
     a task and not the lineage.  ``drop`` removes a table that a later one has replaced."""

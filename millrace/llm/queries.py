@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import quality, simhash, substrings
-from millrace.llm.common import documents
+from millrace.llm import packing, quality, simhash, substrings
+from millrace.llm.common import documents, tokenizer_path
 from millrace.llm.registry import query
 from millrace.sources.tables import table
 
@@ -45,3 +45,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(documents(spark, sf_dir))
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
