@@ -112,10 +112,13 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = 50) -> DataFrame:
         .where("lo < hi")
         .select("core", "lo", (F.col("x") < F.col("y")).alias("branches"))
     )
+    # written, so that the join reads two plain exchanges and Spark can split a hot minimiser
+    shared = scratch.put(shared, "shared")
     met = scratch.put(found.join(shared, "core").where("branches or doc_id > lo"), "met")
     plain = met.where("not branches").select("doc_id", "s", "n")
     forked = met.where("branches")
     first = forked.groupBy("core", "whole").agg(F.min("doc_id").alias("source"))
+    first = scratch.put(first, "first")
     forked = scratch.put(forked.join(first, ["core", "whole"]), "forked")
     copied = forked.where("doc_id > source").select("doc_id", "s", "n")
     todo = (
@@ -129,6 +132,7 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = 50) -> DataFrame:
         .agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
         .where("source < last")
     )
+    again = scratch.put(again, "again")
     verified = (
         windows.join(again, ["core", "word_hash"])
         .where("doc_id > source")
