@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import packing, quality, simhash, substrings
+from millrace.llm import mixing, packing, quality, simhash, substrings
 from millrace.llm.common import documents, tokenizer_path
 from millrace.llm.registry import query
 from millrace.sources.tables import table
@@ -50,3 +50,64 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+@query(
+    "op3_mixing",
+    r"""
+    WITH sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+            ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS place
+        FROM documents
+    ),
+    by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM by_source),
+    weighed AS (SELECT *, [5, 2, 1][number % 3 + 1] AS weight, source_size * 2.0::DOUBLE AS cap FROM numbered),
+    levels AS (
+        SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS total,
+            (sum(source_size) OVER () * 1.5::DOUBLE
+                - coalesce(sum(cap) OVER (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / (sum(weight) OVER ()
+                - coalesce(sum(weight) OVER (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+        FROM weighed
+    ),
+    filled AS (
+        SELECT *, coalesce(least(cap, max(CASE WHEN level <= cap / weight THEN level END) OVER () * weight), cap) AS target,
+            ceil(least(greatest(1.0, floor(total / 1048576)), greatest(1.0, source_size / 256::DOUBLE)))::BIGINT AS block
+        FROM levels
+    ),
+    quotas AS (
+        SELECT *, ceil(source_size / block::DOUBLE)::BIGINT AS blocks,
+            least(floor(target / block + 0.5)::BIGINT, ceil(source_size / block::DOUBLE)::BIGINT * 2) AS quota
+        FROM filled
+    ),
+    goals AS (
+        SELECT *, (sum(quota) OVER ())::BIGINT AS slots,
+            coalesce(sum(quota) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low
+        FROM quotas
+    ),
+    slots AS (
+        SELECT k, (k + 1) * 2654435769 % 4294967296 AS point
+        FROM (SELECT unnest(range((SELECT max(slots) + max(slots) // 16 + 64 FROM goals))) AS k)
+    ),
+    ranked AS (
+        SELECT number, quota, blocks, row_number() OVER (PARTITION BY number ORDER BY k) - 1 AS r
+        FROM slots ASOF JOIN (SELECT *, low * 4294967296 // slots AS edge FROM goals WHERE quota > 0) g ON point >= edge
+    ),
+    times AS (SELECT number, r % blocks AS blk, count(*) AS times FROM ranked WHERE r < quota GROUP BY ALL),
+    placed AS (
+        SELECT s.*, g.number, g.source_size, g.target, g.block,
+            coalesce(sum(size) OVER (PARTITION BY g.number ORDER BY place, doc_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
+        FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+    ),
+    parts AS (SELECT *, unnest(range(first // block, (first + size - 1) // block + 1)) AS blk FROM placed WHERE size > 0),
+    taken AS (
+        SELECT doc_id, sum((least(first + size, (blk + 1) * block) - greatest(first, blk * block)) * coalesce(times, 0)) AS taken
+        FROM parts LEFT JOIN times USING (number, blk) GROUP BY doc_id
+    )
+    SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN taken USING (doc_id)
+    """,
+)
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).drop("passes", "tie")
