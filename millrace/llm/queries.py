@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, packing, quality, simhash, substrings
+from millrace.llm import mixing, packing, quality, simhash, substrings, url_blocks
 from millrace.llm.common import documents, tokenizer_path
 from millrace.llm.registry import query
 from millrace.sources.tables import table
@@ -111,3 +111,49 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(documents(spark, sf_dir)).drop("passes", "tie")
+
+
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+# The SQL knows the spellings; the pages hold no canonical link or refresh, which tests cover.
+@query(
+    "op7_url_blocks",
+    r"""
+    WITH rules(rule_host, rule_path, rule_verdict) AS (
+        VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+            ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+    ),
+    split AS (
+        SELECT page_id, url, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')) AS host,
+            regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+        FROM pages
+    ),
+    fits AS (
+        SELECT page_id, rule_host || rule_path AS rule, rule_verdict FROM split, rules
+        WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+        QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC) = 1
+    ),
+    spelled AS (
+        SELECT split.*, rule, rule_verdict,
+            regexp_replace(CASE WHEN regexp_matches(host, '^(www|m)\.[^.]+\.') THEN regexp_replace(host, '^(www|m)\.', '') ELSE host END, '^$', '')
+                || regexp_replace(path, '(/index)?(\.html?)?/*$', '') AS spelling
+        FROM split LEFT JOIN fits USING (page_id)
+    ),
+    classes AS (
+        SELECT spelling, bool_or(rule_verdict = 'block') AND NOT bool_or(rule_verdict = 'allow') AS blocked
+        FROM spelled WHERE rule_verdict IS NOT NULL AND url LIKE '%://%' GROUP BY spelling
+    )
+    SELECT page_id, host, path, rule,
+        coalesce(rule_verdict, CASE WHEN blocked AND url LIKE '%://%' THEN 'block' END, 'allow') AS verdict
+    FROM spelled LEFT JOIN classes USING (spelling)
+    """,
+)
+def op7_url_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_blocks.judged(table(spark, sf_dir, "pages"), url_blocks.rule_table(spark, URL_RULES))
