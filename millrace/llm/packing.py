@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, WordEncoder
+from millrace.llm.common import Scratch, word_encoder
 
 END = 2
 PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096) -> DataFrame:
     """Every document cut into pieces: ``doc_id, start, length, ids_crc32, doc_tokens``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(tokenizer)
+        encode = word_encoder(tokenizer)
         end = END.to_bytes(4, "little")
         for b in batches:
             rows = []

@@ -85,5 +85,9 @@ def test_patterns_place_every_rank_once(seed):
 
 def test_known_words_give_the_same_ids_as_whole_texts(spark, sf_dir):
     tokenizer, encode = Tokenizer.from_file(PATH), WordEncoder(PATH, most=500)
-    for r in documents(spark, sf_dir).collect():
-        assert encode(r.text) == np.array(tokenizer.encode(r.text, add_special_tokens=False).ids, "<u4").tobytes()
+    texts = [r.text for r in documents(spark, sf_dir).collect()]
+    odd = "".join(chr(c) for c in range(0x21, 0x250))
+    texts += [" ".join(odd), odd, "Don't ÇA, ça! ŒUVRE İI ΣΑΣ e\u0301 <|endoftext|>. a.b word... İ a\u00a0b c\x1cd ª º µ ÿ Ÿ"]
+    texts += [" ".join(f"x{c}. Y{c}{c}z,;" for c in odd)]
+    for text in texts:
+        assert encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
