@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, packing, quality, simhash, substrings, url_blocks
+from millrace.llm import mixing, packing, phrase_prints, quality, simhash, substrings, url_blocks
 from millrace.llm.common import documents, tokenizer_path
 from millrace.llm.registry import query
 from millrace.sources.tables import table
@@ -157,3 +157,8 @@ URL_RULES = [
 )
 def op7_url_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_blocks.judged(table(spark, sf_dir, "pages"), url_blocks.rule_table(spark, URL_RULES))
+
+
+@query("op8_phrase_prints")
+def op8_phrase_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_prints.fingerprinted(documents(spark, sf_dir))
