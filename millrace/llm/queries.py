@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, packing, phrase_prints, quality, simhash, substrings, url_blocks
+from millrace.llm import cap_filters, mixing, packing, phrase_prints, quality, simhash, substrings, url_blocks
 from millrace.llm.common import documents, tokenizer_path
 from millrace.llm.registry import query
 from millrace.sources.tables import table
@@ -162,3 +162,30 @@ def op7_url_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_phrase_prints")
 def op8_phrase_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_prints.fingerprinted(documents(spark, sf_dir))
+
+
+@query(
+    "op10_cap_filters",
+    """
+    WITH RECURSIVE good AS (
+        SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    pairs AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+    ),
+    reach(vec_id, other) AS (
+        SELECT vec_id, vec_id FROM embeddings
+        UNION
+        SELECT reach.vec_id, pairs.b FROM reach JOIN pairs ON reach.other = pairs.a
+    ),
+    roots AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+    counts AS (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM roots LEFT JOIN counts USING (vec_id)
+    """,
+)
+def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
