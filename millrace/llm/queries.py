@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import cap_filters, mixing, packing, phrase_prints, quality, simhash, substrings, url_blocks
+from millrace.llm import backoff, cap_filters, edit_counts, mixing, packing, phrase_prints, quality, simhash, substrings, url_blocks
 from millrace.llm.common import documents, tokenizer_path
 from millrace.llm.registry import query
 from millrace.sources.tables import table
@@ -189,3 +190,48 @@ def op8_phrase_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op5_backoff",
+    r"""
+    WITH words AS (
+        SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS p
+        FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+    ),
+    pairs AS (
+        SELECT doc_id, p, lag(w) OVER (PARTITION BY doc_id ORDER BY p) AS v, w FROM words
+    ),
+    ones AS (SELECT w, count(*) AS n FROM words GROUP BY w),
+    own_ones AS (SELECT doc_id, w, count(*) AS n FROM words GROUP BY ALL),
+    twos AS (SELECT v, w, count(*) AS n FROM pairs WHERE v IS NOT NULL GROUP BY ALL),
+    own_twos AS (SELECT doc_id, v, w, count(*) AS n FROM pairs WHERE v IS NOT NULL GROUP BY ALL),
+    own AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+    counted AS (
+        SELECT p.doc_id, p.v IS NOT NULL AS second, a.n - oa.n AS c_w, b.n - ob.n AS c_v, t.n - ot.n AS c_vw,
+            greatest((SELECT count(*) FROM words) - own.n, 1)::DOUBLE AS rest
+        FROM pairs p JOIN own USING (doc_id) JOIN ones a ON a.w = p.w JOIN own_ones oa ON oa.doc_id = p.doc_id AND oa.w = p.w
+        LEFT JOIN ones b ON b.w = p.v LEFT JOIN own_ones ob ON ob.doc_id = p.doc_id AND ob.w = p.v
+        LEFT JOIN twos t ON t.v = p.v AND t.w = p.w
+        LEFT JOIN own_twos ot ON ot.doc_id = p.doc_id AND ot.v = p.v AND ot.w = p.w
+    ),
+    scores AS (
+        SELECT doc_id, second AND c_vw = 0 AS backed, c_w = 0 AS unseen,
+            CASE WHEN second AND c_vw > 0 THEN ln(c_vw / c_v::DOUBLE)
+                ELSE (CASE WHEN second THEN ln(0.4::DOUBLE) ELSE 0 END) + CASE WHEN c_w > 0 THEN ln(c_w / rest) ELSE ln(0.4::DOUBLE / rest) END
+            END AS s
+        FROM counted
+    )
+    SELECT doc_id, coalesce(count(s), 0) AS n_words, coalesce(sum(backed::INT), 0)::BIGINT AS n_backed_off,
+        coalesce(sum(unseen::INT), 0)::BIGINT AS n_unseen, round(coalesce(sum(s), 0), 3) AS log_score, round(avg(s), 6) AS mean_log_score
+    FROM documents LEFT JOIN scores USING (doc_id) GROUP BY doc_id
+    """,
+)
+def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = backoff.scored(documents(spark, sf_dir))
+    return scores.withColumns({"log_score": F.round("log_score", 3), "mean_log_score": F.round("mean_log_score", 6)})
+
+
+@query("op6_edit_counts")
+def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_counts.edited_counts(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
