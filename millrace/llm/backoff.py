@@ -32,6 +32,20 @@ from millrace.llm.common import Scratch, id_and_bytes, mixed, n_words
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers by byte planes, as many as the largest needs; high planes compress to little."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + planes.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : data[0]] = planes.T
+    return wide.reshape(-1).view("<u8")
+
+
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and the number of words of every text."""
     split = [t.split() for t in texts]
@@ -99,7 +113,7 @@ def _sent(chunks: DataFrame, bits: int) -> DataFrame:
                     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
                     cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(keys)] if len(keys) else [0]
                     rows = [
-                        (int(bucket[s]), number, n, keys[s:e].tobytes(), counts[s:e].astype("<u4").tobytes())
+                        (int(bucket[s]), number, n, packed(np.diff(keys[s:e], prepend=np.uint64(0))), packed(counts[s:e]))
                         for s, e in zip(cut[:-1], cut[1:], strict=True)
                     ]
                     if rows:
@@ -113,15 +127,14 @@ def _answered(sent: DataFrame) -> DataFrame:
     names = ["chunk", "n", "bucket", "totals"]
 
     def answer(bucket: int, n: int, group: list) -> pa.RecordBatch:
-        keys = [np.frombuffer(k, np.uint64) for _, k, _ in group]
-        counts = np.concatenate([np.frombuffer(c, "<u4") for _, _, c in group])
+        keys = [np.cumsum(unpacked(k)) for _, k, _ in group]
+        counts = np.concatenate([unpacked(c) for _, _, c in group])
         _, where = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(where, weights=counts)[where].astype("<i8")
-        kind = "<u4" if totals.max() < 2**32 else "<i8"
+        totals = np.bincount(where, weights=counts)[where]
         cut = np.cumsum([len(k) for k in keys])[:-1]
-        packed = [kind.encode() + t.astype(kind).tobytes() for t in np.split(totals, cut)]
+        answers = [packed(t) for t in np.split(totals, cut)]
         m = len(group)
-        columns = [pa.array([c for c, _, _ in group]), pa.array([n] * m), pa.array([bucket] * m), pa.array(packed, pa.binary())]
+        columns = [pa.array([c for c, _, _ in group]), pa.array([n] * m), pa.array([bucket] * m), pa.array(answers, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +181,7 @@ def score_chunk(words: np.ndarray, count: np.ndarray, totals: list[np.ndarray],
     )
 
 
-def scored(docs: DataFrame, backoff: float = 0.4, chunk_bytes: int = 24 << 20, keys_per_bucket: int = 1_000_000) -> DataFrame:
+def scored(docs: DataFrame, backoff: float = 0.4, chunk_bytes: int = 8 << 20, keys_per_bucket: int = 1_000_000) -> DataFrame:
     """``doc_id, n_words, n_backed_off, n_unseen, log_score, mean_log_score`` of every row.
 
     ``n_backed_off`` counts pairs and ``n_unseen`` words that no other row has.  Null, empty and
@@ -189,8 +202,8 @@ def scored(docs: DataFrame, backoff: float = 0.4, chunk_bytes: int = 24 << 20, k
                 got = sorted(b.column("answers")[i].as_py() or [], key=lambda r: (r["n"], r["bucket"]))
                 totals = []
                 for n in (1, 2):
-                    parts = [np.frombuffer(r["totals"][3:], r["totals"][:3].decode()) for r in got if r["n"] == n]
-                    totals.append(np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64))
+                    parts = [unpacked(r["totals"]).astype(np.int64) for r in got if r["n"] == n]
+                    totals.append(np.concatenate([np.zeros(0, np.int64), *parts]))
                 del got
                 words, count = _words(_texts(b.column("texts")[i].as_py()))
                 backed, unseen, score = score_chunk(words, count, totals, all_words, backoff)
