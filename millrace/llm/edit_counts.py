@@ -122,8 +122,11 @@ def recounted(docs: DataFrame, known: DataFrame, edits: DataFrame, tokenizer: st
     known = known.select(F.col("doc_id").alias("known_id"), F.col("tie").alias("known_tie"), "known")
     one = F.struct(F.coalesce("at", F.lit(0)).cast("long").alias("at"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed"), F.coalesce("inserted", F.lit("")).alias("inserted"))
     wanted = edits.where("doc_id is not null").groupBy(F.col("doc_id").alias("edited_id")).agg(F.collect_list(one).alias("edits"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    rows = rows.join(known, F.expr("doc_id <=> known_id and tie = known_tie")).join(wanted, F.expr("doc_id = edited_id"), "left")
+    # trees and edits meet first, so that texts are moved once
+    known = known.join(wanted, F.expr("known_id = edited_id"), "left")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").join(
+        known, F.expr("doc_id <=> known_id and tie = known_tie")
+    )
     names = ["doc_id", "tokens_before", "tokens_after", "n_edits", "n_regions", "n_encoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
