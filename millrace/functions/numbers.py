@@ -11,7 +11,7 @@ def _col(c: Column | str) -> Column:
 
 
 # Texts that can be numbers.
-WHOLE = r"^[+-]?[0-9]{1,19}$"
+WHOLE = r"^[+-]?0*[0-9]{1,19}$"
 DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 PATTERNS = {
     "tinyint": WHOLE, "smallint": WHOLE, "int": WHOLE, "bigint": WHOLE,

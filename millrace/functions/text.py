@@ -53,7 +53,9 @@ def pad_number(n: Column | str, width: int) -> Column:
 
 def unescape_unicode(text: Column | str) -> Column:
     r"""Resolve ``\uXXXX`` and the other escapes of a JSON string; null if malformed."""
-    quoted = F.concat(F.lit('{"v":"'), F.replace(_col(text), F.lit('"'), F.lit('\\"')), F.lit('"}'))
+    # quotes behind an even number of backslashes are bare and get one
+    escaped = F.regexp_replace(_col(text), r'(?<!\\)((?:\\\\)*)"', r'$1\\"')
+    quoted = F.concat(F.lit('{"v":"'), escaped, F.lit('"}'))
     return F.from_json(quoted, "v STRING")["v"]
 
 

@@ -29,9 +29,9 @@ def delay_average(df: DataFrame, by: Names, delay: str) -> DataFrame:
 
 
 def min_mean_max(
-    df: DataFrame, by: Names, value: str, seed_zero: bool = False, places: int = 2
+    df: DataFrame, by: Names, value: str, seed_zero: bool = False
 ) -> DataFrame:
-    """Count, minimum, mean and maximum per key, sorted by key.
+    """Count, minimum, mean and maximum per key, sorted by key.  Values are summed as they are.
 
     ``seed_zero`` starts minimum and maximum at 0, so that 0 counts as seen.
     """
@@ -44,10 +44,8 @@ def min_mean_max(
             F.count(value).alias("n"),
             low.alias("lowest"),
             high.alias("highest"),
-            exact_sum(value, places).alias("_total"),
+            F.round(F.avg(value), 4).alias("mean"),
         )
-        .withColumn("mean", F.round(F.col("_total") / F.col("n"), 4))
-        .drop("_total")
         .orderBy(*_list(by))
     )
 

@@ -55,7 +55,7 @@ def keep_newest(df: DataFrame, by: Names, order_by: Names, n: int) -> DataFrame:
 
 
 def kth_smallest(
-    df: DataFrame, by: Names, value: str, k: int, tie: Names = (), small_k: int = 10_000
+    df: DataFrame, by: Names, value: str, k: int, tie: Names = (), small_k: int = 1000
 ) -> DataFrame:
     """k-th smallest value per key (1-based); keys with fewer rows give none.
 

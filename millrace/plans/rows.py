@@ -257,13 +257,12 @@ def change_events(spark, sf_dir):
     SELECT doc_id, len(names) AS n_names, names[1] AS first_name FROM (
       SELECT doc_id, list_distinct(found) AS d, found AS names0,
              list_filter(found, lambda x, i: list_position(found, x) = i) AS names
-      FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+') AS found FROM documents
-            WHERE lang <> 'zh'))
+      FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+') AS found FROM documents))
     WHERE len(names) > 0
     """,
 )
 def entities(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("lang") != "zh").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return (
         spread(docs)
         .select("doc_id", text.names("text").alias("names"))

@@ -187,3 +187,13 @@ def test_hl7_stripped(spark):
     framed = one(spark, "MSH|a", "string", messages.frame)
     assert framed == "\x0bMSH|a\x1c\r"
     assert one(spark, framed, "string", messages.unframe) == "MSH|a"
+
+
+def test_escaped_quotes_and_long_numbers(spark):
+    from millrace.functions import numbers, text
+
+    rows = [(r'a\"b "c" \\"d\u0041',), (r"plain",)]
+    got = spark.createDataFrame(rows, "t string").select(text.unescape_unicode("t").alias("t")).collect()
+    assert [r.t for r in got] == ['a"b "c" \\"dA', "plain"]
+    many = spark.createDataFrame([("000000000000000000000012",), ("99999999999999999999",)], "t string")
+    assert [r.n for r in many.select(numbers.number_in("t", "bigint").alias("n")).collect()] == [12, None]

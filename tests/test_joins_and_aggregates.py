@@ -310,3 +310,11 @@ def test_concat_keeps_the_order_of_the_inputs(spark):
     a, b = spark.createDataFrame([(5,)], "v int"), spark.createDataFrame([(1,)], "v int")
     seq = o.ordered(routing.concat(a, b), (), ["part", "v"]).add(i=o.index())
     assert [r["v"] for r in seq.df.orderBy("i").collect()] == [5, 1]
+
+
+def test_means_keep_small_and_odd_values(spark):
+    from millrace.operators import aggregates
+
+    rows = [("a", 0.004), ("a", 0.004), ("b", float("nan")), ("b", 1.0), ("c", 1e18), ("c", 3e18)]
+    got = {r.k: r for r in aggregates.min_mean_max(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert got["a"]["mean"] == 0.004 and got["b"]["mean"] != got["b"]["mean"] and got["c"]["mean"] == 2e18
