@@ -35,8 +35,9 @@ def _symbols(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
-def paths(symbols: np.ndarray, window: int) -> tuple[np.ndarray, ...] | None:
-    """Compacted paths of one document: minimiser, hash of the words, first window, windows."""
+def paths(symbols: np.ndarray, window: int) -> tuple | None:
+    """Compacted paths of one document: minimiser, hash of the words, first window, windows, and as
+    bytes the other places where the same path begins (a line said again and again is one path)."""
     n = len(symbols) - window + 1
     if n < 1:
         return None
@@ -51,7 +52,23 @@ def paths(symbols: np.ndarray, window: int) -> tuple[np.ndarray, ...] | None:
     least += np.arange(n)
     start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     end = np.r_[start[1:], n]
-    return kmers[least[start]], spans.of(start, end - 1 + window), start, end - start
+    core, whole, n = kmers[least[start]], spans.of(start, end - 1 + window), end - start
+    order = np.argsort(whole, kind="stable")
+    first = np.flatnonzero(np.r_[True, whole[order[1:]] != whole[order[:-1]]])
+    more = [None] * len(first)
+    size = np.diff(np.r_[first, len(order)])
+    for i in np.flatnonzero(size > 1).tolist():
+        more[i] = start[order[first[i] + 1 : first[i] + size[i]]].astype("<i8").tobytes()
+    one = order[first]
+    return core[one], whole[one], start[one], n[one], more
+
+
+def places(s: np.ndarray, n: np.ndarray, more: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """First windows and numbers of windows of runs, with the other places of each run."""
+    others = [(np.frombuffer(m, "<i8"), k) for m, k in zip(more, n.tolist(), strict=True) if m]
+    if not others:
+        return s, n
+    return np.concatenate([s, *(o for o, _ in others)]), np.concatenate([n, *(np.full(len(o), k) for o, k in others)])
 
 
 def _batch(names: list[str], columns: list) -> pa.RecordBatch:
@@ -59,28 +76,32 @@ def _batch(names: list[str], columns: list) -> pa.RecordBatch:
 
 
 def _all_paths(docs: DataFrame, window: int) -> DataFrame:
-    names = ["core", "whole", "doc_id", "s", "n"]
+    names = ["core", "whole", "doc_id", "s", "n", "more"]
+
+    def joined(parts: list[tuple]) -> pa.RecordBatch:
+        *columns, more = zip(*parts, strict=True)
+        return _batch(names, [*map(np.concatenate, columns), pa.array([m for part in more for m in part], pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts, size = [], 0
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if text and doc_id is not None and (found := paths(_symbols(text.split()), window)):
-                    core, whole, s, n = found
-                    parts.append((core.view(np.int64), whole.view(np.int64), np.full(len(s), doc_id), s, n))
+                    core, whole, s, n, more = found
+                    parts.append((core.view(np.int64), whole.view(np.int64), np.full(len(s), doc_id), s, n, more))
                     size += len(s)
                 if size > 100_000:
-                    yield _batch(names, [np.concatenate(c) for c in zip(*parts, strict=True)])
+                    yield joined(parts)
                     parts, size = [], 0
             if parts:
-                yield _batch(names, [np.concatenate(c) for c in zip(*parts, strict=True)])
+                yield joined(parts)
 
-    return id_and_bytes(docs).mapInArrow(run, "core long, whole long, doc_id long, s long, n long")
+    return id_and_bytes(docs).mapInArrow(run, "core long, whole long, doc_id long, s long, n long, more binary")
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
-    """The windows of the paths in ``todo`` (structs of core, s, n), read again at their place."""
-    names = ["core", "word_hash", "doc_id", "s"]
+    """The windows of the paths in ``todo`` (structs of core, s, n, more), read again at their place."""
+    names = ["core", "word_hash", "doc_id", "s", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,20 +112,28 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
                 spans = Spans(_symbols((text or b"").split()))
                 values = todo[i].values
                 core, s, n = (values.field(f).to_numpy(zero_copy_only=False) for f in ("core", "s", "n"))
-                at = np.repeat(s - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                core = np.repeat(core, n)
+                more = [m and np.frombuffer(m, "<i8") for m in values.field("more").to_pylist()]
+                path = np.repeat(np.arange(len(s)), n)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = s[path] + step
                 fits = at + window < len(spans.sums)
-                core, at = core[fits], at[fits]
+                path, step, at = path[fits], step[fits], at[fits]
                 hashes = mixed(spans.of(at, at + window) + np.uint64(1)).view(np.int64)
                 for cut in range(0, len(at), 100_000):
                     part = slice(cut, cut + 100_000)
-                    yield _batch(names, [core[part], hashes[part], np.full(len(at[part]), doc_id), at[part]])
+                    others = [
+                        None if more[p] is None else (more[p] + k).tobytes()
+                        for p, k in zip(path[part].tolist(), step[part].tolist(), strict=True)
+                    ]
+                    here = [core[path[part]], hashes[part], np.full(len(at[part]), doc_id), at[part]]
+                    yield _batch(names, [*here, pa.array(others, pa.binary())])
 
-    return rows.mapInArrow(run, "core long, word_hash long, doc_id long, s long")
+    return rows.mapInArrow(run, "core long, word_hash long, doc_id long, s long, more binary")
 
 
 def repeats(docs: DataFrame, scratch: Scratch, window: int = 50) -> DataFrame:
-    """``doc_id, s, n``: runs of n windows from s on that also start in a document of a smaller id."""
+    """``doc_id, s, n, more``: runs of n windows from s on, and from the places in ``more`` on, that
+    also start in a document of a smaller id."""
     found = _all_paths(docs, window)
     shared = (
         found.groupBy("core")
@@ -115,16 +144,16 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = 50) -> DataFrame:
     # written, so that the join reads two plain exchanges and Spark can split a hot minimiser
     shared = scratch.put(shared, "shared")
     met = scratch.put(found.join(shared, "core").where("branches or doc_id > lo"), "met")
-    plain = met.where("not branches").select("doc_id", "s", "n")
+    plain = met.where("not branches").select("doc_id", "s", "n", "more")
     forked = met.where("branches")
     first = forked.groupBy("core", "whole").agg(F.min("doc_id").alias("source"))
     first = scratch.put(first, "first")
     forked = scratch.put(forked.join(first, ["core", "whole"]), "forked")
-    copied = forked.where("doc_id > source").select("doc_id", "s", "n")
+    copied = forked.where("doc_id > source").select("doc_id", "s", "n", "more")
     todo = (
         forked.where("doc_id = source")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("core", "s", "n")).alias("todo"))  # as many as the document has paths
+        .agg(F.collect_list(F.struct("core", "s", "n", "more")).alias("todo"))  # as many as the document has paths
     )
     windows = scratch.put(_windows(id_and_bytes(docs).join(todo, "doc_id"), window), "windows")
     again = (
@@ -136,7 +165,7 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = 50) -> DataFrame:
     verified = (
         windows.join(again, ["core", "word_hash"])
         .where("doc_id > source")
-        .select("doc_id", "s", F.lit(1).cast("long").alias("n"))
+        .select("doc_id", "s", F.lit(1).cast("long").alias("n"), "more")
     )
     return plain.union(copied).union(verified)
 
@@ -151,7 +180,7 @@ def covered(n_words: int, s: np.ndarray, n: np.ndarray, window: int) -> np.ndarr
 
 
 def _with_marks(docs: DataFrame, scratch: Scratch, window: int) -> DataFrame:
-    marks = repeats(docs, scratch, window).groupBy("doc_id").agg(F.collect_list(F.struct("s", "n")).alias(MARKS))
+    marks = repeats(docs, scratch, window).groupBy("doc_id").agg(F.collect_list(F.struct("s", "n", "more")).alias(MARKS))
     return docs.join(marks, "doc_id", "left")
 
 
@@ -160,6 +189,7 @@ def _kept(text: bytes | None, marks, window: int) -> tuple[int, int, bytes]:
     if marks is None or not len(marks):
         return len(words), 0, b" ".join(words)
     s, n = (marks.field(f).to_numpy(zero_copy_only=False) for f in ("s", "n"))
+    s, n = places(s, n, marks.field("more").to_pylist())
     gone = covered(len(words), s, n, window)
     return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
 
@@ -210,6 +240,7 @@ def cut_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             if t is not None and m is not None:
                 words = t.split()
                 s, n = (np.array([r[f] for r in m], np.int64) for f in ("s", "n"))
+                s, n = places(s, n, [r["more"] for r in m])
                 gone = covered(len(words), s, n, window)
                 out[i] = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode()
         return pd.Series(out, dtype=object)
