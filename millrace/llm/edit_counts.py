@@ -90,7 +90,7 @@ def apply(text: str, starts: list[int], sums: list[int], edits: list[tuple[int,
     return sums[1], len(regions), encoded
 
 
-def trees(docs: DataFrame, tokenizer: str, leaf: int = 256) -> DataFrame:
+def trees(docs: DataFrame, tokenizer: str, leaf: int = 512) -> DataFrame:
     """``doc_id, tie, starts, sums``: the segment tree of every distinct row (tie: hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
