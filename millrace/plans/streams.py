@@ -29,12 +29,43 @@ def _ntz(df, *columns):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
-def _to_the_end(spark, folder, stream, schema):
-    """Drain the input, mark its end, and drain what was still open."""
-    runs.drain(folder.append_to(stream))
+def _land_by_arrival(spark, sf_dir, folder, writer_of):
+    """Events in three landings by arrival order, each drained before the next one lands.
+
+    Arrival has nothing to do with event time.  Gives back the stream of all landings.
+    """
+    rows = events(spark, sf_dir).withColumn("arrival", F.md5(F.col("event_id").cast("string")))
+    landing = folder.landing("arrivals")
+    for first, last in (("0", "5"), ("5", "b"), ("b", "g")):
+        piece = rows.where((F.col("arrival") >= first) & (F.col("arrival") < last))
+        piece.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(rows.schema).parquet(landing)
+        runs.drain(writer_of(stream))
+    return stream
+
+
+def _disorder(spark, sf_dir):
+    """A delay that no row exceeds, in whatever order the rows come."""
+    first, last = events(spark, sf_dir).agg(
+        F.unix_seconds(F.min("ts").cast("timestamp")), F.unix_seconds(F.max("ts").cast("timestamp"))
+    ).first()
+    return f"{(last or 0) - (first or 0) + 2} seconds"
+
+
+def _to_the_end(spark, sf_dir, folder, schema, build):
+    """Drain the landings one by one, mark the end, and drain what was still open."""
+    marks = runs.end_marks(spark, folder, schema)
+    columns = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def result(rows):
+        kept = rows.withColumn("ts", F.col("ts").cast("timestamp")).select(*columns)
+        return build(kept.unionByName(marks))
+
+    stream = _land_by_arrival(spark, sf_dir, folder, lambda rows: folder.append_to(result(rows)))
     runs.mark_end(spark, folder, schema, "ts")
-    runs.drain(folder.append_to(stream))
-    return folder.read(stream)
+    done = result(stream)
+    runs.drain(folder.append_to(done))
+    return folder.read(done)
 
 
 @query(
@@ -78,11 +109,12 @@ def sliding(spark, sf_dir):
 
 def _window_stream(spark, sf_dir, step):
     folder = runs.Folder.new(spark, "windows")
-    rows = table_stream(spark, sf_dir, "events").select("event_type", F.col("ts").cast("timestamp"))
-    whole = rows.unionByName(runs.end_marks(spark, folder, TYPED))
-    timed = runs.with_event_time(whole, "ts", "4 seconds")
-    stream = windows.event_windows(timed, "event_type", "ts", 3600, step)
-    done = _to_the_end(spark, folder, stream, TYPED)
+    delay = _disorder(spark, sf_dir)
+
+    def counts(rows):
+        return windows.event_windows(runs.with_event_time(rows, "ts", delay), "event_type", "ts", 3600, step)
+
+    done = _to_the_end(spark, sf_dir, folder, TYPED, counts)
     return _ntz(done.where(F.col("event_type").isNotNull()), "start", "end")
 
 
@@ -108,12 +140,14 @@ def sliding_stream(spark, sf_dir):
 )
 def sessions_30m_stream(spark, sf_dir):
     folder = runs.Folder.new(spark, "sessions")
-    rows = table_stream(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp"))
-    whole = rows.unionByName(runs.end_marks(spark, folder, KEYED))
+    delay = _disorder(spark, sf_dir)
+
+    def found(rows):
+        return windows.sessions(runs.with_event_time(rows, "ts", delay), "user_id", "ts", 1800)
+
     # a heavy user's rows are merged into sessions before the shuffle
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    stream = windows.sessions(runs.with_event_time(whole, "ts", "4 seconds"), "user_id", "ts", 1800)
-    done = _to_the_end(spark, folder, stream, KEYED)
+    with runs.setting(spark, "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"):
+        done = _to_the_end(spark, sf_dir, folder, KEYED, found)
     return _ntz(done.where(F.col("user_id").isNotNull()), "start_ts", "end_ts")
 
 
@@ -124,16 +158,6 @@ _ON_TIME = """
 """
 
 
-def _land_by_arrival(spark, sf_dir, folder, writer_of):
-    """Events in three landings by arrival order, each drained before the next one lands."""
-    rows = events(spark, sf_dir).withColumn("arrival", F.md5(F.col("event_id").cast("string")))
-    landing = folder.landing("arrivals")
-    for first, last in (("0", "5"), ("5", "b"), ("b", "g")):
-        piece = rows.where((F.col("arrival") >= first) & (F.col("arrival") < last))
-        piece.write.mode("append").parquet(landing)
-        runs.drain(writer_of(spark.readStream.schema(rows.schema).parquet(landing)))
-
-
 @query("late_filter_stream", _ON_TIME)
 def late_filter_stream(spark, sf_dir):
     folder = runs.Folder.new(spark, "late")
@@ -198,16 +222,19 @@ def union_streams(spark, sf_dir):
 
 @query("dedupe_stream", "SELECT event_id, user_id, event_type FROM events")
 def dedupe_stream(spark, sf_dir):
-    # everything is delivered twice; the second delivery in another order and files
+    # everything is delivered in three batches, and then once more in a fourth
     folder = runs.Folder.new(spark, "dedupe")
-    rows = events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
-    landing = folder.landing("deliveries")
-    rows.write.parquet(landing)
-    rows.repartitionByRange(4, F.col("event_id").desc()).write.mode("append").parquet(landing)
-    delivered = spark.readStream.schema(rows.schema).parquet(landing)
-    once = windows.dedupe_within(runs.with_event_time(delivered, "ts", "1 hour"), "event_id").drop("ts")
-    runs.drain(folder.append_to(once))
-    return folder.read(once)
+    delay = _disorder(spark, sf_dir)
+
+    def once(rows):
+        timed = runs.with_event_time(rows.select("event_id", "user_id", "event_type", "ts"), "ts", delay)
+        return windows.dedupe_within(timed, "event_id").drop("ts")
+
+    stream = _land_by_arrival(spark, sf_dir, folder, lambda rows: folder.append_to(once(rows)))
+    again = events(spark, sf_dir).withColumn("arrival", F.lit("again"))
+    again.write.mode("append").parquet(folder.landing("arrivals"))
+    runs.drain(folder.append_to(once(stream)))
+    return folder.read(once(stream))
 
 
 @query(
@@ -300,11 +327,7 @@ def keyed_fold_stream(spark, sf_dir):
     # a user fold with state: what a key has gathered comes out at the end of the input
     folder = runs.Folder.new(spark, "fold")
     schema = "user_id BIGINT, event_id BIGINT, ts TIMESTAMP"
-    rows = table_stream(spark, sf_dir, "events").select(
-        "user_id", "event_id", F.col("ts").cast("timestamp")
-    )
-    whole = rows.unionByName(runs.end_marks(spark, folder, schema))
-    timed = runs.with_event_time(whole, "ts", "4 seconds")
+    delay = _disorder(spark, sf_dir)
 
     def step(state, batch):
         n, first, last = state
@@ -313,11 +336,13 @@ def keyed_fold_stream(spark, sf_dir):
             return state
         return n + len(ids), min(first, int(ids.min())), max(last, int(ids.max()))
 
-    stream = stateful.fold_until_idle(
-        timed, "user_id", "event_id", (0, 2**62, -1), "n BIGINT, first_id BIGINT, last_id BIGINT",
-        step, idle_ms=365 * 86_400_000,
-    )
-    partial = _to_the_end(spark, folder, stream, schema).where(F.col("user_id").isNotNull())
+    def folded(rows):
+        return stateful.fold_until_idle(
+            runs.with_event_time(rows, "ts", delay), "user_id", "ts", "event_id", (0, 2**62, -1),
+            "n BIGINT, first_id BIGINT, last_id BIGINT", step, idle_ms=365 * 86_400_000,
+        )
+
+    partial = _to_the_end(spark, sf_dir, folder, schema, folded).where(F.col("user_id").isNotNull())
     return partial.groupBy("user_id").agg(
         F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")
     )
@@ -336,13 +361,12 @@ def reply_match_stream(spark, sf_dir):
     # even events are requests, the odd one after each is its reply, if it came in time
     folder = runs.Folder.new(spark, "replies")
     schema = "event_id BIGINT, ts TIMESTAMP"
-    rows = table_stream(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp"))
-    whole = rows.unionByName(runs.end_marks(spark, folder, schema))
+    delay = _disorder(spark, sf_dir)
     is_end = F.col("event_id").isNull()
 
-    def side(name, rest):
-        picked = whole.where(is_end | (F.col("event_id") % 2 == rest))
-        timed = runs.with_event_time(picked, "ts", "1 minute")
+    def side(rows, name, rest):
+        picked = rows.where(is_end | (F.col("event_id") % 2 == rest))
+        timed = runs.with_event_time(picked, "ts", delay)
         # the end marks get keys of their own: the join filters null keys before the watermark
         pair = F.coalesce(F.floor(F.col("event_id") / 2), F.lit(-1 - rest))
         return timed.select(
@@ -351,11 +375,13 @@ def reply_match_stream(spark, sf_dir):
             F.col("ts").alias(f"{name}_ts"),
         )
 
-    stream = windows.match_replies(
-        side("request", 0), side("reply", 1), "request_pair", "reply_pair",
-        "request_ts", "reply_ts", "5 MINUTES",
-    ).select("request_id", "reply_id")
-    done = _to_the_end(spark, folder, stream, schema)
+    def matched(rows):
+        return windows.match_replies(
+            side(rows, "request", 0), side(rows, "reply", 1), "request_pair", "reply_pair",
+            "request_ts", "reply_ts", "5 MINUTES",
+        ).select("request_id", "reply_id")
+
+    done = _to_the_end(spark, sf_dir, folder, schema, matched)
     return done.where(F.col("request_id").isNotNull())
 
 
@@ -392,17 +418,17 @@ def topic_copy(spark, sf_dir):
     """,
 )
 def shard_replay(spark, sf_dir):
-    # shards deliver oldest first, some rows twice; kept once each
+    # shards deliver odd events, then even ones, then some of both again; kept once each
     folder = runs.Folder.new(spark, "shards")
     rows = events(spark, sf_dir).select("event_id", (F.col("user_id") % 4).alias("shard"), "ts")
     landing = folder.landing("shards")
-    rows.repartitionByRange(8, "shard", "event_id").write.partitionBy("shard").parquet(landing)
-    rows.where(F.col("event_id") % 5 == 0).write.mode("append").partitionBy("shard").parquet(landing)
-    stream = spark.readStream.schema("event_id BIGINT, ts TIMESTAMP_NTZ, shard BIGINT").parquet(landing)
-    once = windows.dedupe_within(
-        runs.with_event_time(stream, "ts", "1 hour"), ["shard", "event_id"]
-    ).drop("ts")
-    runs.drain(folder.append_to(once))
+    delay = _disorder(spark, sf_dir)
+    for delivered in ("event_id % 2 = 1", "event_id % 2 = 0", "event_id % 5 = 0"):
+        rows.where(delivered).write.mode("append").partitionBy("shard").parquet(landing)
+        stream = spark.readStream.schema("event_id BIGINT, ts TIMESTAMP_NTZ, shard BIGINT").parquet(landing)
+        timed = runs.with_event_time(stream, "ts", delay)
+        once = windows.dedupe_within(timed, ["shard", "event_id"]).drop("ts")
+        runs.drain(folder.append_to(once))
     return folder.read(once).groupBy("shard").agg(F.min("event_id").alias("first_id"), counted())
 
 

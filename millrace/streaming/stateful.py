@@ -158,6 +158,7 @@ class RunningCounts:
 def fold_until_idle(
     stream: DataFrame,
     key: str,
+    ts: str,
     spread_by: str,
     zero: tuple,
     state_schema: str,
@@ -167,6 +168,9 @@ def fold_until_idle(
 ) -> DataFrame:
     """A user fold per key; its result comes out when the key has been idle, and at the end.
 
+    A key is idle when the watermark is ``idle_ms`` past its own newest event time.  That time
+    is part of the state, so a key that goes on in a later batch starts its idle time anew.
+
     ``step`` folds one Arrow batch of rows into the state, so a key's rows are never held
     together.  Each key is spread over several states by a hash of ``spread_by``, so one
     heavy key does not wait for one task: the results are partial folds per (key, spread),
@@ -182,18 +186,22 @@ def fold_until_idle(
             done = state.get
             state.remove()
             names = [f.split(" ")[0] for f in state_schema.split(", ")]
+            done = done[:-1]
             yield pd.DataFrame({key: [group[0]], **{n: [v] for n, v in zip(names, done)}})
             return
-        value = state.get if state.exists else zero
+        *value, newest = state.get if state.exists else (*zero, 0)
+        value = tuple(value)
         for rows in batches:
-            value = step(value, rows)
-        state.update(value)
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
+            newest = max(newest, int(rows["_ms"].fillna(0).max()))
+            value = step(value, rows.drop(columns="_ms"))
+        state.update((*value, newest))
+        # a timeout must lie past the watermark
+        state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
 
     salted = stream.withColumn(
         "_spread", F.pmod(F.xxhash64(spread_by), F.lit(spread)).cast("int")
-    )
+    ).withColumn("_ms", F.unix_millis(ts))
     return salted.groupBy(key, "_spread").applyInPandasWithState(
-        fold, f"{key} {key_type}, {state_schema}", state_schema, "append",
+        fold, f"{key} {key_type}, {state_schema}", f"{state_schema}, _newest BIGINT", "append",
         GroupStateTimeout.EventTimeTimeout,
     )

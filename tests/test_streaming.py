@@ -263,7 +263,7 @@ def test_fold_until_idle_gives_partial_folds(spark):
         return (state[0] + len(batch), state[1] + int(batch["n"].fillna(0).sum()))
 
     stream = stateful.fold_until_idle(
-        runs.with_event_time(whole, "ts", "1 second"), "k", "n", (0, 0), "rows BIGINT, total BIGINT",
+        runs.with_event_time(whole, "ts", "1 second"), "k", "ts", "n", (0, 0), "rows BIGINT, total BIGINT",
         step, idle_ms=1000, spread=3,
     )
     runs.drain(folder.append_to(stream))
@@ -273,6 +273,30 @@ def test_fold_until_idle_gives_partial_folds(spark):
     assert sorted(map(tuple, got.collect())) == [("a", 50, 1225), ("b", 1, 1)]
 
 
+def test_idle_time_is_counted_from_the_keys_own_newest_event(spark):
+    folder, schema = runs.Folder.new(spark, "t-idle"), "k string, n bigint, ts timestamp"
+    marks = runs.end_marks(spark, folder, schema)
+    add = lambda state, batch: (state[0] + len(batch),)
+
+    def drained(rows):
+        whole = land(spark, folder, rows, schema).unionByName(marks)
+        stream = stateful.fold_until_idle(
+            runs.with_event_time(whole, "ts", "1 second"), "k", "ts", "n", (0,), "rows BIGINT",
+            add, idle_ms=60_000, spread=1,
+        )
+        runs.drain(folder.append_to(stream))
+        return sorted((r["k"], r["rows"]) for r in folder.read(stream).where("k IS NOT NULL").collect())
+
+    assert drained([("a", 1, at(1000)), ("b", 1, at(1000))]) == []
+    assert drained([("a", 2, at(1040))]) == []  # b has been idle for 39 s only
+    # a went on, b did not: b comes out, a counts from its own newest event
+    assert drained([("c", 1, at(1070))]) == [("b", 1)]
+    assert drained([("a", 3, at(1075))]) == [("b", 1)]
+    assert drained([("c", 2, at(1200))]) == [("a", 3), ("b", 1)]
+    runs.mark_end(spark, folder, schema, "ts")
+    assert drained([]) == [("a", 3), ("b", 1), ("c", 2)]
+
+
 def test_checkpoints_live_below_the_shared_folder(spark):
     folder = runs.Folder.new(spark, "t-place")
     assert folder.checkpoint.startswith(spark.conf.get("spark.checkpoint.dir"))
