@@ -26,7 +26,7 @@ def counted():
     """
     SELECT event_type AS location, count(*) AS n, min(CAST(value AS DOUBLE)) AS lowest,
            max(value) AS highest,
-           round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS mean
+           round(avg(value), 4) AS mean
     FROM events GROUP BY event_type
     """,
 )
@@ -150,6 +150,33 @@ def line_protocol(spark, sf_dir):
     )
 
 
+@query(
+    "line_protocol_texts",
+    r"""
+    SELECT doc_id, 'notes, all = \ ' || lang AS measurement, source || ' =,"\' AS origin,
+           md5(coalesce(text, '')) AS text_md5, length(text) AS at
+    FROM documents
+    """,
+)
+def line_protocol_texts(spark, sf_dir):
+    # whole texts with quotes, blanks, commas and line ends as a field; separators in every name
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    line = records.point_line(
+        F.concat(F.lit("notes, all = \\ "), "lang"),
+        {"the origin": F.concat("source", F.lit(' =,"\\'))},
+        {"text, whole": records.text_field(F.coalesce("text", F.lit("")))},
+        F.length("text"),
+    )
+    back = records.points(docs.select("doc_id", line.alias("line")))
+    return back.select(
+        "doc_id",
+        "measurement",
+        F.col("tags")["the origin"].alias("origin"),
+        F.md5(F.col("fields")["text, whole"]).alias("text_md5"),
+        "at",
+    )
+
+
 def _messages(spark, sf_dir):
     """One message per order: header, person, and one to four OBX segments."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +17,14 @@ from millrace.sources.lines import write_ordered_lines
 RANGE_MARK = " --> "
 BLOCK_END = "\n\n"
 
-# Fixed value: the parts of a point line - series, fields, optional time.
-POINT = r"^((?:[^ \\]|\\.)+) ((?:[^ \\]|\\.)+)(?: (-?\d+))?\s*$"
+# Fixed values of the point line: names end at a comma, equals sign or blank unless a backslash
+# stands before it; text fields stand in quotes, with quotes and backslashes escaped.
+NAME = r"[^\\,= ]*+(?:\\.[^\\,= ]*+)*+"
+SERIES = r"(?=[^, ])[^\\, ]*+(?:\\.[^\\, ]*+)*+"
+TEXT_FIELD = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+TAG = f",{NAME}={NAME}"
+FIELD = f"{NAME}=(?:{TEXT_FIELD}|{NAME})"
+POINT = rf"(?s)^({SERIES})((?:{TAG})*+) ({FIELD}(?:,{FIELD})*+)(?: (-?\d+))?\s*$"
 
 
 def subtitle_blocks(raw: DataFrame, block: str = "value") -> DataFrame:
@@ -62,49 +70,79 @@ def write_subtitles(df: DataFrame, path: str, order_by: list[str]) -> None:
 def points(lines: DataFrame, line: str = "line") -> DataFrame:
     """Point lines to ``measurement``, ``tags`` and ``fields`` (maps of text) and ``at``.
 
-    The type suffix of a field (``i`` for integers, quotes for text) is removed.
+    Escapes are undone, the quotes of a text field and the ``i`` of an integer are removed.
+    Of a repeated tag or field the last one counts.
     Lines that are no point keep a null measurement.
     """
-    part = lambda i: F.nullif(F.regexp_extract(line, POINT, i), F.lit(""))
+    part = lambda i: F.regexp_extract(line, POINT, i)
     others = [c for c in lines.columns if c != line]
-    lines = lines.select(
+    split = lambda text, item: F.regexp_extract_all(text, F.lit(f"(?s){item}"), F.lit(0))
+    rows = lines.select(
         *others,
-        F.split(part(1), ",").alias("_head"),
-        F.split(part(2), ",").alias("_fields"),
-        part(3).try_cast("bigint").alias("at"),
-    )
-    head = F.col("_head")
-    pairs = lambda items: F.transform(
-        items,
-        lambda p: F.struct(
-            F.substring_index(p, "=", 1).alias("key"),
-            F.substring(p, F.instr(p, "=") + 1, F.length(p)).alias("value"),
-        ),
+        F.nullif(part(1), F.lit("")).alias("_series"),
+        _entries(split(part(2), TAG), _plain_name).alias("_tags"),
+        _entries(split(F.concat(F.lit(","), part(3)), f",{FIELD}"), _field_value).alias("_fields"),
+        F.nullif(part(4), F.lit("")).try_cast("bigint").alias("at"),
     )
-    bare = lambda v: F.when(
-        F.rlike(v, F.lit(r"^-?\d+i$")), F.regexp_replace(v, "i$", "")
-    ).otherwise(F.regexp_replace(v, '^"|"$', ""))
-    return lines.select(
+    is_point = F.col("_series").isNotNull()
+    return rows.select(
         *others,
-        F.get(head, F.lit(0)).alias("measurement"),
-        F.map_from_entries(pairs(F.slice(head, F.lit(2), F.size(head)))).alias("tags"),
-        F.transform_values(
-            F.map_from_entries(pairs(F.col("_fields"))), lambda k, v: bare(v)
-        ).alias("fields"),
+        _plain_name(F.col("_series")).alias("measurement"),
+        F.when(is_point, _last_entries("_tags")).alias("tags"),
+        F.when(is_point, _last_entries("_fields")).alias("fields"),
         "at",
     )
 
 
+def _plain_name(name: Column) -> Column:
+    return F.regexp_replace(name, r"\\([,= \\])", "$1")
+
+
+def _field_value(value: Column) -> Column:
+    text = F.regexp_replace(F.substring(value, F.lit(2), F.length(value) - 2), r'\\(["\\])', "$1")
+    whole = F.rlike(value, F.lit(r"^-?\d+i$"))
+    return (
+        F.when(F.startswith(value, F.lit('"')), text)
+        .when(whole, F.regexp_replace(value, "i$", ""))
+        .otherwise(_plain_name(value))
+    )
+
+
+def _entries(items: Column, value_of: Callable[[Column], Column]) -> Column:
+    """Items ``,name=value`` as structs of key and value."""
+
+    def entry(item: Column) -> Column:
+        name = F.regexp_extract(item, f"(?s)^,({NAME})=", 1)
+        value = F.substring(item, F.length(name) + 3, F.length(item))
+        return F.struct(_plain_name(name).alias("key"), value_of(value).alias("value"))
+
+    return F.transform(items, entry)
+
+
+def _last_entries(entries: str) -> Column:
+    keys, n = F.col(entries)["key"], F.size(entries)
+    is_last = lambda e, i: F.array_position(F.slice(keys, i + 2, n), e["key"]) == 0
+    return F.map_from_entries(F.filter(entries, is_last))
+
+
 def point_line(
     measurement: Column, tags: dict[str, Column], fields: dict[str, Column], at: Column | None = None
 ) -> Column:
-    """A point as a line; integer columns must be given with their ``i`` by ``integer_field``."""
-    listed = lambda kv: F.concat_ws(
-        ",", *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in kv.items()]
-    )
-    head = F.concat_ws(",", measurement, listed(tags)) if tags else measurement
-    parts = [head, listed(fields)] + ([at.cast("string")] if at is not None else [])
-    return F.concat_ws(" ", *parts)
+    """A point as a line; separators in names and tags are escaped, null tags left out.
+
+    Integer columns must be given with their ``i`` by ``integer_field``, texts in their quotes
+    by ``text_field``.  A backslash is escaped as well, so that ``points`` gives back the same.
+    """
+    escaped = lambda c: F.regexp_replace(c.cast("string"), r"[,= \\]", r"\\$0")
+    name = lambda k: F.concat(escaped(F.lit(k)), F.lit("="))
+    listed = [F.concat(name(k), escaped(v)) for k, v in tags.items()]
+    head = F.concat_ws(",", escaped(measurement), *listed)
+    values = F.concat_ws(",", *[F.concat(name(k), v.cast("string")) for k, v in fields.items()])
+    return F.concat_ws(" ", head, values, *([at.cast("string")] if at is not None else []))
+
+
+def text_field(value: Column) -> Column:
+    return F.concat(F.lit('"'), F.regexp_replace(value, r'["\\]', r"\\$0"), F.lit('"'))
 
 
 def integer_field(value: Column) -> Column:

@@ -99,12 +99,28 @@ broken line without fields"""
 
 
 def test_line_protocol(spark, tmp_path):
-    path = write(str(tmp_path / "in" / "p.txt"), POINTS.replace("a b", "ab"))
+    path = write(str(tmp_path / "in" / "p.txt"), POINTS)
     got = records.points(lines.read_lines(spark, path)).collect()
     assert (got[0]["measurement"], got[0]["tags"]) == ("load", {"sensorID": "s1", "nPoints": "3"})
-    assert (got[0]["fields"], got[0]["at"]) == ({"hr": "1", "text": "ab"}, 1500)
+    assert (got[0]["fields"], got[0]["at"]) == ({"hr": "1", "text": "a b"}, 1500)
     assert (got[1]["fields"], got[1]["at"]) == ({"hr": "2.5"}, None)
     assert got[2]["measurement"] is None
+    texts = [
+        r'm,tag=a f="p,q" 1', r"m,tag=a\,b f=1 1", r'm,t=1 f="x y" 5', r"a\ b,c\=d=e\ f g=1,g=2i,g=3i",
+        r'm f="say \"a, b\" \\" 7', "m, f=1", "m f", ",t=1 f=1", "",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, line string")
+    found = [tuple(r)[1:] for r in records.points(df).orderBy("n").collect()]
+    assert found[:5] == [
+        ("m", {"tag": "a"}, {"f": "p,q"}, 1), ("m", {"tag": "a,b"}, {"f": "1"}, 1),
+        ("m", {"t": "1"}, {"f": "x y"}, 5), ("a b", {"c=d": "e f"}, {"g": "3"}, None),
+        ("m", {}, {"f": 'say "a, b" \\'}, 7),
+    ]
+    assert all(r == (None, None, None, None) for r in found[5:])
+    long = spark.range(1).select(
+        records.point_line(F.lit("m"), {}, {"f": records.text_field(F.repeat(F.lit('a" \\,='), 200_000))}).alias("line")
+    )
+    assert records.points(long).first()["fields"]["f"] == 'a" \\,=' * 200_000
     line = records.point_line(F.lit("m"), {"t": F.lit("x")}, {"n": records.integer_field(F.lit(3))}, F.lit(9))
     assert spark.range(1).select(line).first()[0] == "m,t=x n=3i 9"
 
