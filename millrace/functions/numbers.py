@@ -61,22 +61,3 @@ def hash_bucket(value: Column | str, buckets: int) -> Column:
     digits = F.substring(F.md5(_col(value).cast("string")), 1, 8)
     return F.pmod(F.conv(digits, 16, 10).cast("bigint"), F.lit(buckets))
 
-
-HIGH_BITS = 20
-
-
-def units(value: Column | str, places: int = 2) -> Column:
-    """A measure with that many decimals as a whole number of its smallest unit."""
-    return F.rint(_col(value) * float(10**places)).cast("bigint")
-
-
-def exact_sum(value: Column | str, places: int = 2) -> Column:
-    """Sum of a measure with few decimals, the same in any order of rows, as DOUBLE.
-
-    Summing whole units costs what summing doubles costs, a tenth of a decimal cast per
-    row.  High and low bits are summed apart, so 64 bits do not run over on large tables.
-    """
-    u = units(value, places)
-    high = F.sum(F.shiftright(u, HIGH_BITS)).cast("decimal(38,0)")
-    low = F.sum(u.bitwiseAND(F.lit((1 << HIGH_BITS) - 1)))
-    return (high * F.lit(1 << HIGH_BITS) + low).cast("double") / float(10**places)

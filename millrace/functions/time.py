@@ -83,6 +83,13 @@ def micros_of(df: DataFrame, column: str) -> Callable[[Column | str], Column]:
     return epoch_micros if zone in UTC_NAMES else wall_micros
 
 
+def slot_start(ts: str, width: str) -> Column:
+    """Start of the time slot of a time column; rows without a time get a null slot and stay."""
+    # F.window drops rows whose time is null, so it is given another time for them
+    some_time = F.coalesce(F.col(ts), F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"))
+    return F.when(F.col(ts).isNotNull(), F.window(some_time, width)["start"])
+
+
 def local_seconds(epoch_seconds: Column | str, zone: str = "UTC") -> Column:
     """Epoch seconds to the local date-time text ``yyyy-MM-ddTHH:mm:ss`` of a zone."""
     utc = F.timestamp_seconds(_col(epoch_seconds))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import lower_median, medians_by
-from millrace.functions.numbers import exact_sum, floor_2, integer_average
+from millrace.functions.numbers import floor_2, integer_average
+from millrace.functions.time import slot_start
 from millrace.operators import ordered as o
 from millrace.operators import sequence as sq
 
@@ -50,11 +52,11 @@ def min_mean_max(
     )
 
 
-def partials(df: DataFrame, by: Names, value: str, places: int = 2) -> DataFrame:
+def partials(df: DataFrame, by: Names, value: str) -> DataFrame:
     """Mergeable state per key: count, total, lowest, highest.  Can be stored and merged later."""
     return df.groupBy(*_list(by)).agg(
         F.count(value).alias("n"),
-        exact_sum(value, places).cast(f"decimal(38,{places})").alias("total"),
+        F.sum(value).alias("total"),
         F.min(value).alias("lowest"),
         F.max(value).alias("highest"),
     )
@@ -125,19 +127,22 @@ def merge_points(
 
 
 def downsample(df: DataFrame, by: Names, ts: str, width: str, value: str) -> DataFrame:
-    """One observation per key and time slot: mean, extremes, count, first and last time."""
+    """One observation per key and time slot: mean, extremes, count, first and last time.
+
+    Rows without a time make up a slot of their own, the null slot.
+    """
     return (
-        df.groupBy(*_list(by), F.window(ts, width)["start"].alias("slot"))
+        df.groupBy(*_list(by), slot_start(ts, width).alias("slot"))
         .agg(
             F.count(F.lit(1)).alias("n"),
-            exact_sum(value).alias("_t"),
+            F.avg(value).alias("_m"),
             F.min(value).alias("lowest"),
             F.max(value).alias("highest"),
             F.min(ts).alias("first_ts"),
             F.max(ts).alias("last_ts"),
         )
-        .withColumn("mean", F.round(F.col("_t") / F.col("n"), 4))
-        .drop("_t")
+        .withColumn("mean", F.round("_m", 4))
+        .drop("_m")
     )
 
 
@@ -162,10 +167,11 @@ def batch_means(
         .agg(
             F.min_by(ident, F.struct(*_list(order_by))).alias("first_id"),
             F.count(F.lit(1)).alias("n"),
-            exact_sum(value).alias("_t"),
+            F.avg(value).alias("_m"),
         )
-        .withColumn("mean", floor_2(F.col("_t") / F.col("n")))
-        .drop("_t")
+        # the order of a sum of doubles shows in far places: those go before the cut
+        .withColumn("mean", floor_2(F.round("_m", 9)))
+        .drop("_m")
     )
     return o.ordered(means, by, ["bucket", "chunk_no"]).add(measured=o.running_sum("n")).df
 
@@ -189,17 +195,42 @@ def running_maps(
 ) -> DataFrame:
     """After each row, the map of all keys so far with their newest value (``so_far``).
 
+    Each sequence starts with the empty map: one more row, null in all columns but ``by``.
+    A row without a key stays and adds no entry.
     Few keys: one last-known column per key, so no list of past rows is kept.  ``keys``
     names them; otherwise they are looked up if there are at most ``most_columns``.  More
     keys: one row per (row, key of its sequence), the newest value per key looked up as of
     each row, and the entries put together per row; that is as large as the maps are.
     """
+    by, order_by = _list(by), _list(order_by)
     if keys is None:
-        found = df.select(key).distinct().limit(most_columns + 1).collect()
+        named = df.where(F.col(key).isNotNull()).select(key).distinct()
+        found = named.limit(most_columns + 1).collect()
         keys = sorted(r[0] for r in found) if len(found) <= most_columns else None
     if keys is None:
-        return _running_maps_long(df, _list(by), _list(order_by), key, value)
+        mapped = _running_maps_long(df, by, order_by, key, value)
+    else:
+        mapped = _running_maps_wide(df, by, order_by, key, value, keys)
+    starts = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in by]
+    starts = starts.select(*by, *nulls, _no_entries(df, key, value).alias("so_far"))
+    return mapped.select(*df.columns, "so_far").unionByName(starts)
+
+
+def _no_entries(df: DataFrame, key: str, value: str) -> Column:
+    none = F.struct(
+        F.lit(None).cast(df.schema[key].dataType).alias("key"),
+        F.lit(None).cast(df.schema[value].dataType).alias("value"),
+    )
+    return F.map_from_entries(F.filter(F.array(none), lambda e: F.lit(False)))
+
+
+def _running_maps_wide(
+    df: DataFrame, by: list[str], order_by: list[str], key: str, value: str, keys: Sequence[str]
+) -> DataFrame:
     slots = {f"_k{i}": k for i, k in enumerate(keys)}
+    if not slots:
+        return df.withColumn("so_far", _no_entries(df, key, value))
     boxed = F.struct(F.col(key).alias("key"), F.col(value).alias("value"))
     seq = o.ordered(df, by, order_by).with_columns(
         **{s: F.when(F.col(key) == k, boxed) for s, k in slots.items()}
@@ -211,24 +242,33 @@ def running_maps(
     )
 
 
+def _null_safe(columns: Sequence[str], prefix: str) -> Column:
+    return reduce(
+        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in columns], F.lit(True)
+    )
+
+
 def _running_maps_long(
     df: DataFrame, by: list[str], order_by: list[str], key: str, value: str
 ) -> DataFrame:
-    firsts = df.groupBy(*by, F.col(key).alias("_key")).agg(
-        F.min(F.struct(*order_by)).alias("_first")
-    )
+    row_id = [*by, *order_by]
+    firsts = df.where(F.col(key).isNotNull()).groupBy(
+        *[F.col(c).alias(f"_f_{c}") for c in by], F.col(key).alias("_key")
+    ).agg(F.min(F.struct(*order_by)).alias("_first"))
     # only the keys that are in the map of the row: the output, entry by entry
     seen = F.struct(*order_by) >= F.col("_first")
-    wide = df.select(*by, *order_by, key, value).join(firsts, by).where(seen)
+    wide = df.select(*row_id, key, value).join(firsts, _null_safe(by, "_f_") & seen)
     boxed = F.when(F.col(key) == F.col("_key"), F.struct(F.col(value).alias("v")))
     filled = o.ordered(wide.withColumn("_own", boxed), [*by, "_key"], order_by).add(
         _newest=o.last_known("_own")
     )
     entry = F.struct(F.col("_key").alias("key"), F.col("_newest")["v"].alias("value"))
-    maps = filled.df.groupBy(*by, *order_by).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("so_far")
+    maps = filled.df.groupBy(*[F.col(c).alias(f"_m_{c}") for c in row_id]).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("_map")
+    )
+    return df.join(maps, _null_safe(row_id, "_m_"), "left").withColumn(
+        "so_far", F.coalesce("_map", _no_entries(df, key, value))
     )
-    return df.join(maps, [*by, *order_by])
 
 
 def coverage(
@@ -249,8 +289,8 @@ def coverage(
 
 
 def throughput(df: DataFrame, ts: str, width: str, by: Names = ()) -> DataFrame:
-    """Elements per time slot."""
-    return df.groupBy(*_list(by), F.window(ts, width)["start"].alias("slot")).agg(
+    """Elements per time slot; those without a time are counted in the null slot."""
+    return df.groupBy(*_list(by), slot_start(ts, width).alias("slot")).agg(
         F.count(F.lit(1)).alias("n")
     )
 

@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.time import slot_start
 from millrace.operators import ordered as o
 
 Names = Sequence[str] | str
 
+# Spark limits ranked groups before the shuffle up to this rank (its own default).
+GROUP_LIMIT = 1000
+
 
 def _list(names: Names) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
@@ -32,7 +36,8 @@ def oldest_per(df: DataFrame, by: Names, order_by: Names) -> DataFrame:
 
 
 def with_slot(df: DataFrame, ts: str, width: str, name: str = "slot") -> DataFrame:
-    return df.withColumn(name, F.window(ts, width)["start"])
+    """The start of each row's time slot; rows without a time share the null slot."""
+    return df.withColumn(name, slot_start(ts, width))
 
 
 def conflate(df: DataFrame, by: Names, ts: str, width: str, order_by: Names) -> DataFrame:
@@ -48,14 +53,24 @@ def sample_first(df: DataFrame, by: Names, ts: str, width: str, order_by: Names)
 def keep_newest(df: DataFrame, by: Names, order_by: Names, n: int) -> DataFrame:
     """Last ``n`` rows per key.
 
-    Spark limits each group before the shuffle, so a heavy key sends ``n`` rows per task.
+    Spark limits each group before the shuffle while ``n`` is small, so a heavy key sends
+    ``n`` rows per task.  A large ``n`` is a position in the order, counted from the end.
     """
-    w = Window.partitionBy(*_list(by)).orderBy(*[F.col(c).desc() for c in _list(order_by)])
+    by, order_by = _list(by), _list(order_by)
+    if n > GROUP_LIMIT:
+        placed = o.ordered(df, by, order_by).add(_i=o.index()).df
+        sizes = df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(
+            F.count(F.lit(1)).alias("_n")
+        )
+        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by]
+        kept = placed.join(sizes, same).where(F.col("_i") >= F.col("_n") - n)
+        return kept.select(*df.columns)
+    w = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order_by])
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
 def kth_smallest(
-    df: DataFrame, by: Names, value: str, k: int, tie: Names = (), small_k: int = 1000
+    df: DataFrame, by: Names, value: str, k: int, tie: Names = (), small_k: int = GROUP_LIMIT
 ) -> DataFrame:
     """k-th smallest value per key (1-based); keys with fewer rows give none.
 
@@ -93,12 +108,14 @@ def merge_by_priority(
     the larger weight.  Sources without a weight take no part.
     """
     weight = F.create_map(*[F.lit(v) for kv in weights.items() for v in kv])[F.col(source)]
-    w = Window.partitionBy(source).orderBy(*_list(order_by))
-    ranked = (
-        df.where(F.col(source).isin(*weights))
-        .withColumn("position", F.row_number().over(w))
-        .where(F.col("position") <= n)  # no source can give more than n of the n rows
-    )
+    weighed = df.where(F.col(source).isin(*weights))
+    if n > GROUP_LIMIT:
+        placed = o.ordered(weighed, source, _list(order_by)).add(position=o.index()).df
+        numbered = placed.withColumn("position", (F.col("position") + 1).cast("int"))
+    else:
+        w = Window.partitionBy(source).orderBy(*_list(order_by))
+        numbered = weighed.withColumn("position", F.row_number().over(w))
+    ranked = numbered.where(F.col("position") <= n)  # no source gives more than n of the n rows
     return (
         ranked.withColumn("weight", weight)
         .withColumn("turn", F.col("position") / F.col("weight"))

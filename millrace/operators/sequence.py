@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.time import micros_of
+from millrace.functions.time import micros_of, slot_start
 from millrace.operators import ordered as o
 from millrace.operators.ordered import Ordered
 
@@ -150,9 +150,12 @@ def timed_chunks(
     bucket: str = "bucket",
     name: str = "chunk_no",
 ) -> DataFrame:
-    """Chunks of at most ``size`` rows that do not reach over a time bucket."""
+    """Chunks of at most ``size`` rows that do not reach over a time bucket.
+
+    Rows without a time share the null bucket.
+    """
     by = [by] if isinstance(by, str) else list(by)
-    bucketed = df.withColumn(bucket, F.window(ts, width)["start"])
+    bucketed = df.withColumn(bucket, slot_start(ts, width))
     return chunks(o.ordered(bucketed, [*by, bucket], order_by), size, name).df
 
 
@@ -173,27 +176,34 @@ def fold_text(
     name: str = "folded",
     part: str = "part",
     part_bytes: int = 64 * 1024 * 1024,
+    head: str = "",
+    tail: str = "",
 ) -> DataFrame:
-    """Concatenate texts per group in the order of a position.
+    """Concatenate texts per group in the order of a position, between ``head`` and ``tail``.
 
     A text that gets longer than ``part_bytes`` goes on in the next part (0, 1, ...), so
     no task gathers more than that of a group however large it is; the parts put together
-    are the whole text, separators included.
+    are the whole text, separators included.  The head is in the first part only, the tail in
+    the last.
     """
     by = [by] if isinstance(by, str) else list(by)
     value = F.col(text) if isinstance(text, str) else text
     sized = df.select(*by, position, value.alias("_t")).withColumn(
         "_b", F.coalesce(F.octet_length("_t"), F.lit(0)) + len(separator)
     )
-    placed = o.ordered(sized, by, position).add(_upto=o.running_sum("_b")).df
+    running = {"_upto": o.running_sum("_b")} | ({"_next": o.lead(position)} if tail else {})
+    placed = o.ordered(sized, by, position).add(**running).df
+    last = F.max(F.col("_next").isNull()) if tail else F.lit(False)
     start = F.floor((F.col("_upto") - F.col("_b")) / part_bytes).cast("int")
     listed = F.array_sort(F.collect_list(F.struct(position, "_t")))
     joined = F.array_join(F.transform(listed, lambda s: s["_t"]), separator)
-    folded = placed.groupBy(*by, start.alias(part)).agg(joined.alias(name))
-    goes_on = F.lit(True) if leading else F.col(part) > 0
-    return folded.withColumn(
-        name, F.when(goes_on, F.concat(F.lit(separator), name)).otherwise(F.col(name))
+    folded = placed.groupBy(*by, start.alias(part)).agg(
+        joined.alias(name), last.alias("_last")
     )
+    first = F.col(part) == 0
+    before = F.when(first, F.lit(head + separator if leading else head)).otherwise(F.lit(separator))
+    after = F.when(F.col("_last"), F.lit(tail)).otherwise(F.lit(""))
+    return folded.withColumn(name, F.concat(before, name, after)).drop("_last")
 
 
 def take_while(seq: Ordered, holds: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, numbers, text
-from millrace.functions.time import micros_of
+from millrace.functions.time import micros_of, slot_start
 from millrace.operators import aggregates as ag
 from millrace.operators import latest
 from millrace.operators import ordered as o
@@ -21,7 +21,7 @@ from millrace.sources.tables import table
     "station_stats",
     """
     SELECT event_type, count(value) AS n, min(value) AS lowest, max(value) AS highest,
-           round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value), 4) AS mean
+           round(avg(value), 4) AS mean
     FROM events GROUP BY event_type ORDER BY event_type
     """,
 )
@@ -34,7 +34,7 @@ def station_stats(spark, sf_dir):
     """
     SELECT s_nationkey, count(*) AS n, least(min(s_acctbal), 0.0) AS lowest,
            greatest(max(s_acctbal), 0.0) AS highest,
-           round(CAST(sum(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS mean
+           round(avg(s_acctbal), 4) AS mean
     FROM supplier GROUP BY s_nationkey ORDER BY s_nationkey
     """,
 )
@@ -86,7 +86,7 @@ def safe_cast_delay(spark, sf_dir):
     "partial_rollup",
     """
     SELECT event_type, count(value) AS n, min(value) AS lowest, max(value) AS highest,
-           CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+           round(sum(value), 4) AS total
     FROM events GROUP BY event_type
     """,
 )
@@ -94,10 +94,51 @@ def partial_rollup(spark, sf_dir):
     daily = events(spark, sf_dir).withColumn("day", F.to_date("ts"))
     stored = ag.partials(daily, ["event_type", "day"], "value")
     return ag.merge_partials(stored, "event_type").withColumn(
-        "total", F.col("total").cast("double")
+        "total", F.round("total", 4)
     )
 
 
+_MEASURED = """
+    SELECT l_returnflag, count(v) AS n, round(min(v), 4) AS lowest, NOT isfinite(max(v)) AS no_highest,
+           round(sum(CASE WHEN isfinite(v) THEN v ELSE 0 END), 4) AS total,
+           CASE WHEN isfinite(max(v)) THEN round(avg(v), 4) END AS mean
+    FROM (SELECT l_returnflag, {value} AS v FROM lineitem) GROUP BY l_returnflag
+"""
+
+
+def _measured(spark, sf_dir, value):
+    items = table(spark, sf_dir, "lineitem").select("l_returnflag", value.alias("v"))
+    states = ag.merge_partials(ag.partials(items, "l_returnflag", "v"), "l_returnflag")
+    means = ag.min_mean_max(items, "l_returnflag", "v").select("l_returnflag", "mean")
+    finite = items.withColumn("v", F.when(~F.isnan("v"), F.col("v")).otherwise(0.0))
+    totals = ag.partials(finite, "l_returnflag", "v").select("l_returnflag", "total")
+    return states.drop("total").join(means, "l_returnflag").join(totals, "l_returnflag").select(
+        "l_returnflag", "n", F.round("lowest", 4).alias("lowest"),
+        F.isnan("highest").alias("no_highest"), F.round("total", 4).alias("total"),
+        F.when(~F.isnan("mean"), F.col("mean")).alias("mean"),
+    )
+
+
+@query("measure_of_six_places", _MEASURED.format(value="l_extendedprice * l_discount * l_tax"))
+def measure_of_six_places(spark, sf_dir):
+    # more decimals than a price has: nothing may be rounded before it is summed
+    return _measured(spark, sf_dir, F.col("l_extendedprice") * F.col("l_discount") * F.col("l_tax"))
+
+
+@query(
+    "measure_with_nan",
+    _MEASURED.format(
+        value="CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN CAST('nan' AS DOUBLE) "
+        "ELSE l_extendedprice * l_discount END"
+    ),
+)
+def measure_with_nan(spark, sf_dir):
+    # one flag has values that are no numbers: its highest and mean are none, the others stand
+    odd = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)
+    measure = F.col("l_extendedprice") * F.col("l_discount")
+    return _measured(spark, sf_dir, F.when(odd, F.lit(float("nan"))).otherwise(measure))
+
+
 @query(
     "word_count",
     r"""
@@ -194,7 +235,7 @@ def text_fold(spark, sf_dir):
     "chunk_sums",
     """
     SELECT chunk_no, CAST(sum(o_orderkey) AS BIGINT) AS key_sum, count(*) AS n,
-           CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS price_sum
+           round(sum(o_totalprice), 4) AS price_sum
     FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS chunk_no,
                  o_orderkey, o_totalprice FROM orders)
     GROUP BY chunk_no
@@ -206,7 +247,7 @@ def chunk_sums(spark, sf_dir):
     return paged.groupBy("chunk_no").agg(
         F.sum("o_orderkey").alias("key_sum"),
         F.count(F.lit(1)).alias("n"),
-        numbers.exact_sum("o_totalprice").alias("price_sum"),
+        F.round(F.sum("o_totalprice"), 4).alias("price_sum"),
     )
 
 
@@ -258,6 +299,36 @@ def kth_smallest(spark, sf_dir):
     return latest.kth_smallest(items, "l_returnflag", "l_extendedprice", 10)
 
 
+@query(
+    "kth_smallest_large_k",
+    """
+    SELECT l_returnflag, l_extendedprice FROM (
+      SELECT l_returnflag, l_extendedprice,
+             row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS rn
+      FROM lineitem) WHERE rn = 1400
+    """,
+)
+def kth_smallest_large_k(spark, sf_dir):
+    # beyond the ranks that Spark limits before the shuffle
+    items = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+    return latest.kth_smallest(items, "l_returnflag", "l_extendedprice", 1400)
+
+
+@query(
+    "downsample_without_times",
+    """
+    SELECT event_type, date_trunc('hour', CASE WHEN event_id % 7 <> 0 THEN ts END) AS slot, count(*) AS n,
+           round(avg(value), 4) AS mean
+    FROM events GROUP BY ALL
+    """,
+)
+def downsample_without_times(spark, sf_dir):
+    # every seventh event has lost its time and is counted in the null slot
+    rows = events(spark, sf_dir).withColumn("ts", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
+    slots = ag.downsample(rows, "event_type", "ts", "1 hour", "value")
+    return slots.select("event_type", "slot", "n", "mean")
+
+
 @query(
     "series_recent",
     """
@@ -304,7 +375,7 @@ def point_merge(spark, sf_dir):
     """
     SELECT event_type, date_trunc('hour', ts) AS slot, count(*) AS n, min(value) AS lowest,
            max(value) AS highest, min(ts) AS first_ts, max(ts) AS last_ts,
-           round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS mean
+           round(avg(value), 4) AS mean
     FROM events GROUP BY ALL
     """,
 )
@@ -324,7 +395,7 @@ def downsample(spark, sf_dir):
 )
 def throughput(spark, sf_dir):
     rows = events(spark, sf_dir)
-    slots = rows.groupBy(F.window("ts", "1 day")["start"].alias("slot")).agg(
+    slots = rows.groupBy(slot_start("ts", "1 day").alias("slot")).agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")
     )
     micros = micros_of(rows, "ts")
@@ -341,7 +412,7 @@ def throughput(spark, sf_dir):
       FROM events),
     batches AS (
       SELECT user_id, bucket, chunk_no, arg_min(event_id, (ts, event_id)) AS first_id, count(*) AS n,
-             floor(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) * 100) / 100.0 AS mean
+             floor(round(avg(value), 9) * 100) / 100.0 AS mean
       FROM numbered GROUP BY user_id, bucket, chunk_no)
     SELECT *, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY bucket, chunk_no) AS BIGINT) AS measured
     FROM batches
@@ -374,6 +445,7 @@ def batch_mean_total(spark, sf_dir):
                      CASE WHEN v IS NOT NULL THEN 'view' END) AS keys,
            c AS click_value
     FROM known
+    UNION ALL SELECT DISTINCT NULL, user_id, 0, '', CAST(NULL AS DOUBLE) FROM events
     """,
 )
 def running_map(spark, sf_dir):
@@ -397,8 +469,9 @@ def running_map(spark, sf_dir):
              (SELECT arg_max(x.value, (x.ts, x.event_id)) FROM events x WHERE x.user_id = e.user_id
               AND x.event_type = f.event_type AND (x.ts, x.event_id) <= (e.ts, e.event_id)) AS v
       FROM events e JOIN firsts f ON f.user_id = e.user_id AND f.f <= (e.ts, e.event_id))
-    SELECT user_id, event_id, string_agg(k || '=' || CAST(CAST(round(v * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY k) AS so_far
+    SELECT user_id, event_id, string_agg(k || '=' || printf('%.4f', v), ',' ORDER BY k) AS so_far
     FROM entries GROUP BY user_id, event_id
+    UNION ALL SELECT DISTINCT user_id, NULL, '' FROM events
     """,
 )
 def running_map_many_keys(spark, sf_dir):
@@ -409,7 +482,7 @@ def running_map_many_keys(spark, sf_dir):
     )
     entry = F.transform(
         F.array_sort(F.map_entries("so_far")),
-        lambda e: F.concat_ws("=", e["key"], numbers.units(e["value"]).cast("string")),
+        lambda e: F.concat_ws("=", e["key"], F.format_string("%.4f", e["value"])),
     )
     return mapped.select("user_id", "event_id", F.array_join(entry, ",").alias("so_far"))
 
@@ -448,17 +521,15 @@ def user_fold(spark, sf_dir):
     "running_fold",
     """
     SELECT user_id, row_number() OVER w AS step,
-           CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS folded
+           round(sum(value) OVER w, 4) AS folded
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
     UNION ALL SELECT DISTINCT user_id, 0, 0.0 FROM events
     """,
 )
 def running_fold(spark, sf_dir):
-    rows = events(spark, sf_dir).select(
-        "user_id", "ts", "event_id", numbers.units("value").alias("value")
-    )
+    rows = events(spark, sf_dir).select("user_id", "ts", "event_id", "value")
     folded = sq.running_fold(o.ordered(rows, "user_id", ["ts", "event_id"]), "value")
-    return folded.withColumn("folded", F.col("folded") / 100.0)
+    return folded.withColumn("folded", F.round("folded", 4))
 
 
 @query(

@@ -258,5 +258,6 @@ def filled_templates(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     placed = o.ordered(turns, "conv_id", "turn").add(pos=o.index()).df
     block = F.concat("text", F.lit("\n\n"))
-    folded = sq.fold_text(placed, "conv_id", "pos", block, separator="")
-    return folded.select("conv_id", "part", F.format_string("Text lines:\n%sEnd", "folded").alias("prompt"))
+    return sq.fold_text(
+        placed, "conv_id", "pos", block, separator="", name="prompt", head="Text lines:\n", tail="End"
+    )

@@ -179,16 +179,15 @@ def weighted_targets(spark, sf_dir):
 @query(
     "least_loaded",
     """
-    WITH loads AS (SELECT s_nationkey, CAST(round(sum(CAST(s_acctbal AS DECIMAL(18,2))) / 10000) AS BIGINT) AS load
+    WITH loads AS (SELECT s_nationkey, CAST(round(sum(s_acctbal) / 10000) AS BIGINT) AS load
                    FROM supplier GROUP BY s_nationkey)
     SELECT s_nationkey, load FROM loads ORDER BY load, s_nationkey LIMIT 1
     """,
 )
 def least_loaded(spark, sf_dir):
     suppliers = table(spark, sf_dir, "supplier")
-    total = numbers.exact_sum("s_acctbal")
     loads = suppliers.groupBy("s_nationkey").agg(
-        F.round(total / 10000).cast("bigint").alias("load")
+        F.round(F.sum("s_acctbal") / 10000).cast("bigint").alias("load")
     )
     return routing.least_loaded(loads, "s_nationkey", "load")
 

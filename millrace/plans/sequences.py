@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.functions.numbers import exact_sum
 from millrace.functions.time import micros_of
 from millrace.operators import latest
 from millrace.operators import ordered as o
@@ -124,7 +123,7 @@ def run_groups(spark, sf_dir):
     _sql(
         """
         SELECT user_id, session_no, count(*) AS n, min(ts) AS start_ts, max(ts) AS end_ts,
-               CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM (
+               round(sum(value), 4) AS total FROM (
           SELECT *, CAST(sum(cut) OVER ({w}) AS BIGINT) AS session_no FROM (
             SELECT *, CASE WHEN ts - lag(ts) OVER ({w}) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS cut
             FROM events))
@@ -137,7 +136,7 @@ def sessions_30m(spark, sf_dir):
     return sq.summarise(
         grouped, "user_id", "session_no", counted(),
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"),
-        exact_sum("value").alias("total"),
+        F.round(F.sum("value"), 4).alias("total"),
     )
 
 
@@ -504,10 +503,11 @@ def chat_echo(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     chunked = sq.chunks(o.ordered(turns, "conv_id", "turn"), 10).df
     keys = ["conv_id", "chunk_no"]
-    folded = sq.fold_text(chunked, keys, "turn", F.upper("text"), separator="; ")
+    folded = sq.fold_text(
+        chunked, keys, "turn", F.upper("text"), separator="; ", name="reply", head="Hello ", tail="!"
+    )
     sizes = chunked.groupBy(*keys).agg(counted())
-    reply = F.format_string("Hello %s!", "folded")
-    return folded.join(sizes, keys).withColumn("reply", reply).drop("folded")
+    return folded.join(sizes, keys)
 
 
 @query(

@@ -1,4 +1,5 @@
 import itertools
+import math
 import statistics
 
 import pytest
@@ -8,6 +9,7 @@ from millrace.functions import arrays, numbers, text
 from millrace.operators import aggregates as ag
 from millrace.operators import joins, latest, routing, user
 from millrace.operators import ordered as o
+from millrace.operators import sequence as sq
 
 
 def rows(df, *order):
@@ -103,11 +105,39 @@ def test_stored_partials_merge_to_the_same_answer(spark):
     assert rows(merged, "k") == rows(ag.partials(df, "k", "v"), "k")
 
 
-def test_exact_sum_does_not_run_over(spark):
-    df = spark.range(4).select(F.lit(9e16).alias("v"))  # in hundredths the sum needs 65 bits
-    assert df.agg(numbers.exact_sum("v").alias("s")).first()["s"] == 3.6e17
-    negative = spark.createDataFrame([(-0.1,), (-0.2,), (0.05,)], "v double")
-    assert negative.agg(numbers.exact_sum("v").alias("s")).first()["s"] == -0.25
+def test_sums_keep_small_values_and_values_that_are_no_numbers(spark):
+    df = spark.createDataFrame([(1, 0.004), (1, 0.004), (2, 1.0), (2, float("nan"))], "k int, v double")
+    got = {r["k"]: r for r in ag.partials(df, "k", "v").collect()}
+    assert got[1]["total"] == 0.008 and got[1]["n"] == 2
+    assert math.isnan(got[2]["total"]) and got[2]["lowest"] == 1.0
+    slots = df.withColumn("ts", F.timestamp_seconds(F.lit(5)))
+    means = {r["k"]: r["mean"] for r in ag.downsample(slots, "k", "ts", "1 minute", "v").collect()}
+    assert means[1] == 0.004 and math.isnan(means[2])
+
+
+def test_rows_without_a_time_stay(spark):
+    df = spark.createDataFrame([(1, 5, 1.0), (1, None, 2.0), (1, None, 4.0)], "k int, s int, v double")
+    for kind in ("timestamp", "timestamp_ntz"):
+        timed = df.withColumn("ts", F.timestamp_seconds("s").cast(kind))
+        slots = {r["slot"]: (r["n"], r["mean"]) for r in ag.downsample(timed, "k", "ts", "1 minute", "v").collect()}
+        assert len(slots) == 2 and slots[None] == (2, 3.0)
+        assert sum(r["n"] for r in ag.throughput(timed, "ts", "1 minute").collect()) == 3
+        assert sorted(r["v"] for r in latest.conflate(timed, "k", "ts", "1 minute", "v").collect()) == [1.0, 4.0]
+        cut = sq.timed_chunks(timed, "k", ["ts", "v"], "ts", 1, "1 minute")
+        assert sorted((r["v"], r["chunk_no"]) for r in cut.collect()) == [(1.0, 0), (2.0, 0), (4.0, 1)]
+
+
+def test_large_ranks_are_positions_in_the_order(spark):
+    df = spark.range(6000).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
+    df = df.unionByName(spark.range(3).select(F.lit(None).cast("bigint").alias("k"), F.col("id").alias("v")))
+    kept = latest.keep_newest(df, "k", "v", 1500)
+    found = kept.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low")).collect()
+    assert {r["k"]: (r["n"], r["low"]) for r in found} == {0: (1500, 3000), 1: (1500, 3001), None: (3, 0)}
+    named = df.where("k IS NOT NULL").withColumn("s", F.col("k").cast("string"))
+    few = latest.merge_by_priority(named, "s", ["v"], {"0": 2, "1": 1}, 900).select("s", "v", "position")
+    many = latest.merge_by_priority(named, "s", ["v"], {"0": 2, "1": 1}, 1500).select("s", "v", "position")
+    assert many.limit(900).collect() == few.collect()
+    assert many.count() == 1500
 
 
 def test_words_and_keyword_messages(spark):
@@ -160,19 +190,27 @@ def test_mean_is_cut_and_attributed_to_the_first_id(spark):
     df = spark.createDataFrame([("t", 0, 1.239, "x"), ("t", 1, 2.0, "y")], "k string, s int, v double, id string")
     df = df.withColumn("ts", F.timestamp_seconds("s"))
     found = ag.batch_means(df, "k", ["ts"], "ts", "v", "id", 100, "10 seconds").first()
-    # the sum works in hundredths, so a third decimal is rounded before
-    assert (found["first_id"], found["n"], found["measured"]) == ("x", 2, 2)
+    assert (found["first_id"], found["n"], found["measured"], found["mean"]) == ("x", 2, 2, 1.61)
     assert spark.range(1).select(numbers.floor_2(F.lit(1.6195)).alias("m")).first()["m"] == 1.61
 
 
 def test_running_maps_of_few_and_many_keys(spark):
     data = [("u", i, f"k{(i * 7) % 5}", i) for i in range(12)] + [("w", 0, "k9", None)]
+    data += [("u", 12, None, 99), ("x", 0, None, 1), (None, 0, "k1", 7), (None, 1, "k2", 8)]
     df = spark.createDataFrame(data, "u string, i int, key string, v int")
     few = ag.running_maps(df, "u", "i", "key", "v")
     many = ag.running_maps(df, "u", "i", "key", "v", most_columns=2)
     as_dicts = lambda d: {(r["u"], r["i"]): r["so_far"] for r in d.collect()}
-    assert as_dicts(few) == as_dicts(many)
-    assert as_dicts(few)[("u", 6)] == {"k0": 5, "k2": 6, "k4": 2, "k1": 3, "k3": 4}
+    got = as_dicts(few)
+    assert got == as_dicts(many)
+    assert got[("u", 6)] == {"k0": 5, "k2": 6, "k4": 2, "k1": 3, "k3": 4}
+    assert got[("u", 12)] == got[("u", 11)] and got[("x", 0)] == {}
+    assert got[(None, 1)] == {"k1": 7, "k2": 8}
+    # every sequence starts with the empty map
+    assert all(got[(u, None)] == {} for u in ("u", "w", "x", None))
+    assert few.count() == many.count() == len(data) + 4
+    nothing = ag.running_maps(df.where("key IS NULL"), "u", "i", "key", "v")
+    assert {r["so_far"].__len__() for r in nothing.collect()} == {0}
 
 
 def test_throughput_rate_rule(spark):

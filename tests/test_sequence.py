@@ -110,6 +110,16 @@ def test_fold_text_goes_on_in_parts(spark, path):
     assert all(len(r["folded"]) <= 12 + 5 for r in parts)
 
 
+def test_head_and_tail_are_written_once(spark, path):
+    df = spark.createDataFrame([("g", i, f"w{i}") for i in range(20)] + [("h", 0, "x")], "k string, i int, v string")
+    for most in (12, 1 << 20):
+        parts = sq.fold_text(df, "k", "i", "v", separator="; ", part_bytes=most, head="[", tail="]")
+        whole = {"g": "", "h": ""}
+        for r in parts.orderBy("k", "part").collect():
+            whole[r["k"]] += r["folded"]
+        assert whole == {"g": "[" + "; ".join(f"w{i}" for i in range(20)) + "]", "h": "[x]"}
+
+
 def test_first_element_is_special(spark, path):
     seq = seq_of(spark, [1, 2, 3, 4, 5])
     said = lambda t: F.concat(F.lit(t), F.col("v").cast("string"))
