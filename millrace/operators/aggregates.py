@@ -77,10 +77,17 @@ def count_words(words: DataFrame, word: str, ignore: Sequence[str] = ()) -> Data
     ).groupBy(word).agg(F.count(F.lit(1)).alias("n"))
 
 
-def empty_safe_sum(df: DataFrame, value: Column | str, name: str = "total") -> DataFrame:
-    """One row, 0 for no input."""
+def empty_safe_sum(
+    df: DataFrame,
+    value: Column | str,
+    name: str = "total",
+    by: Names = (),
+    where: Column | None = None,
+) -> DataFrame:
+    """Sum of the rows for which ``where`` holds, 0 for none: one row, or one per key."""
     v = F.col(value) if isinstance(value, str) else value
-    return df.agg(F.coalesce(F.sum(v), F.lit(0)).alias(name))
+    total = F.sum(v if where is None else F.when(where, v))
+    return df.groupBy(*_list(by)).agg(F.coalesce(total, F.lit(0)).alias(name))
 
 
 def median_of_medians(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.operators import ordered as o
@@ -93,8 +93,11 @@ def least_loaded(loads: DataFrame, target: str, load: str) -> DataFrame:
     return loads.agg(F.min_by(target, rank).alias(target), F.min(load).alias(load))
 
 
-def tap(df: DataFrame, name: str, *metrics: Column) -> DataFrame:
-    """Observe metrics of the rows that pass, without changing them."""
+def tap(df: DataFrame, name: str | Observation, *metrics: Column) -> DataFrame:
+    """Observe metrics of the rows that pass, without changing them.
+
+    Given an ``Observation``, its ``get`` has the metrics once the rows have passed.
+    """
     return df.observe(name, *metrics)
 
 

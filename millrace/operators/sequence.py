@@ -18,6 +18,7 @@ from millrace.operators.ordered import Ordered
 
 Names = Sequence[str] | str
 MICROS = 1_000_000
+BEATS = 10_000
 
 
 def _flag(condition: Column) -> Column:
@@ -314,16 +315,21 @@ def replace_or_append(
 def heartbeats(
     seq: Ordered, ts: str, every_seconds: int, name: str = "beat"
 ) -> DataFrame:
-    """Times t+d, t+2d, ... strictly before the next row, for idle stretches longer than d."""
+    """Times t+d, t+2d, ... strictly before the next row, for idle stretches longer than d.
+
+    The beats of a stretch are made in blocks of ``BEATS``, so a long stretch is no long array.
+    """
+    micros = micros_of(seq.rows, ts)
     ahead = seq.add(_nt=o.lead(ts)).df
-    step = F.make_dt_interval(secs=F.lit(every_seconds))
-    last = F.col("_nt") - F.make_dt_interval(secs=F.lit(0.000001))
-    idle = F.col(ts) + step <= last
-    return (
-        ahead.where(idle)
-        .withColumn(name, F.explode(F.sequence(F.col(ts) + step, last, step)))
-        .drop("_nt")
+    gap = micros("_nt") - 1 - micros(ts)
+    counted = ahead.withColumn("_n", F.floor(gap / (every_seconds * MICROS)).cast("bigint"))
+    blocks = counted.where(F.col("_n") > 0).withColumn(
+        "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / BEATS)))
     )
+    first, upto = F.col("_b") * BEATS + 1, F.least((F.col("_b") + 1) * BEATS, F.col("_n"))
+    beats = blocks.withColumn("_k", F.explode(F.sequence(first, upto)))
+    later = F.make_dt_interval(secs=(F.col("_k") * every_seconds).cast("decimal(18,6)"))
+    return beats.withColumn(name, F.col(ts) + later).drop("_nt", "_n", "_b", "_k")
 
 
 def late_rows(

@@ -8,21 +8,40 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+# An odd step, so that the first batches of neighbouring partitions take different lanes.
+LANE_STEP = 7919
 
 
 def map_batches(
-    df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str
+    df: DataFrame,
+    function: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+    skip_failing: bool = False,
 ) -> DataFrame:
     """A function on batches of rows, as many at once as there are partitions.
 
-    It may return more or fewer rows than it gets (map, filter, flatten).
+    It may return more or fewer rows than it gets (map, filter, flatten).  With
+    ``skip_failing`` a batch for which it raises is halved until the rows that fail stand
+    alone; those are left out, and the others go on.
     """
 
+    def results(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        try:
+            yield function(batch)
+        except Exception:  # whatever the user's function raises
+            if not skip_failing:
+                raise
+            half = len(batch) // 2
+            if half:
+                yield from results(batch.iloc[:half])
+                yield from results(batch.iloc[half:])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield function(batch)
+            yield from results(batch)
 
     return df.mapInPandas(run, schema)
 
@@ -39,22 +58,24 @@ def fold_per_key(
     """A user aggregate: ``fold`` turns rows of a key into a state, ``merge`` states into one.
 
     Every Arrow batch is folded per key before the shuffle.  The states of a key are merged
-    in two steps, first ``fan_in`` groups side by side and then those, so the states of a
-    heavy key do not meet in one task at once.
+    in two steps, first in ``fan_in`` lanes side by side and then those, so the states of a
+    heavy key do not meet in one task at once.  The lane goes by the place of the batch, not by
+    the state, so that equal states are spread as well.
     """
     key_type = df.select(key).schema[0].dataType.simpleString()
     schema = f"{key} {key_type}, {state_schema}"
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        partition = TaskContext.get().partitionId()
+        for n, batch in enumerate(batches):
             if len(batch):
-                rows = [{key: k, **fold(g)} for k, g in batch.groupby(key, dropna=False)]
+                lane = (partition * LANE_STEP + n) % fan_in
+                rows = [{key: k, **fold(g), "_lane": lane} for k, g in batch.groupby(key, dropna=False)]
                 yield pd.DataFrame(rows)
 
     def merged(group: tuple, states: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([{key: group[0], **merge(states)}])
 
-    states = df.select(key, *columns).mapInPandas(per_batch, schema)
-    lane = F.pmod(F.xxhash64(*states.columns), F.lit(fan_in)).alias("_lane")
-    first = states.groupBy(key, lane).applyInPandas(merged, schema)
+    states = df.select(key, *columns).mapInPandas(per_batch, f"{schema}, _lane BIGINT")
+    first = states.groupBy(key, "_lane").applyInPandas(merged, schema)
     return first.groupBy(key).applyInPandas(merged, schema)

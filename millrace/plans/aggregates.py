@@ -209,12 +209,26 @@ def newest_total(spark, sf_dir):
     return latest.newest_per(totals.select("event_type", "day", "total"), "event_type", "day")
 
 
-@query("empty_fold", "SELECT CAST(0 AS BIGINT) AS total FROM region WHERE r_regionkey = 0")
+@query("empty_fold", "SELECT CAST(coalesce(sum(event_id), 0) AS BIGINT) AS total FROM events WHERE user_id < 0")
 def empty_fold(spark, sf_dir):
     none = events(spark, sf_dir).where(F.col("user_id") < 0)
     return ag.empty_safe_sum(none, "event_id")
 
 
+@query(
+    "empty_fold_by_user",
+    """
+    SELECT user_id, event_type, CAST(coalesce(sum(event_id) FILTER (WHERE value > 300), 0) AS BIGINT) AS total
+    FROM events GROUP BY user_id, event_type
+    """,
+)
+def empty_fold_by_user(spark, sf_dir):
+    # some users have no dear event of a type: their fold is over nothing
+    return ag.empty_safe_sum(
+        events(spark, sf_dir), "event_id", by=["user_id", "event_type"], where=F.col("value") > 300
+    )
+
+
 @query(
     "text_fold",
     """
@@ -599,6 +613,19 @@ def priority_merge(spark, sf_dir):
     return merged.drop("ts")
 
 
+@query(
+    "window_times",
+    """
+    SELECT event_type, slot, ts, row_number() OVER (PARTITION BY event_type, slot ORDER BY ts) - 1 AS place
+    FROM (SELECT DISTINCT event_type, date_trunc('day', ts) AS slot, ts FROM events)
+    """,
+)
+def window_times(spark, sf_dir):
+    # the set of event times of each window, in order: one row per time, no array
+    rows = latest.with_slot(events(spark, sf_dir).select("event_type", "ts"), "ts", "1 day").distinct()
+    return o.ordered(rows, ["event_type", "slot"], "ts").add(place=o.index()).df
+
+
 @query(
     "sorted_set",
     """

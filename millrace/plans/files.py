@@ -335,10 +335,41 @@ def split_by_key_counted(spark, sf_dir):
 def file_per_value(spark, sf_dir):
     path = work_dir(spark, "values")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    files.write_per_value(orders, path, "o_orderstatus", files_per_value=4)
+    files.write_per_value(orders, path, "o_orderstatus")
     return spark.read.schema("o_orderkey BIGINT, o_orderstatus STRING").parquet(path)
 
 
+@query(
+    "file_inventory",
+    "SELECT event_type, true AS listed FROM events GROUP BY event_type",
+)
+def file_inventory(spark, sf_dir):
+    # a folder per type and a listing of its files, oldest first, contents unread
+    path = work_dir(spark, "inventory")
+    files.write_per_value(events(spark, sf_dir).select("event_id", "event_type"), path, "event_type")
+    found = files.inventory(spark, path, "*.parquet", depth=2)
+    folder = F.regexp_extract("path", r"event_type=([^/]+)/", 1).alias("event_type")
+    dated = F.col("modificationTime").isNotNull() & (F.col("length") > 0)
+    return found.groupBy(folder).agg(F.bool_and(dated).alias("listed"))
+
+
+@query(
+    "object_roundtrip",
+    "SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name AS content, (SELECT count(*) FROM supplier) AS n_objects FROM supplier",
+)
+def object_roundtrip(spark, sf_dir):
+    # one object up per supplier, the objects counted, and down again
+    store = work_dir(spark, "objects")
+    names = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    files.put_text_objects(names, store, "s_suppkey", "s_name")
+    objects = files.read_objects(spark, store, "*.txt")
+    number = F.regexp_extract("path", "s_suppkey=([0-9]+)/", 1).cast("bigint")
+    return objects.select(
+        number.alias("s_suppkey"), F.regexp_replace(F.col("content").cast("string"), "\n$", "").alias("content"),
+        F.lit(objects.count()).cast("bigint").alias("n_objects"),
+    )
+
+
 @query(
     "upsert_latest",
     """

@@ -249,8 +249,8 @@ def plausible_answers(spark, sf_dir):
 @query(
     "filled_templates",
     """
-    SELECT conv_id, 0 AS part, 'Text lines:' || chr(10) || string_agg(text || chr(10) || chr(10), '' ORDER BY turn)
-           || 'End' AS prompt
+    SELECT conv_id, 0 AS part, 'What was said:' || chr(10) || string_agg(text || chr(10) || chr(10), '' ORDER BY turn)
+           || 'That was all.' AS prompt
     FROM conversations GROUP BY conv_id
     """,
 )
@@ -259,5 +259,5 @@ def filled_templates(spark, sf_dir):
     placed = o.ordered(turns, "conv_id", "turn").add(pos=o.index()).df
     block = F.concat("text", F.lit("\n\n"))
     return sq.fold_text(
-        placed, "conv_id", "pos", block, separator="", name="prompt", head="Text lines:\n", tail="End"
+        placed, "conv_id", "pos", block, separator="", name="prompt", head="What was said:\n", tail="That was all."
     )

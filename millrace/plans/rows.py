@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, numbers, protect, text
@@ -10,7 +11,7 @@ from millrace.operators import ordered as o
 from millrace.operators import routing, user
 from millrace.plans.common import events
 from millrace.plans.registry import query
-from millrace.runtime import spread
+from millrace.runtime import pin, spread
 from millrace.sources import records
 from millrace.sources.tables import table
 
@@ -73,8 +74,8 @@ def fan_functions(spark, sf_dir):
 
 
 _DIVERT = """
-    SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 THEN 'Is odd'
-                            WHEN o_orderkey <= 5 THEN 'Is smaller than 5' END AS error FROM orders
+    SELECT o_orderkey, CASE WHEN o_orderkey % 2 <> 0 THEN 'odd key'
+                            WHEN o_orderkey <= 5 THEN 'key of 5 or less' END AS error FROM orders
 """
 
 
@@ -89,7 +90,7 @@ def divert(spark, sf_dir):
     key = F.col("o_orderkey")
     routed = routing.with_error(
         table(spark, sf_dir, "orders").select("o_orderkey"),
-        [(key % 2 != 0, "Is odd"), (key <= 5, "Is smaller than 5")],
+        [(key % 2 != 0, "odd key"), (key <= 5, "key of 5 or less")],
     )
     valid, invalid = routing.divert(routed)
     return valid.select(
@@ -139,6 +140,41 @@ def twin_primes(spark, sf_dir):
     )
 
 
+@query(
+    "tapped_rows",
+    """
+    SELECT event_type, count(*) AS n, (SELECT count(*) FROM events) AS n_seen,
+           (SELECT max(event_id) FROM events) AS newest_seen FROM events GROUP BY event_type
+    """,
+)
+def tapped_rows(spark, sf_dir):
+    # what the tap saw stands beside the rows, which passed unchanged
+    seen = Observation("tapped_rows")
+    rows = events(spark, sf_dir).select("event_id", "event_type")
+    passed = pin(routing.tap(rows, seen, counted(), F.max("event_id").alias("newest")), "tapped")
+    metrics = seen.get
+    return passed.groupBy("event_type").agg(counted()).select(
+        "*",
+        F.lit(metrics["n"]).cast("bigint").alias("n_seen"),
+        F.lit(metrics["newest"]).cast("bigint").alias("newest_seen"),
+    )
+
+
+@query(
+    "skip_failing_rows",
+    "SELECT event_id, CAST(event_id * 2 AS BIGINT) AS doubled FROM events WHERE event_type <> 'error'",
+)
+def skip_failing_rows(spark, sf_dir):
+    # a user function that raises for some rows: those are left out, the rest goes on
+    def doubled(batch):
+        if (batch["event_type"] == "error").any():
+            raise ValueError("not to be doubled")
+        return batch[["event_id"]].assign(doubled=batch["event_id"] * 2)
+
+    rows = events(spark, sf_dir).select("event_id", "event_type")
+    return user.map_batches(rows, doubled, "event_id BIGINT, doubled BIGINT", skip_failing=True)
+
+
 @query(
     "hash_buckets",
     """

@@ -237,6 +237,81 @@ def dedupe_stream(spark, sf_dir):
     return folder.read(once(stream))
 
 
+@query(
+    "limited_intake_stream",
+    "SELECT event_type, count(*) AS n, CAST(1 AS BIGINT) AS most_files FROM events GROUP BY event_type",
+)
+def limited_intake_stream(spark, sf_dir):
+    # four files and more are waiting; each micro-batch takes one of them
+    folder = runs.Folder.new(spark, "intake")
+    rows = events(spark, sf_dir).select("event_id", "event_type")
+    landing = folder.landing("files")
+    for i in range(4):
+        rows.where(F.col("event_id") % 4 == i).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    named = stream.select("event_type", F.col("_metadata.file_path").alias("file"))
+    sizes = lambda b: b.groupBy("event_type").agg(
+        counted(), F.count_distinct("file").alias("n_files")
+    )
+    runs.drain(runs.each_batch(named, folder, sizes))
+    return runs.read_batches(folder, "event_type STRING, n BIGINT, n_files BIGINT").groupBy("event_type").agg(
+        F.sum("n").alias("n"), F.max("n_files").alias("most_files")
+    )
+
+
+PER_TYPE = """
+    SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id
+    FROM events GROUP BY event_type
+"""
+
+
+def _per_type(kept):
+    return kept.groupBy("event_type").agg(
+        counted(), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")
+    )
+
+
+@query("restarted_stream", PER_TYPE)
+def restarted_stream(spark, sf_dir):
+    # every landing fails once after its rows were written; nothing is lost and nothing counts twice
+    folder, failed = runs.Folder.new(spark, "restarted"), set()
+
+    def starting(stream):
+        def write(batch, batch_id):
+            batch.write.mode("overwrite").parquet(f"{folder.output}/{runs.BATCH}={batch_id}")
+            if batch_id not in failed:
+                failed.add(batch_id)
+                raise RuntimeError("lost after writing")
+
+        writer = stream.select("event_id", "event_type").writeStream
+        writer = writer.option("checkpointLocation", folder.checkpoint).foreachBatch(write)
+        return lambda: writer.trigger(availableNow=True).start()
+
+    rows = events(spark, sf_dir)
+    landing = folder.landing("files")
+    for i in range(2):
+        rows.where(F.col("event_id") % 2 == i).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(rows.schema).parquet(landing)
+        runs.run_restarting(starting(stream), least_wait=0.1, most_wait=0.2)
+    return _per_type(runs.read_batches(folder, "event_id BIGINT, event_type STRING"))
+
+
+@query("stopped_stream", PER_TYPE)
+def stopped_stream(spark, sf_dir):
+    # stopped after the first landing, started again from the checkpoint for the second
+    folder = runs.Folder.new(spark, "stopped")
+    rows = events(spark, sf_dir).select("event_id", "event_type")
+    landing = folder.landing("files")
+    rows.where("event_id % 3 = 0").write.parquet(landing)
+    stream = spark.readStream.schema(rows.schema).parquet(landing)
+    query = folder.append_to(stream).start()
+    query.processAllAvailable()
+    query.stop()
+    rows.where("event_id % 3 <> 0").write.mode("append").parquet(landing)
+    runs.drain(folder.append_to(stream))
+    return _per_type(folder.read(stream))
+
+
 @query(
     "multi_sink",
     """
@@ -464,8 +539,7 @@ def dir_ingest(spark, sf_dir):
         docs.where(F.pmod(F.xxhash64("value"), F.lit(2)) == part).write.mode("append").partitionBy(
             "lang", "source"
         ).text(landing)
-        stream = sinks.read_directory(spark, landing, "*.txt")
-        lines = stream.select(F.explode(F.split("content", "\n")).alias("line")).where("line <> ''")
+        lines = sinks.read_directory(spark, landing, "*.txt").where("line <> ''")
         fields = F.split("line", ",")
         parsed = lines.select(fields[0].alias("id"), fields[1].alias("lang"), fields[2].alias("source"))
         runs.drain(folder.append_to(parsed))

@@ -107,14 +107,18 @@ def pack_archives(entries: DataFrame, most_bytes: int = 64 * 1024 * 1024) -> Dat
     )
 
 
-def write_per_value(df: DataFrame, path: str, key: str, files_per_value: int = 1) -> None:
+def write_per_value(df: DataFrame, path: str, key: str, files_per_value: int | None = None) -> None:
     """One folder per value of the key, replacing what was there.
 
-    ``files_per_value`` spreads each value over that many tasks by a hash of the row, for
-    values too heavy for one.
+    Rows are gathered by value in pieces of about the advisory size of a partition, so a heavy
+    value takes as many tasks as it needs.  ``files_per_value`` names a number of pieces instead.
     """
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != key]), F.lit(files_per_value))
-    df.repartition(F.col(key), spread).write.mode("overwrite").partitionBy(key).parquet(path)
+    if files_per_value is None:
+        gathered = df.hint("rebalance", key)
+    else:
+        others = [c for c in df.columns if c != key]
+        gathered = df.repartition(F.col(key), F.pmod(F.xxhash64(*others), F.lit(files_per_value)))
+    gathered.write.mode("overwrite").partitionBy(key).parquet(path)
 
 
 def split_with_counts(df: DataFrame, path: str, key: str, count: str = "n_rows") -> None:

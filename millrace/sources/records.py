@@ -159,22 +159,26 @@ def hl7_segments(table: DataFrame, key: str, message: str) -> DataFrame:
     """A message table to a segment table.
 
     ``place`` is the 0-based place in the message, ``occurrence`` counts the segments of
-    one name from 1, so that the second OBX is (OBX, 2).  It is counted within the array
-    of the message itself: no shuffle.
+    one name from 1, so that the second OBX is (OBX, 2).  The segments of a message are sorted
+    by name and place in its own array, where a name starts at one place: no shuffle, and each
+    segment row carries one entry per name of its message.
     """
     # one projection per step: inside a lambda an expression would be made per element
     cut = table.select(key, messages.segments(message).alias("_all"))
-    named = cut.withColumn("_names", F.transform("_all", lambda s: F.substring(s, 1, 3)))
-    rows = named.select(key, "_names", F.posexplode("_all").alias("place", "segment"))
-    name = F.substring("segment", 1, 3)
-    return rows.withColumn("name", name).select(
+    entry = lambda s, i: F.struct(F.substring(s, 1, 3).alias("name"), i.alias("place"), s.alias("segment"))
+    cut = cut.select(key, F.array_sort(F.transform("_all", entry)).alias("_sorted"))
+    cut = cut.withColumn("_names", F.col("_sorted")["name"])
+    starts = F.transform(
+        F.array_distinct("_names"), lambda n: F.struct(n, F.array_position(F.col("_names"), n).cast("int"))
+    )
+    cut = cut.select(key, "_sorted", F.map_from_entries(starts).alias("_starts"))
+    rows = cut.select(key, "_starts", F.posexplode("_sorted").alias("_at", "_s"))
+    return rows.select(
         key,
-        "place",
-        "name",
-        F.size(
-            F.filter(F.slice("_names", F.lit(1), F.col("place") + 1), lambda n: n == F.col("name"))
-        ).alias("occurrence"),
-        "segment",
+        F.col("_s")["place"].alias("place"),
+        F.col("_s")["name"].alias("name"),
+        (F.col("_at") + 2 - F.element_at("_starts", F.col("_s")["name"])).alias("occurrence"),
+        F.col("_s")["segment"].alias("segment"),
     )
 
 

@@ -62,7 +62,8 @@ def read_directory(
     archive: str | None = None,
     max_files: int | None = None,
 ) -> DataFrame:
-    """Text files of a folder and its subfolders, each taken once, also later ones.
+    """Lines of the text files of a folder and its subfolders, each file taken once, also later
+    ones.  Long files are read in pieces, so no file has to fit a row.
 
     With an archive folder, files are moved there after the batch that follows theirs, so
     count processed files by ``file`` and not by what has been moved.
@@ -71,13 +72,12 @@ def read_directory(
         spark.readStream.format("text")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
-        .option("wholetext", True)
     )
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path).selectExpr("value AS content", "_metadata.file_path AS file")
+    return reader.load(path).selectExpr("value AS line", "_metadata.file_path AS file")
 
 
 def ticks(spark: SparkSession, per_second: int = 1) -> DataFrame:

@@ -3,6 +3,7 @@ import math
 import statistics
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, numbers, text
@@ -241,13 +242,13 @@ def test_points_merge_per_field(spark):
 def test_divert_and_functions(spark):
     df = spark.range(1, 11).select(F.col("id").alias("n"))
     routed = routing.with_error(
-        df, [(F.col("n") % 2 == 1, "Is odd"), (F.col("n") <= 5, "Is smaller than 5")]
+        df, [(F.col("n") % 2 == 1, "odd"), (F.col("n") <= 5, "5 or less")]
     )
     valid, invalid = routing.divert(routed)
     assert rows(valid, "n") == [(6,), (8,), (10,)]
     assert rows(invalid, "n") == [
-        (1, "Is odd"), (2, "Is smaller than 5"), (3, "Is odd"), (4, "Is smaller than 5"),
-        (5, "Is odd"), (7, "Is odd"), (9, "Is odd"),
+        (1, "odd"), (2, "5 or less"), (3, "odd"), (4, "5 or less"),
+        (5, "odd"), (7, "odd"), (9, "odd"),
     ]
     both = routing.through_all(spark.range(1, 101), "id", [lambda v: v * 2, lambda v: v * 3])
     assert both.count() == 200
@@ -344,6 +345,35 @@ def test_user_fold_merges_states_of_a_heavy_key(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_equal_states_of_a_key_take_different_lanes(spark):
+    df = spark.range(0, 5000, 1, 1).select(F.lit("k").alias("k"), F.lit(1).alias("v"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = user.fold_per_key(
+            df, "k", ["v"], "n BIGINT, met BIGINT",
+            lambda rows: {"n": len(rows), "met": 1},
+            lambda states: {"n": int(states["n"].sum()), "met": max(int(states["met"].max()), len(states))},
+            fan_in=10,
+        ).first()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # 50 states: 5 to a lane, and then those of 10 lanes
+    assert (found["n"], found["met"]) == (5000, 10)
+
+
+def test_rows_that_fail_are_skipped(spark):
+    def strict(batch):
+        if (batch["v"] % 7 == 3).any():
+            raise ValueError
+        return batch
+
+    df = spark.range(0, 100, 1, 3).select(F.col("id").alias("v"))
+    kept = user.map_batches(df, strict, "v BIGINT", skip_failing=True)
+    assert sorted(r["v"] for r in kept.collect()) == [v for v in range(100) if v % 7 != 3]
+    with pytest.raises(PythonException):
+        user.map_batches(df, strict, "v BIGINT").collect()
+
+
 def test_concat_keeps_the_order_of_the_inputs(spark):
     a, b = spark.createDataFrame([(5,)], "v int"), spark.createDataFrame([(1,)], "v int")
     seq = o.ordered(routing.concat(a, b), (), ["part", "v"]).add(i=o.index())
