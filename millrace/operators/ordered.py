@@ -255,6 +255,51 @@ class Ordered:
             )
         )
 
+    def ahead(self, name: str, value: Column | str, size: int, first: str) -> "Ordered":
+        """The values of each row and of the ``size - 1`` rows after it, as an array that is
+        shorter at the end of a sequence; ``first`` tells the first row of a sequence.
+
+        One pass over the blocks: their summaries hold their first ``size - 1`` values, and a
+        block gets those of the blocks after it.
+        """
+        this = _boxed(_col(value))
+        keys = [*self.by, BLOCK] if self.blocked else list(self.by)
+        w = Window.partitionBy(*keys).orderBy(*self.order_by)
+        near = self.rows.withColumns(
+            {"_ahead": F.collect_list(this).over(w.rowsBetween(0, size - 1)), "_rn": F.row_number().over(w)}
+        )
+        values = lambda boxes: F.transform(boxes, lambda s: s["v"])
+        is_first = F.col("_rn") == 1
+        if not self.blocked:
+            done = near.withColumns({name: values(F.col("_ahead")), first: is_first})
+            return self._with(done.drop("_ahead", "_rn"))
+
+        by_place = lambda a, b: a["_rn"] - b["_rn"]
+        heads = (
+            near.where((F.col(BLOCK) > LIGHT) & (F.col("_rn") < max(size, 2)))
+            .groupBy(*keys)
+            .agg(F.array_sort(F.collect_list(F.struct("_rn", this.alias("box"))), by_place).alias("_heads"))
+            .withColumn("_heads", F.transform("_heads", lambda h: h["box"]))
+        )
+        across = Window.partitionBy(*self.by).orderBy(BLOCK)
+        coming = F.flatten(F.collect_list("_heads").over(across.rowsBetween(1, max(size - 1, 1))))
+        carried = heads.select(
+            *[F.col(k).alias(f"_k_{k}") for k in keys],
+            F.slice(coming, 1, size - 1).alias("_coming"),
+            (F.row_number().over(across) == 1).alias("_leads"),
+        )
+        joined = near.join(F.broadcast(carried), self._same_block(), "left")
+        whole = F.when(F.col("_coming").isNull(), F.col("_ahead")).otherwise(
+            F.slice(F.concat("_ahead", "_coming"), 1, size)
+        )
+        return self._with(
+            joined.select(
+                *[c for c in self.rows.columns if c not in (name, first)],
+                values(whole).alias(name),
+                (is_first & F.coalesce("_leads", F.lit(True))).alias(first),
+            )
+        )
+
     def _same_block(self) -> Column:
         keys = [*self.by, BLOCK]
         return reduce(

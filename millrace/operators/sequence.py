@@ -38,18 +38,8 @@ def sliding(seq: Ordered, value: str, size: int, name: str = "win") -> DataFrame
     """
     if size < 1:
         raise ValueError("size must be at least 1")
-    # Step by step: each column is the one before it seen from the next row.
-    steps = [f"_w{i}" for i in range(size)]
-    seq = seq.with_columns(**{steps[0]: F.struct(F.col(value).alias("v"))}).add(_i=o.index())
-    for before, here in zip(steps, steps[1:]):
-        seq = seq.add(**{here: o.lead(before)})
-    complete = F.col(steps[-1]).isNotNull()
-    parts = F.filter(F.array(*steps), lambda s: s.isNotNull())
-    return (
-        seq.where(complete | (F.col("_i") == 0))
-        .with_columns(**{name: F.transform(parts, lambda s: s["v"])})
-        .df.drop("_i", *steps)
-    )
+    seen = seq.ahead(name, value, size, "_is_first")
+    return seen.where((F.size(name) == size) | F.col("_is_first")).df.drop("_is_first")
 
 
 def drop_consecutive_duplicates(seq: Ordered, value: str) -> DataFrame:

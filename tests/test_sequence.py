@@ -1,6 +1,7 @@
 """Sequence operators: known cases, on the plain path and on the heavy-key path."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,36 @@ def test_fold_text_goes_on_in_parts(spark, path):
     assert all(len(r["folded"]) <= 12 + 5 for r in parts)
 
 
+def test_long_windows_reach_over_blocks_in_one_pass(spark, path):
+    rows = [("a", i, None if i % 9 == 4 else i) for i in range(57)] + [("b", i, -i) for i in range(3)]
+    seq = o.ordered(spark.createDataFrame(rows, "k string, i int, v int"), "k", "i")
+    for size in (1, 2, 20, 57, 60):
+        got = sorted((r["k"], r["i"], r["win"]) for r in sq.sliding(seq, "v", size).collect())
+        expected = []
+        for k in "ab":
+            values = [v for key, _, v in rows if key == k]
+            for i in range(max(len(values) - size + 1, 1)):
+                expected.append((k, i, values[i : i + size]))
+        assert got == expected
+
+
+def test_plans_of_long_windows_stay_small(spark, tmp_path):
+    before = {n: spark.conf.get(n, None) for n in ("spark.millrace.smallBytes", "spark.millrace.rowsPerTask")}
+    spark.conf.set("spark.millrace.smallBytes", "0")
+    spark.conf.set("spark.millrace.rowsPerTask", "100")
+    try:
+        source = str(tmp_path / "rows")
+        spark.range(1000).select("id", (F.col("id") * 3).alias("v")).write.parquet(source)
+        seq = o.ordered(spark.read.parquet(source), (), "id")
+        start = time.monotonic()
+        plan = sq.sliding(seq, "v", 20)._jdf.queryExecution().executedPlan().toString()
+        assert time.monotonic() - start < 2
+        assert plan.count("Scan parquet") <= 4
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_head_and_tail_are_written_once(spark, path):
     df = spark.createDataFrame([("g", i, f"w{i}") for i in range(20)] + [("h", 0, "x")], "k string, i int, v string")
     for most in (12, 1 << 20):
