@@ -63,7 +63,7 @@ def text_runs(spark, sf_dir, rows):
     delay = F.when(F.col("l_linestatus") == "O", "NA").otherwise(
         (F.col("l_quantity").cast("int") - 25).cast("string")
     )
-    pad = F.lit("1999,12,31,2359,2400,0115,0130,UNUSED,N00000,76,90,55,SFO,JFK,447,4,17,0")
+    pad = F.lit("1999,12,31,2359,2400,0115,0130,UNUSED,N00000,76,90,55,SFO,JFK,447,4,17,0,,0,NA,NA,NA,NA")
     more.select(
         F.concat_ws(
             ",", F.col("l_orderkey").cast("string"), F.concat(F.lit("C"), F.col("l_suppkey") % 30),
@@ -84,8 +84,7 @@ def text_runs(spark, sf_dir, rows):
 
     def stats():
         parsed = lines.pick_fields(
-            lines.read_lines(spark, stations), "location STRING, temperature DOUBLE", separator=";",
-            clean=True,
+            lines.read_lines(spark, stations), "location STRING, temperature DOUBLE", separator=";"
         )
         return ag.min_mean_max(parsed, "location", "temperature")
 

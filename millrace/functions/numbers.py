@@ -15,9 +15,13 @@ def _col(c: Column | str) -> Column:
 SMALL_PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31)
 MOST_TRIED = 10**14
 
-# Texts that can be numbers.
-WHOLE = r"^[+-]?0*[0-9]{1,19}$"
-DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+# Texts that a cast may take for numbers.  The cast decides; these only keep off
+# texts that it would refuse.
+WHOLE = r"^[+-]?[0-9]++$"
+DECIMAL = (
+    r"^[+-]?(([0-9]++[.]?[0-9]*+|[.][0-9]++)([eE][+-]?[0-9]++)?[fFdD]?"
+    r"|(?i:nan|inf|infinity|0x[0-9a-fp.+-]++))$"
+)
 PATTERNS = {
     "tinyint": WHOLE, "smallint": WHOLE, "int": WHOLE, "bigint": WHOLE,
     "float": DECIMAL, "double": DECIMAL,

@@ -96,6 +96,16 @@ def test_primes(spark):
     assert {r["n"]: r["p"] for r in df.select("n", numbers.is_prime("n").alias("p")).collect()} == large
 
 
+def test_both_number_paths_take_the_same_texts(spark):
+    texts = ["1", " 2 ", "+3", "-4", "007", "0" * 30 + "12", "9" * 19, "9" * 25, "1.5", "1.", ".5", ".", "1e3", "1e", "1.5f",
+             "2D", "NaN", "nan", "Infinity", "-inf", "inf", "0x1p3", "abc", "", "-", "1 2", "NA", "1_0", "12x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for kind in ("tinyint", "int", "bigint", "float", "double"):
+        looked = df.select(numbers.number_in("t", kind).cast("string").alias("n")).collect()
+        cast = df.select(F.trim("t").try_cast(kind).cast("string").alias("n")).collect()
+        assert [r["n"] for r in looked] == [r["n"] for r in cast], kind
+
+
 def test_array_parts_and_pairs(spark):
     assert one(spark, [1, 2, 3], "array<int>", arrays.head) == 1
     assert one(spark, [], "array<int>", arrays.last) is None
