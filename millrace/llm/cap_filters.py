@@ -4,8 +4,11 @@ A filter is a direction; a vector belongs to all filters whose inner product wit
 threshold, so vectors at a small angle share caps.  Directions are product codes: the coordinates
 are cut into ``parts``, each with its own random codebook, and every combination of one codeword per
 part is a filter.  A vector's filters are decoded from the sorted products of each part, without
-looking at the others.  Codebooks grow with the number of vectors, which keeps both the filters of a
-vector (``caps`` on average) and the vectors of a filter constant.
+looking at the others.  Codebooks grow with the number of vectors, which keeps the vectors of a
+filter constant.  Products of unit vectors spread less than normal ones, so the threshold is a
+quantile of the projected sphere, and a vector that exceeds it in fewer than ``fewest`` filters takes
+its best ones instead; ``fewest`` is ``caps`` up to a million vectors and grows slowly from there,
+which holds the recall at a cosine of 0.9.
 
 Vectors join on filters.  Inside a filter all pairs are compared in double precision; filters with
 many vectors are cut into tiles, and pairs of tiles go to different tasks.  A pair counts only in
@@ -17,7 +20,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ class ProductCode:
     """
 
     def __init__(self, dims: int, n: int, caps: float, seed: int = 7):
-        self.parts = 2 if n <= 4_000_000 else 3 if n <= 4_000_000_000 else 4
+        self.parts = 2 if n <= 400_000_000 else 3 if n <= 4_000_000_000 else 4
         self.words = max(32, math.ceil((4 * n) ** (1 / self.parts)))
         rng = np.random.default_rng([seed, dims])
         self.turn = np.linalg.qr(rng.normal(size=(max(dims, 32), dims)))[0].T
@@ -48,7 +50,11 @@ class ProductCode:
             book *= math.sqrt((b - a) / dims) / np.linalg.norm(book, axis=1, keepdims=True)
             self.books.append(book)
         tail = min(0.4, caps / self.words**self.parts)
-        self.threshold = NormalDist().inv_cdf(1 - tail) / math.sqrt(dims)
+        # a product of two random unit vectors has the density (1 - x^2)^((dims - 3) / 2); summed from 1 downwards
+        x = np.linspace(1, 0, 200_001)
+        above = np.cumsum((1 - x * x) ** ((dims - 3) / 2))
+        self.threshold = float(np.interp(tail, above / (2 * above[-1]), x))
+        self.fewest = math.ceil(caps * max(1.0, n / 1_000_000) ** 0.125)
 
     def filters(self, unit: np.ndarray) -> np.ndarray:
         """Sorted numbers of all filters that the vector exceeds."""
@@ -65,6 +71,27 @@ class ProductCode:
             codes, sums = codes[row] * self.words + at, sums[row] + p[at]
         return np.sort(codes)
 
+    def best(self, unit: np.ndarray) -> np.ndarray:
+        """Sorted numbers of the ``fewest`` filters with the largest products."""
+        unit = unit @ self.turn
+        codes, sums = np.zeros(1, np.int64), np.zeros(1)
+        for book, a, b in zip(self.books, self.cuts, self.cuts[1:], strict=False):
+            p = book @ unit[a:b]
+            order = np.argsort(-p)[: self.fewest]
+            # sums and products fall, so place (i, j) has (i + 1)(j + 1) - 1 places before it
+            many = np.minimum(self.fewest // np.arange(1, len(codes) + 1), len(order))
+            row = np.repeat(np.arange(len(codes)), many)
+            at = order[np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)]
+            codes, sums = codes[row] * self.words + at, sums[row] + p[at]
+            top = np.argsort(-sums)[: self.fewest]
+            codes, sums = codes[top], sums[top]
+        return np.sort(codes)
+
+    def chosen(self, unit: np.ndarray) -> np.ndarray:
+        """The filters that the vector exceeds, or its best ones where those are fewer than ``fewest``."""
+        found = self.filters(unit)
+        return found if len(found) >= self.fewest else self.best(unit)
+
 
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id, v``: rows with an id whose vector has finite components, no nulls, and is not zero."""
@@ -95,6 +122,12 @@ def _spanning(left: np.ndarray, right: np.ndarray, linked: np.ndarray) -> list[t
     return edges
 
 
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component is taken out first, so that no square leaves the range."""
+    unit = v / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True)
+    return unit / np.abs(v).max(axis=1, keepdims=True)
+
+
 def _compare(f: int, left: dict, right: dict | None, least: float):
     """Counts of links (rows and columns) that belong to this filter, and edges of all links."""
     other = left if right is None else right
@@ -129,27 +162,30 @@ def _compare(f: int, left: dict, right: dict | None, least: float):
 def _linked(classes: DataFrame, scratch: Scratch, dims: int, n: int, least: float, caps: float, tile: int) -> DataFrame:
     """``rep, n, root``: partial counts of links (root null), and edges between classes (n null)."""
     code = ProductCode(dims, n, caps)  # a few thousand codewords, from a seed
+    kind = np.dtype("<i4" if code.words**code.parts < 2**31 else "<i8")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-                unit = v / np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True)
-                unit /= np.abs(v).max(axis=1, keepdims=True)
-                found = [code.filters(x) for x in unit]
+                found = [code.chosen(x) for x in _unit(v)]
+                with np.errstate(over="ignore"):
+                    short = v.astype("<f4")  # half as long, where that loses nothing
+                sent = [(a if (a == b).all() else b).tobytes() for a, b in zip(short, v, strict=True)]
+                earlier = [x.astype(kind)[:k].tobytes() for x in found for k in range(len(x))]
                 many = [len(x) for x in found]
                 row = np.repeat(np.arange(part.num_rows), many)
                 columns = [
                     pa.array(np.concatenate([*found, np.zeros(0, np.int64)])),
                     part.column("rep").take(pa.array(row)),
                     part.column("copies").take(pa.array(row)),
-                    pa.array([x.tobytes() for x in unit], pa.binary()).take(pa.array(row)),
-                    pa.array([x.tobytes() for x in found], pa.binary()).take(pa.array(row)),
+                    pa.array(sent, pa.binary()).take(pa.array(row)),
+                    pa.array(earlier, pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["f", "rep", "copies", "unit", "caps"])
+                yield pa.RecordBatch.from_arrays(columns, ["f", "rep", "copies", "v", "caps"])
 
-    caught = classes.mapInArrow(decode, "f long, rep long, copies long, unit binary, caps binary")
+    caught = classes.mapInArrow(decode, "f long, rep long, copies long, v binary, caps binary")
     caught = scratch.put(caught, f"caught-{dims}")
     sizes = caught.groupBy("f").agg(F.count("*").alias("members")).where("members > 1")
     tiles = scratch.put(sizes.select("f", F.ceil(F.col("members") / tile).alias("tiles")), f"tiles-{dims}")
@@ -164,8 +200,8 @@ def _linked(classes: DataFrame, scratch: Scratch, dims: int, n: int, least: floa
             return {
                 "rep": np.array([r[0] for r in rows], np.int64),
                 "copies": np.array([r[1] for r in rows], np.int64),
-                "unit": np.frombuffer(b"".join(r[2] for r in rows)).reshape(-1, dims),
-                "caps": [np.frombuffer(r[3], np.int64) for r in rows],
+                "unit": _unit(np.array([np.frombuffer(r[2], "<f4" if len(r[2]) == 4 * dims else "<f8") for r in rows], float)),
+                "caps": [np.frombuffer(r[3], kind) for r in rows],
             }
 
         def finish(key: tuple, group: list):
@@ -190,7 +226,7 @@ def _linked(classes: DataFrame, scratch: Scratch, dims: int, n: int, least: floa
             )
 
         key, group, found = None, [], []
-        names = ("f", "low", "high", "tile", "rep", "copies", "unit", "caps")
+        names = ("f", "low", "high", "tile", "rep", "copies", "v", "caps")
         for b in batches:
             for f, low, high, *row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
                 if (f, low, high) != key:
@@ -208,7 +244,7 @@ def _linked(classes: DataFrame, scratch: Scratch, dims: int, n: int, least: floa
 
     keys = ["f", "low", "high"]
     return (
-        rows.select(*keys, "tile", "rep", "copies", "unit", "caps")
+        rows.select(*keys, "tile", "rep", "copies", "v", "caps")
         .repartition(*keys)
         .sortWithinPartitions(*keys)
         .mapInArrow(compare, "rep long, n long, root long")

@@ -68,3 +68,29 @@ def test_decoding_finds_exactly_the_filters_above_the_threshold():
         a, b = (book @ (x @ code.turn)[s:e] for book, s, e in zip(code.books, code.cuts, code.cuts[1:], strict=False))
         i, j = np.nonzero(a[:, None] + b[None, :] >= code.threshold)
         assert code.filters(x).tolist() == sorted((i * code.words + j).tolist())
+
+
+@pytest.mark.parametrize("n", [1_000_000, 5_000_000, 100_000_000])
+def test_partners_at_the_least_cosine_share_a_filter_in_large_tables(n):
+    rng = np.random.default_rng(7)
+    code, hits, many = cf.ProductCode(64, n, 56.0), 0, []
+    for _ in range(200):
+        x, y = rng.normal(size=(2, 64))
+        x /= np.linalg.norm(x)
+        y -= (y @ x) * x
+        y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y)
+        a, b = code.chosen(x), code.chosen(y)
+        many += [len(a), len(b)]
+        hits += len(np.intersect1d(a, b)) > 0
+    assert min(many) >= 56
+    assert hits >= 190
+
+
+def test_best_filters_are_those_of_the_largest_products():
+    rng = np.random.default_rng(8)
+    code = cf.ProductCode(24, 900, 10.0)
+    for _ in range(20):
+        x = rng.normal(size=24)
+        x /= np.linalg.norm(x)
+        a, b = (book @ (x @ code.turn)[s:e] for book, s, e in zip(code.books, code.cuts, code.cuts[1:], strict=False))
+        assert code.best(x).tolist() == sorted(np.argsort(-(a[:, None] + b[None, :]).ravel())[: code.fewest].tolist())
