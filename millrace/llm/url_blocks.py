@@ -38,16 +38,45 @@ def plain(host: Column, path: Column) -> Column:
     return F.concat(bare_host, F.regexp_replace(path, r"(/index)?(\.html?)?/*$", ""))
 
 
+def resolved(base: Column, target: Column) -> Column:
+    """A link's target as an absolute url, seen from ``base``; null for other schemes (``mailto:``) and odd bases."""
+    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
+    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = path_of(base)
+    merged = (
+        F.when(target.startswith("/"), target)
+        .when(target.rlike(r"^[?#]"), F.concat(path, target))
+        .otherwise(F.concat(F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", ""), target))
+    )
+    parts = F.split(F.regexp_extract(merged, r"(?s)^([^?#]*)", 1), "/")
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", up(acc)).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))),
+    )
+    closing = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    tail = F.regexp_extract(merged, r"(?s)^[^?#]*(.*)$", 1)
+    return (
+        F.when(~base.contains("://"), F.lit(None).cast("string"))
+        .when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), target)
+        .when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .otherwise(F.concat(site, F.array_join(kept, "/"), closing, tail))
+    )
+
+
 def link_targets(html: Column) -> Column:
-    """Targets of a canonical link and of a refresh in a page's source (absolute ones; else null)."""
-    found = F.lit(None).cast("string")
-    for pattern in (
-        r"(?is)<link\b(?=[^>]*\brel=[\"']?canonical\b)[^>]*\bhref=[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)",
-        r"(?is)<meta\b(?=[^>]*\bhttp-equiv=[\"']?refresh\b)[^>]*\burl=[\"']?([a-z][a-z0-9+.-]*://[^\"'\s>]+)",
-    ):
-        hit = F.regexp_extract(html, pattern, 1)
-        found = F.coalesce(found, F.when(hit != "", hit))
-    return found
+    """Targets of all canonical links and refreshes in a page's source, as written; null for no source."""
+    return F.concat(
+        *(
+            F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+            for pattern in (
+                r"(?is)<link\b(?=[^>]*\brel=[\"']?canonical\b)[^>]*?(?<![\w-])href=[\"']?([^\"'\s>]+)",
+                r"(?is)<meta\b(?=[^>]*\bhttp-equiv=[\"']?refresh\b)[^>]*?(?<![\w-])url=[\"']?([^\"'\s>]+)",
+            )
+        )
+    )
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -88,7 +117,8 @@ def judged(pages: DataFrame, rules: DataFrame, aliases: DataFrame | None = None)
     """
     scratch = Scratch(pages.sparkSession, "urls")
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    edges = pages.select("url", link_targets(F.col("html")).alias("target")).where("target is not null")
+    written = pages.where(F.col("url").contains("://")).select("url", F.explode(link_targets(F.col("html"))).alias("target"))
+    edges = written.select("url", resolved(F.col("url"), F.col("target")).alias("target")).where("target is not null")
     if aliases is not None:
         edges = edges.union(aliases.select("url", "target").where("target is not null"))
     edges = scratch.put(edges.where(F.col("url").contains("://")).distinct(), "edges")

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from millrace.llm import queries, url_blocks
 from millrace.sources.tables import table
 
@@ -90,3 +92,26 @@ def test_empty_tables(spark):
     assert url_blocks.judged(spark.createDataFrame([], SCHEMA), rules).count() == 0
     one = spark.createDataFrame([(1, "http://x.com/de/", None, "", 1, "")], SCHEMA)
     assert result(url_blocks.judged(one, rules.limit(0))) == [(1, "x.com", "/de/", None, "allow")]
+
+
+def test_all_links_of_a_page_and_relative_ones(spark):
+    link, refresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    both = link.format("http://a.net/other") + refresh.format("http://x.com/de/1")
+    pages = [
+        (1, "http://a.net/both", both),
+        (2, "http://x.com/q/old", link.format("/de/2")),
+        (3, "http://b.net/scheme", refresh.format("//x.com/de/3")),
+        (4, "http://x.com/q/r/up", refresh.format("../../de/4?u=1")),
+        (5, "http://x.com/de/5", link.format("../fr/5")),
+        (6, "http://c.net/mail", link.format("mailto:x@x.com/de/")),
+        (7, "no scheme", link.format("/de/7")),
+        (8, "http://x.com", refresh.format("de/8")),
+        (9, "http://a.net/two", link.format("http://a.net/nine") + link.format("http://x.com/de/9")),
+    ]
+    df = spark.createDataFrame([(*p, "h", 1, "n") for p in pages], SCHEMA)
+    got = {r[0]: r[4] for r in result(url_blocks.judged(df, url_blocks.rule_table(spark, RULES)))}
+    blocked = {1, 2, 3, 4, 5, 8, 9}
+    assert got == {i: "block" if i in blocked else "allow" for i in range(1, 10)}
+    seen = df.where("page_id in (4, 5, 8)").withColumn("t", F.explode(url_blocks.link_targets(F.col("html"))))
+    seen = seen.select("page_id", url_blocks.resolved(F.col("url"), F.col("t")).alias("t"))
+    assert {r.page_id: r.t for r in seen.collect()} == {4: "http://x.com/de/4?u=1", 5: "http://x.com/fr/5", 8: "http://x.com/de/8"}
