@@ -6,18 +6,20 @@ every chunk with the totals, which the chunk joins back to its exploded n-grams.
 crosses the network once per chunk and order, and a word that everyone uses is no hot key.  A
 document is scored by the totals less its own counts, and its scores are summed.
 
-For a word w after v, with counts c of the other documents and N their words:
+For a word w after the ``order - 1`` words v (fewer where the text begins), with counts c of the
+other documents and N their words, the score is
 
     c(v w) / c(v)                 where v w occurs elsewhere
-    backoff * c(w) / N            else, where w occurs elsewhere
-    backoff * backoff / N         else
+    backoff * score after v without its first word    else
 
-and the first word starts at the second line without its backoff factor.
+and, after no word, c(w) / N where w occurs elsewhere and backoff / N else.  Above order 2 the totals
+of one order are written before the next order is sent.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,13 +56,17 @@ def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((digest(w) for words in split for w in words), np.uint64, count.sum()), count
 
 
-def _grams(words: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of words and of pairs; ``second`` are the places of the pairs' second words."""
-    first = np.zeros(len(words), bool)
-    first[(np.cumsum(count) - count)[count > 0]] = True
-    second = np.flatnonzero(~first)
-    pairs = mixed(words[second - 1] * MULTIPLY + mixed(words[second]) + np.uint64(2))
-    return mixed(words + np.uint64(1)), pairs, second
+def _grams(words: np.ndarray, count: np.ndarray, order: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every length up to ``order``: keys of the n-grams, and the places of their last words."""
+    within = np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)
+    key, at = mixed(words), np.arange(len(words))
+    out = [(mixed(words + np.uint64(1)), at)]
+    for n in range(2, order + 1):
+        long = within[at] >= n - 1
+        key, at = key[long], at[long]
+        key = mixed(words[at - n + 1] * MULTIPLY + key + np.uint64(n))
+        out.append((key, at))
+    return out
 
 
 def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
@@ -100,16 +106,16 @@ def _texts(body: bytes) -> list[bytes]:
     return [raw[s:e] for s, e in zip([8 + 8 * n, *ends[:-1].tolist()], ends.tolist(), strict=False)]
 
 
-def _sent(chunks: DataFrame, bits: int) -> DataFrame:
-    """``bucket, chunk, n, keys, counts``: the distinct n-grams of each order for every bucket."""
+def _sent(chunks: DataFrame, bits: int, orders: tuple[int, ...]) -> DataFrame:
+    """``bucket, chunk, n, keys, counts``: the distinct n-grams of ``orders`` for every bucket."""
     names = ["bucket", "chunk", "n", "keys", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, body in zip(b.column("chunk").to_pylist(), b.column("texts").to_pylist(), strict=True):
-                one, two, _ = _grams(*_words(_texts(body)))
-                for n, grams in ((1, one), (2, two)):
-                    keys, counts = np.unique(grams, return_counts=True)
+                grams = _grams(*_words(_texts(body)), max(orders))
+                for n in orders:
+                    keys, counts = np.unique(grams[n - 1][0], return_counts=True)
                     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
                     cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(keys)] if len(keys) else [0]
                     rows = [
@@ -155,36 +161,40 @@ def _answered(sent: DataFrame) -> DataFrame:
 
 
 def score_chunk(words: np.ndarray, count: np.ndarray, totals: list[np.ndarray], all_words: int, backoff: float):
-    """Per document: pairs and words that occur nowhere else, and the sum of log scores."""
-    grams = _grams(words, count)
+    """Per document: n-grams and words that occur nowhere else, and the sum of log scores; an order per total."""
     doc = np.repeat(np.arange(len(count)), count)
-    second = grams[2]
-    others = []
-    for keys, total, where in ((grams[0], totals[0], doc), (grams[1], totals[1], doc[second])):
-        known, at = np.unique(keys, return_inverse=True)
-        own, inside, times = np.unique(where * max(1, len(known)) + at, return_inverse=True, return_counts=True)
-        others.append(total[at] - times[inside])
-    word, pair = others
+    others, places = [], []
+    for (keys, at), total in zip(_grams(words, count, len(totals)), totals, strict=True):
+        known, which = np.unique(keys, return_inverse=True)
+        _, inside, times = np.unique(doc[at] * max(1, len(known)) + which, return_inverse=True, return_counts=True)
+        others.append(np.zeros(len(words), np.int64))
+        others[-1][at] = total[which] - times[inside]
+        places.append(at)
     rest = np.maximum(all_words - count, 1)[doc].astype(float)
-    seen = word > 0
-    lower = np.where(seen, np.log(np.maximum(word, 1) / rest), np.log(backoff / rest))
-    score = lower.copy()
-    hit = pair > 0
-    score[second] = np.where(
-        hit, np.log(np.maximum(pair, 1) / np.maximum(word[second - 1], 1)), np.log(backoff) + lower[second]
-    )
+    seen = others[0] > 0
+    score = np.where(seen, np.log(np.maximum(others[0], 1) / rest), np.log(backoff / rest))
+    backed = np.zeros(len(words), bool)
+    for shorter, longer, at in zip(others, others[1:], places[1:], strict=False):
+        hit = longer[at] > 0
+        score[at] = np.where(
+            hit, np.log(np.maximum(longer[at], 1) / np.maximum(shorter[at - 1], 1)), np.log(backoff) + score[at]
+        )
+        backed[at] = ~hit  # the longest n-gram of a place has the last word
     n = len(count)
     return (
-        np.bincount(doc[second], ~hit, n).astype(np.int64),
+        np.bincount(doc, backed, n).astype(np.int64),
         np.bincount(doc, ~seen, n).astype(np.int64),
         np.bincount(doc, score, n).astype(float),
     )
 
 
-def scored(docs: DataFrame, backoff: float = 0.4, chunk_bytes: int = 8 << 20, keys_per_bucket: int = 1_000_000) -> DataFrame:
+def scored(
+    docs: DataFrame, backoff: float = 0.4, chunk_bytes: int = 8 << 20, keys_per_bucket: int = 1_000_000, order: int = 2
+) -> DataFrame:
     """``doc_id, n_words, n_backed_off, n_unseen, log_score, mean_log_score`` of every row.
 
-    ``n_backed_off`` counts pairs and ``n_unseen`` words that no other row has.  Null, empty and
+    ``n_backed_off`` counts the places, but a text's first, whose n-gram of ``order`` words (of all words
+    up to there, where those are fewer) no other row has, and ``n_unseen`` words that no other row has.  Null, empty and
     blank texts have no words, a log score of 0 and a null mean.  Rows that repeat an id or a text
     are documents of their own, so a copy knows all of its text.  N is 1 where there are no other
     words.  No rows: no rows.  Other columns are ignored.
@@ -193,7 +203,11 @@ def scored(docs: DataFrame, backoff: float = 0.4, chunk_bytes: int = 8 << 20, ke
     all_words = docs.agg(F.sum(n_words(F.col("text")))).first()[0] or 0
     bits = max(4, (2 * all_words // keys_per_bucket).bit_length())
     chunks = scratch.put(_chunks(docs, chunk_bytes), "chunks")
-    answers = _answered(_sent(chunks, bits))
+    if order <= 2:
+        answers = _answered(_sent(chunks, bits, tuple(range(1, order + 1))))
+    else:
+        parts = [scratch.put(_answered(_sent(chunks, bits, (n,))), f"totals-{n}") for n in range(1, order + 1)]
+        answers = reduce(DataFrame.union, parts)
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("n", "bucket", "totals")).alias("answers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +215,7 @@ def scored(docs: DataFrame, backoff: float = 0.4, chunk_bytes: int = 8 << 20, ke
             for i in range(b.num_rows):
                 got = sorted(b.column("answers")[i].as_py() or [], key=lambda r: (r["n"], r["bucket"]))
                 totals = []
-                for n in (1, 2):
+                for n in range(1, order + 1):
                     parts = [unpacked(r["totals"]).astype(np.int64) for r in got if r["n"] == n]
                     totals.append(np.concatenate([np.zeros(0, np.int64), *parts]))
                 del got

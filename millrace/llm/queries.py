@@ -232,6 +232,12 @@ def op5_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumns({"log_score": F.round("log_score", 3), "mean_log_score": F.round("mean_log_score", 6)})
 
 
+# The query above is bound to pairs by its SQL; this one looks at three words.
+@query("op5_backoff_triples")
+def op5_backoff_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scored(documents(spark, sf_dir), order=3)
+
+
 @query("op6_edit_counts")
 def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.edited_counts(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))

@@ -60,3 +60,27 @@ def test_empty_and_single(spark):
     assert backoff.scored(spark.createDataFrame([], SCHEMA)).count() == 0
     one = backoff.scored(spark.createDataFrame([(1, "x y", "", 1, 1)], SCHEMA)).first()
     assert (one.n_unseen, one.n_backed_off) == (2, 1) and math.isclose(one.log_score, 3 * math.log(0.4))
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+@pytest.mark.parametrize("chunk_bytes", [60, 1 << 20])
+def test_other_orders(spark, order, chunk_bytes):
+    texts = ["a b c a b c d", "x a b c", "b c d e", "a b", None, "", "c d e a b c d e f", "alone", "a b c a b c d"]
+    docs = [(t or "").split() for t in texts]
+    got = backoff.scored(spark.createDataFrame([(i, t, "c", 1, 1) for i, t in enumerate(texts)], SCHEMA), order=order, chunk_bytes=chunk_bytes)
+    for r in got.collect():
+        rest = Counter()
+        for i, d in enumerate(docs):
+            if i != r.doc_id:
+                rest.update(tuple(d[s : s + n]) for n in range(1, order + 1) for s in range(len(d) - n + 1))
+        total = max(1, sum(len(d) for i, d in enumerate(docs) if i != r.doc_id))
+
+        def value(gram):
+            if len(gram) == 1:
+                return (rest[gram] or 0.4) / total
+            return rest[gram] / rest[gram[:-1]] if rest[gram] else 0.4 * value(gram[1:])
+
+        d = docs[r.doc_id]
+        grams = [tuple(d[max(0, i - order + 1) : i + 1]) for i in range(len(d))]
+        assert math.isclose(r.log_score, sum(math.log(value(g)) for g in grams), rel_tol=1e-9, abs_tol=1e-9)
+        assert r.n_backed_off == sum(not rest[g] for g in grams if len(g) > 1)
