@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import mixing, near_copies, packing, quality, substrings
+from millrace.llm import mixing, packing, quality, simhash, substrings
 from millrace.llm.common import Scratch, documents, tokenizer_path
 from millrace.sources.tables import table
 
@@ -20,8 +20,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class linked by a Jaccard similarity of 0.8 of 5-word shingles."""
-    return near_copies.keep_first(docs)
+    """One document, that of the smallest id, of each class of SimHash near duplicates."""
+    return simhash.keep_first(docs, size=3, radius=2)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", drop_poor),
-    ("near-dedup", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("substring dedup", cut_passages),
-    ("mixing to target weights", mix_sources),
+    ("mixing sources to target weights", mix_sources),
     ("packing", pack),
 ]
 
