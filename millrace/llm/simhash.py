@@ -199,33 +199,61 @@ def links(distinct: DataFrame, scratch: Scratch, radius: int = 2, refine: int =
     )
 
 
+def _classes(prints: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
+    """``fp, root`` of every fingerprint of ``prints`` (``doc_id, fp``): equal roots are one class.
+
+    Fingerprints are the nodes, so rows without id link like any other; rows that repeat an id
+    link their fingerprints.
+    """
+    distinct = scratch.put(prints.select("fp", F.col("fp").alias("rep")).distinct(), "distinct")
+    by_id = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z"))
+    several = by_id.where("a <> z").select("doc_id", "a")
+    same = prints.join(several, "doc_id").where("a <> fp").select("a", F.col("fp").alias("b"))
+    found = components(links(distinct, scratch, radius).union(same), scratch)
+    joined = distinct.join(found, distinct["rep"] == found["node"], "left")
+    return joined.select("fp", F.coalesce("root", "rep").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
     """Near-duplicate classes: ``doc_id, fingerprint, component_id`` of every row.
 
     Nulls, empty and blank texts have fingerprint zero and link like any other.  Rows that repeat
-    an id or a text share its class.  A row without id keeps a fingerprint but gives no name to its
-    class, and has a null ``component_id`` where no other member has an id.  No rows: no rows.
+    an id or a text share its class.  A row without id links like any other but gives no name to
+    its class, whose ``component_id`` is null where no member has an id.  No rows: no rows.
     Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.put(fingerprints(docs, size), "prints")
-    distinct = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    distinct = scratch.put(distinct, "distinct")
-    # one id may stand for several fingerprints (repeated ids), so ids that are no rep link as well
-    same = prints.where("doc_id is not null").join(distinct, "fp").where("doc_id <> rep")
-    shared = same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    repeated = prints.groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
-    shared = shared.join(repeated.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    found = components(links(distinct, scratch, radius).union(shared.select("a", "b")), scratch)
-    roots = distinct.join(found, distinct["rep"] == found["node"], "left").select(
-        "fp", F.coalesce("root", "rep").alias("component_id")
-    )
-    return prints.join(roots, "fp", "left").select(
+    roots = scratch.put(_classes(prints, scratch, radius), "roots")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
+    named = roots.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").drop("root")
+    return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_first(docs: DataFrame, size: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id names their class, one row per id, all columns kept."""
-    classes = near_duplicates(docs, size, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` for each class of near duplicates, all columns kept as they are.
+
+    The row kept is that of the smallest id, rows without id last, then of the smallest hash of all
+    columns; a class whose rows have no id keeps one of them.  Whole rows that are repeated are one.
+    Columns of any other name are carried along.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash-kept")
+    # a row travels as one struct, so that no column of it can clash with those used here
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    rows = whole.select("row", F.xxhash64("row").alias("h"), F.xxhash64(F.lit(1), "row").alias("g"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([fingerprint(t, size) for t in b.column("text").to_pylist()], np.uint64)
+            columns = [b.column("doc_id"), b.column("h"), b.column("g"), pa.array(found.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "g", "fp"])
+
+    read = rows.select("row.doc_id", F.col("row.text").cast("binary").alias("text"), "h", "g")
+    prints = scratch.put(read.mapInArrow(run, "doc_id long, h long, g long, fp long"), "prints")
+    roots = _classes(prints, scratch, radius)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "h", "g").alias("best")
+    best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(roots, "fp").groupBy("root").agg(F.min("best").alias("best"))
+    kept = rows.join(best.select("best.h", "best.g"), ["h", "g"], "left_semi").dropDuplicates(["h", "g"])
+    return kept.select("row.*")

@@ -44,12 +44,51 @@ def test_every_stage(spark, sf_dir):
     assert sum(r.doc_tokens for r in packed if r.start == 0) == sum(r.length for r in packed)
 
 
-def test_odd_and_no_documents(spark, sf_dir):
-    rows = [(1, None, "en", "a", 0), (2, "", None, None, 0), (3, "words " * 60, "en", "a", 360), (4, "words " * 60, "en", "b", 360)]
-    odd = spark.createDataFrame(rows, documents(spark, sf_dir).schema)
-    for docs in (odd, odd.limit(0)):
-        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            got = stage(spark, docs, sf_dir)
-            assert got.count() <= 8
-            if n < 4:
-                assert got.columns == docs.columns
+def odd_documents(spark, sf_dir):
+    """Null and empty texts, copies, a repeated id, a row without id, and columns that operators use themselves."""
+    said = [r for r in documents(spark, sf_dir).orderBy("doc_id").collect() if 300 < r.n_chars < 4000]
+    labels = {r.doc_id: r.quality for r in table(spark, sf_dir, "labels").collect()}
+    good = [r.text for r in said if labels.get(r.doc_id) == 1][:4]
+    rows = [(1, None, "en", "a"), (2, "", None, None), (3, good[0], "en", "a"), (4, good[0], "en", "b"), (4, good[0], "en", "b")]
+    rows += [(5, good[1], "de", None), (None, good[2], "fr", "c"), (6, good[3] * 200, "en", "c")]
+    names = [(*r, len(r[1] or ""), f"k{n}", n, 0.5, "x", "y") for n, r in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return spark.createDataFrame(names, schema + ", `key` string, size long, score double, `row` string, root string")
+
+
+def test_odd_documents_by_stage(spark, sf_dir):
+    docs = odd_documents(spark, sf_dir)
+    rows = docs.collect()
+    stage = {name: lambda d, f=f: f(spark, d, sf_dir) for name, f in corpus_pipeline.STAGES}
+
+    good = stage["quality classifier"](docs)
+    scores = quality.scored(docs, table(spark, sf_dir, "labels")).collect()
+    want = {r.doc_id for r in scores if r.predicted}
+    assert good.schema == docs.schema and {r.doc_id for r in good.collect()} == want and {3, 4, 5, None} <= want
+
+    single = stage["SimHash near-dedup"](docs)
+    found = sorted(str(r.doc_id) for r in single.collect())
+    assert single.schema == docs.schema and found == ["1", "3", "5", "6", "None"]
+    assert all(r in rows for r in single.collect())
+
+    cut = {r.doc_id: r for r in stage["substring dedup"](single).collect()}
+    assert set(cut) == {1, 3, 5, 6, None}
+    assert cut[3].text == next(r.text for r in rows if r.doc_id == 3) and not cut[1].text
+
+    mix = stage["mixing sources to target weights"](docs)
+    total = sum(len(words(r.text)) for r in rows)
+    assert mix.columns == docs.columns
+    assert abs(sum(len(words(r.text)) for r in mix.collect()) - 1.5 * total) <= 0.02 * total
+
+    packed = stage["packing"](docs).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in rows}
+    assert all(r.length >= 1 for r in packed)
+
+
+def test_no_documents(spark, sf_dir):
+    docs = documents(spark, sf_dir).limit(0)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, sf_dir)
+        assert got.count() == 0
+        if n < 4:
+            assert got.columns == docs.columns

@@ -67,6 +67,24 @@ def test_nulls_blanks_long_texts_repeats_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert simhash.keep_first(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_without_id_link_and_one_of_each_class_is_kept(spark):
+    words = [f"word{n}" for n in range(400)]
+    near = " ".join(words[:-1] + ["other"])
+    assert 0 < (brute_print(" ".join(words)) ^ brute_print(near)).bit_count() <= 2
+    rows = [(None, " ".join(words), "x", "y", 1), (7, near, "x", "y", 2), (2, near, "x", "y", 3), (2, "apart", "x", "y", 4)]
+    rows += [(None, "nobody names this", "x", "y", 5), (None, "nobody names this", "x", "y", 5), (9, None, "x", "y", 6), (9, None, "x", "y", 6)]
+    schema = "doc_id long, text string, h string, `row` string, root int"  # names that the operator uses itself
+    docs = spark.createDataFrame(rows, schema)
+    classes = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.near_duplicates(docs).collect())
+    want = [(None, 2), (7, 2), (2, 2), (2, 2), (None, None), (None, None), (9, 9), (9, 9)]
+    assert classes == sorted((str(a), str(b)) for a, b in want)
+    kept = simhash.keep_first(docs)
+    assert kept.schema == docs.schema
+    found = sorted((str(r.doc_id), r.root) for r in kept.collect())
+    assert found in ([("2", 3), ("9", 6), ("None", 5)], [("2", 4), ("9", 6), ("None", 5)])
 
 
 def test_bit_sliced_pairs_equal_all_pairs():
