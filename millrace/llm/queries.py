@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import alignment, backoff, cap_filters, edit_counts, mixing, packing, phrase_prints, quality, simhash, substrings, url_blocks
+from millrace.llm import alignment, backoff, cap_filters, edit_counts, mixing, packing, phrase_prints, quality, simhash, substrings, toxicity, url_blocks
 from millrace.llm.common import documents, tokenizer_path
 from millrace.llm.registry import query
 from millrace.sources.tables import table
@@ -247,3 +247,8 @@ def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     coders = alignment.Coders(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
     return alignment.aligned(documents(spark, sf_dir), coders)
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
