@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import alignment, backoff, cap_filters, edit_counts, mixing, packing, phrase_prints, quality, simhash, substrings, toxicity, url_blocks
+from millrace.llm import alignment, backoff, cap_filters, centroids, edit_counts, mixing, packing, phrase_prints, quality, simhash, substrings, toxicity, url_blocks
 from millrace.llm.common import documents, tokenizer_path
 from millrace.llm.registry import query
 from millrace.sources.tables import table
@@ -252,3 +252,40 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_toxicity")
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+_CENTROID_ROUND = """
+    near{n} AS MATERIALIZED (
+        SELECT vec_id, v, c, d FROM (
+            SELECT g.vec_id, g.v, e.c, list_sum(list_transform(list_zip(g.v, e.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+            FROM good g, centre{n} e)
+        QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1
+    ),"""
+_CENTROID_MOVE = """
+    sum{n} AS (
+        SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM near{n}) GROUP BY c, i
+    ),
+    mean{n} AS (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS v FROM sum{n} GROUP BY c),
+    centre{m} AS MATERIALIZED (SELECT c, coalesce(mean{n}.v, centre{n}.v) AS v FROM centre{n} LEFT JOIN mean{n} USING (c)),"""
+
+
+@query(
+    "op11_centroids",
+    """
+    WITH good AS MATERIALIZED (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    centre0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM good QUALIFY c < 40
+    ),"""
+    + "".join(_CENTROID_ROUND.format(n=n) + _CENTROID_MOVE.format(n=n, m=n + 1) for n in range(5))
+    + _CENTROID_ROUND.format(n=5).rstrip(",")
+    + """
+    SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+        (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(e.v, ',')) AS centroid_sha256
+    FROM near5 JOIN centre5 e USING (c)
+    """,
+)
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
