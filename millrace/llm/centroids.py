@@ -87,6 +87,10 @@ def _searched(b: pa.RecordBatch, dims: int, scale: int, centroids: np.ndarray):
     return rows, number, distance // moved.shape[1]
 
 
+def _long(x: int | None) -> int | None:
+    return x if x is not None and x <= MOST else None
+
+
 def _slices(batches: Iterator[pa.RecordBatch], most: int = 4096) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield from (b.slice(at, most) for at in range(0, b.num_rows, most))
@@ -167,23 +171,19 @@ def clustered(vectors: DataFrame, dims: int = 64, scale: int = 256, k: int = 40,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             _, number, distance = _searched(b, dims, scale, centroids)
-            found = [d if d <= MOST else None for d in distance.tolist()]
+            found = [_long(d) for d in distance.tolist()]
             columns = [b.column("vec_id"), pa.array(number, pa.int32()), pa.array(found, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["vec_id", "cluster", "distance"])
 
     assigned = scratch.put(kept.mapInArrow(run, "vec_id long, cluster int, distance long"), "assigned")
-    whole = F.col("distance").cast("decimal(38,0)")
-    per = assigned.groupBy("cluster").agg(F.sum(whole).alias("total"), F.count("*").alias("n"), F.count("distance").alias("known"))
-    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
-    named = vectors.sparkSession.createDataFrame(list(enumerate(digests)), "cluster int, centroid_sha256 string")
-    fits = lambda total, known, n: F.expr(f"try_cast(CASE WHEN {known} = {n} THEN {total} END AS BIGINT)")
-    whole = per.agg(F.sum("total").alias("all"), F.sum("n").alias("all_n"), F.sum("known").alias("all_known"))
-    # at most k rows
-    summed = per.join(F.broadcast(whole)).join(F.broadcast(named), "cluster").select(
-        "cluster",
-        fits("total", "known", "n").alias("cluster_inertia"),
-        fits("all", "all_known", "all_n").alias("inertia"),
-        "centroid_sha256",
+    per = assigned.groupBy("cluster").agg(
+        F.sum(F.col("distance").cast("decimal(38,0)")).alias("total"), F.count("*").alias("n"), F.count("distance").alias("known")
     )
-    result = assigned.join(F.broadcast(summed), "cluster")
+    totals = {r.cluster: int(r.total) if r.n == r.known else None for r in per.collect()}  # k rows at most
+    inertia = None if None in totals.values() else _long(sum(totals.values()))
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
+    rows = [(c, _long(total), inertia, digests[c]) for c, total in totals.items()]
+    schema = "cluster int, cluster_inertia long, inertia long, centroid_sha256 string"
+    summed = F.broadcast(vectors.sparkSession.createDataFrame(rows, schema))
+    result = assigned.join(summed, "cluster")
     return result.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
