@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from struct import pack
 from typing import NamedTuple
 
 import numpy as np
@@ -38,7 +39,7 @@ class ByteLevel:
     """A byte-level BPE tokenizer file (JSON); special tokens inside a text are plain text.
 
     Texts go through a faster encoder with the same ranks, those with a very long run of white
-    space, which it cannot take, through the file's own.
+    space, which it cannot take, through the file's own.  Both spell every byte of a text.
     """
 
     # Fixed value: how byte-level BPE of this kind cuts a text before merging.
@@ -63,9 +64,11 @@ class ByteLevel:
         self.spelled = [b""] * (max(vocabulary.values()) + 1)
         for token, i in ranks.items():
             self.spelled[i] = token
+        self.lengths = np.array([len(t) for t in self.spelled], np.int64)
         self.fast = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text with a space before it."""
         texts = [" " + t for t in texts]
         slow = self.LONG_RUN.search
         return [self.own.encode(t, add_special_tokens=False).ids if slow(t) else self.fast.encode_ordinary(t) for t in texts]
@@ -79,13 +82,14 @@ class Pieces:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         one_byte = re.compile("<0x([0-9A-F]{2})>")
-        self.spelled = []
-        for i in range(self.model.get_piece_size()):
-            piece = self.model.id_to_piece(i)
-            byte = one_byte.fullmatch(piece)
-            self.spelled.append(bytes([int(byte[1], 16)]) if byte else piece.replace("▁", " ").encode())
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        byte = [one_byte.fullmatch(p) for p in pieces]
+        self.spelled = [bytes([int(b[1], 16)]) if b else p.replace("▁", " ").encode() for p, b in zip(pieces, byte, strict=True)]
+        self.lengths = np.array([len(t) for t in self.spelled], np.int64)
+        self.by_word = all("▁" not in p.lstrip("▁") for p in pieces)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text; the model itself puts a space before it."""
         return self.model.encode(texts, num_threads=1) if texts else []
 
 
@@ -96,13 +100,71 @@ class Coders:
     a: str
     b: str
 
-    def load(self) -> tuple[ByteLevel, Pieces]:
+    def load(self) -> "Words":
         return _loaded(self)
 
 
 @lru_cache(maxsize=1)
-def _loaded(coders: Coders) -> tuple[ByteLevel, Pieces]:
-    return ByteLevel(coders.a), Pieces(coders.b)
+def _loaded(coders: Coders) -> "Words":
+    return Words(ByteLevel(coders.a), Pieces(coders.b))
+
+
+class Words:
+    """Ids of whole texts from those of their words, which are remembered from task to task.
+
+    A text may be cut before a space that follows anything but white space: the byte-level pattern
+    never reaches over that place, and the model does not if none of its pieces has a space after
+    another character (else texts stay whole).  ``most`` bounds the memory; long words are not kept.
+    """
+
+    CUT = re.compile(r"(?<=\S) (?!\Z)")
+
+    def __init__(self, a: ByteLevel, b: Pieces, most: int = 400_000, longest: int = 100):
+        self.a, self.b, self.most, self.longest = a, b, most, longest
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.odd: set[str] = set()
+
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both tokenizers; None where one of them does not spell the bytes of the text."""
+        words = self.CUT.split(text) if self.b.by_word else [text]
+        long = [w for w in set(words) if len(w) > self.longest]
+        if len(self.known[0]) > self.most:
+            self._forget()
+        if new := [w for w in dict.fromkeys(words) if w not in self.known[0]]:
+            self._learn(new)
+        ok = self.odd.isdisjoint(words)
+        found = tuple(np.frombuffer(b"".join(map(k.__getitem__, words)), "<i4") for k in self.known) if ok else None
+        for w in long:
+            self.odd.discard(w)
+            for k in self.known:
+                del k[w]
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        """New words are encoded as one text, and cut where they end; each by itself where that text
+        is not spelled byte by byte, or a word ends in white space."""
+        plain = [w for w in words if w and not w[-1].isspace()]
+        ends = np.cumsum([len(w.encode()) + 1 for w in plain])
+        if plain and self.b.by_word:
+            text = " ".join(plain)
+            found = [c.ids([text])[0] for c in (self.a, self.b)]
+            if b"".join([self.b.spelled[i] for i in found[1]]) == b" " + text.encode():
+                for k, c, ids in zip(self.known, (self.a, self.b), found, strict=True):
+                    ids = np.array(ids, "<i4")
+                    stop = (np.searchsorted(np.cumsum(c.lengths[ids]), ends) + 1) * 4
+                    raw = ids.tobytes()
+                    k.update(zip(plain, map(raw.__getitem__, map(slice, [0, *stop[:-1].tolist()], stop.tolist())), strict=True))
+        words = [w for w in words if w not in self.known[0]]
+        for word, x, y in zip(words, self.a.ids(words), self.b.ids(words), strict=True):
+            if b"".join([self.b.spelled[i] for i in y]) != b" " + word.encode():
+                self.odd.add(word)
+            for k, ids in zip(self.known, (x, y), strict=True):
+                k[word] = pack(f"<{len(ids)}i", *ids)
+
+    def _forget(self) -> None:
+        self.odd.clear()
+        for k in self.known:
+            k.clear()
 
 
 class Tokens(NamedTuple):
@@ -113,23 +175,22 @@ class Tokens(NamedTuple):
     first: np.ndarray
 
 
-def _tokens(found: list[list[int]], spelled: list[bytes]) -> Tokens:
+def _tokens(found: list[np.ndarray], lengths: np.ndarray) -> Tokens:
     first = np.cumsum([0, *map(len, found)])
-    ids = np.fromiter((i for one in found for i in one), np.int64, first[-1])
-    lengths = np.array([len(s) for s in spelled], np.int64)
+    ids = np.concatenate([np.zeros(0, np.int64), *found])
     return Tokens(ids, np.cumsum(lengths[ids]), first)
 
 
 def encoded(texts: list[bytes | None], coders: Coders) -> tuple[Tokens, Tokens]:
     """Tokens of each text with a space before it; none where one tokenizer does not spell its bytes."""
-    a, b = coders.load()
-    strings = [(t or b"").decode("utf-8", "replace") for t in texts]
-    found = a.ids(strings), b.ids(strings)
-    for n, text in enumerate(texts):
-        whole = b" " + text if text else b""
-        if not text or any(b"".join([c.spelled[i] for i in f[n]]) != whole for c, f in zip((a, b), found, strict=True)):
-            found[0][n], found[1][n] = [], []
-    return _tokens(found[0], a.spelled), _tokens(found[1], b.spelled)
+    words, none = coders.load(), (np.zeros(0, np.int64),) * 2
+    found = []
+    for text in texts:
+        try:
+            found.append(words.ids(text.decode()) or none if text else none)
+        except UnicodeDecodeError:
+            found.append(none)
+    return _tokens([x for x, _ in found], words.a.lengths), _tokens([y for _, y in found], words.b.lengths)
 
 
 def leaves(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -163,12 +224,8 @@ def leaves(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
         starts_a.append(lo[leaf])
         starts_b.append(lo_b[leaf])
         split = ~leaf
-        lo, hi, lo_b, hi_b = (
-            np.concatenate([lo[split], cut[split] + 1]),
-            np.concatenate([cut[split] + 1, hi[split]]),
-            np.concatenate([lo_b[split], cut_b[split] + 1]),
-            np.concatenate([cut_b[split] + 1, hi_b[split]]),
-        )
+        halves = lambda left, right: np.stack([left[split], right[split]], axis=1).ravel()
+        lo, hi, lo_b, hi_b = halves(lo, cut + 1), halves(cut + 1, hi), halves(lo_b, cut_b + 1), halves(cut_b + 1, hi_b)
     none = np.zeros(0, np.int64)
     return np.sort(np.concatenate([none, *starts_a])), np.sort(np.concatenate([none, *starts_b]))
 
@@ -180,6 +237,13 @@ def _links(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(a.ends, ends), np.searchsorted(b.ends, ends)
 
 
+@lru_cache(maxsize=4)
+def _digits(n: int) -> np.ndarray:
+    """The decimal digits of all numbers below ``n``, a row each, zeros behind them."""
+    texts = np.array([str(i).encode() for i in range(n)])
+    return texts.view(np.uint8).reshape(n, -1)
+
+
 def _written(a: Tokens, b: Tokens, group_a: np.ndarray, group_b: np.ndarray) -> list[bytes]:
     """The groups of each document as text: ``a1,a2|b1;a3|b2,b3``."""
     n_a, n_b = len(a.ids), len(b.ids)
@@ -187,10 +251,8 @@ def _written(a: Tokens, b: Tokens, group_a: np.ndarray, group_b: np.ndarray) ->
     # the tokens of a group in a, then those in b
     place_a = np.arange(n_a) + np.repeat(group_b, per_a)
     place_b = np.arange(n_b) + np.repeat(group_a + per_a, per_b)
-    width = 7
-    rows = np.zeros((n_a + n_b, width), np.uint8)
-    top = int(max(a.ids.max(initial=0), b.ids.max(initial=0))) + 1
-    digits = np.char.mod("%d", np.arange(top)).astype(f"S{width - 1}").view(np.uint8).reshape(top, -1)
+    digits = _digits(1 << int(max(a.ids.max(initial=0), b.ids.max(initial=0))).bit_length())
+    rows = np.zeros((n_a + n_b, 1 + digits.shape[1]), np.uint8)
     rows[place_a, 0] = rows[place_b, 0] = ord(",")
     rows[place_a[group_a], 0], rows[place_b[group_b], 0] = ord(";"), ord("|")
     rows[place_a, 1:], rows[place_b, 1:] = digits[a.ids], digits[b.ids]

@@ -48,7 +48,8 @@ def brute_one(text, a, b):
 
 
 def brute(rows):
-    a, b = CODERS.load()
+    words = CODERS.load()
+    a, b = words.a, words.b
     each = [(doc_id, *brute_one(text, a, b)) for doc_id, text in rows]
     held = Counter(p for _, _, links in each for p in set(links))
     top = defaultdict(int)
@@ -103,7 +104,8 @@ def test_odd_texts_repeats_and_clashing_columns(spark):
 def test_groups_spell_the_text(spark):
     rows = [(n, t) for n, t in enumerate(odd_texts())]
     docs = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], SCHEMA)
-    a, b = CODERS.load()
+    words = CODERS.load()
+    a, b = words.a, words.b
     parts = defaultdict(list)
     for r in alignment.groups(docs, CODERS).collect():
         one, other = (b"".join(c.spelled[i] for i in ids) for c, ids in ((a, r.a), (b, r.b)))
@@ -140,6 +142,16 @@ def test_leaves_have_no_common_end_inside():
 
 
 def test_fast_ids_are_the_file_s_own():
-    a, _ = CODERS.load()
-    texts = [t for t in odd_texts() if t] + ["".join(f" a{chr(c)}1{chr(c)}b" for c in range(lo, lo + 500)) for lo in range(32, 0xD000, 500)]
-    assert a.ids(texts) == [a.own.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    words = CODERS.load()
+    a, b = words.a, words.b
+    texts = [t for t in odd_texts() if t] + ["".join(f" a{chr(c)}1{chr(c)} {chr(c)}b " for c in range(lo, lo + 500)) for lo in range(32, 0xD000, 500)]
+    texts = [t.replace("▁", "") for t in texts]
+    own = [a.own.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert a.ids(texts) == own
+    assert b.by_word
+    for text, ids in zip(texts, own, strict=True):
+        one, other = words.ids(text)
+        assert one.tolist() == ids and other.tolist() == b.model.encode(text)
+    assert all(len(w) <= words.longest for w in words.known[0]) and len(words.known[0]) == len(words.known[1])
+    few = alignment.Words(a, b, most=3)
+    assert [[x.tolist() for x in few.ids(t)] for t in texts] == [[x.tolist() for x in words.ids(t)] for t in texts]
