@@ -179,6 +179,34 @@ def match_replies(
     )
 
 
+def match_in_order(
+    requests: DataFrame,
+    replies: DataFrame,
+    channel: Names,
+    request_order: Names,
+    reply_order: Names,
+    timeout_seconds: int,
+) -> DataFrame:
+    """The n-th request of a channel with its n-th reply (``n`` from 0); ``outcome`` tells how it went.
+
+    Replies carry no id: a channel answers in the order it was asked.  A reply counts if it comes
+    at the time of its request or up to the timeout after it (``answered``).  Otherwise, and where
+    there is none, the request has a ``timeout`` row, without the columns of the reply, and the
+    reply still takes its place in the order.  The first order column of each side is its time;
+    other columns must differ between the sides.
+    """
+    by = _list(channel)
+    asked = o.ordered(requests, by, request_order).add(n=o.index()).df
+    told = o.ordered(replies, by, reply_order).add(n=o.index()).df
+    both = asked.join(told, [*by, "n"], "left")
+    first, then = (F.col(_list(c)[0]).cast("timestamp") for c in (request_order, reply_order))
+    took = F.unix_micros(then) - F.unix_micros(first)
+    in_time = F.coalesce(took.between(0, timeout_seconds * 1_000_000), F.lit(False))
+    own = [c for c in told.columns if c not in [*by, "n"]]
+    kept = both.withColumns({c: F.when(in_time, F.col(c)) for c in own} | {"outcome": F.when(in_time, "answered").otherwise("timeout")})
+    return kept.select(*by, "n", *[c for c in asked.columns if c not in [*by, "n"]], *own, "outcome")
+
+
 def pending(sent: DataFrame, acknowledged: DataFrame, on: Sequence[tuple[str, str]]) -> DataFrame:
     """Sent rows without an acknowledgement."""
     same = reduce(lambda a, b: a & b, [F.col(s) == F.col(a) for s, a in on])

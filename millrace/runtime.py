@@ -82,3 +82,39 @@ def pin(df: DataFrame, purpose: str = "pinned") -> DataFrame:
     path = work_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    at, fs = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at, fs = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def put_file(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file that is there whole or not at all; False, and no change, if it is there already.
+
+    It is written under another name and renamed.  One writer at a time.
+    """
+    at, fs = _file_system(spark, path)
+    if fs.exists(at):
+        return False
+    own = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f"_{uuid.uuid4().hex}")
+    out = fs.create(own)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return bool(fs.rename(own, at))
+
+
+def get_file(spark: SparkSession, path: str) -> str:
+    """The text of a small file."""
+    return "".join(r.value for r in spark.read.text(path, wholetext=True).collect())

@@ -155,6 +155,30 @@ class RunningCounts:
         return latest.newest_per(self.changes(), self.key, BATCH).drop(BATCH)
 
 
+@dataclass(frozen=True)
+class LiveCounts:
+    """Counts per key that can be read at any time from the state of the stream itself.
+
+    Nothing is written besides the checkpoint; reading takes the last batch that was committed, one
+    row per key, while the stream runs or after it has stopped.
+    """
+
+    folder: Folder
+    key: str
+
+    def writer(self, stream: DataFrame) -> DataStreamWriter:
+        counts = stream.groupBy(self.key).agg(F.count(F.lit(1)).alias("n"))
+        return (
+            counts.writeStream.outputMode("update")
+            .option("checkpointLocation", self.folder.checkpoint)
+            .format("noop")
+        )
+
+    def current(self) -> DataFrame:
+        state = self.folder.spark.read.format("statestore").load(self.folder.checkpoint)
+        return state.select(f"key.`{self.key}`", F.col("value.count").alias("n"))
+
+
 def fold_until_idle(
     stream: DataFrame,
     key: str,
