@@ -13,7 +13,7 @@ from millrace.plans.common import events
 from millrace.plans.registry import query
 from millrace.runtime import spread, work_dir
 from millrace.sources import files, lines, records
-from millrace.sources.index import DocumentIndex
+from millrace.sources.index import BucketedIndex
 from millrace.sources.tables import table
 
 
@@ -379,7 +379,7 @@ def object_roundtrip(spark, sf_dir):
     """,
 )
 def upsert_latest(spark, sf_dir):
-    index = DocumentIndex(spark, work_dir(spark, "index"), ["doc_id"], ["ts", "event_id"])
+    index = BucketedIndex(spark, work_dir(spark, "index"), ["doc_id"], ["ts", "event_id"], buckets=8)
     rows = events(spark, sf_dir).select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("doc_id"), "event_id", "event_type", "ts"
     )
@@ -391,6 +391,26 @@ def upsert_latest(spark, sf_dir):
     return index.read()
 
 
+@query(
+    "upsert_twenty_batches",
+    """
+    SELECT strftime(ts, '%Y-%m-%dT%H') AS doc_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts
+    FROM events GROUP BY 1
+    """,
+)
+def upsert_twenty_batches(spark, sf_dir):
+    # buckets are merged whenever they hold more than three runs; half-way old runs are deleted
+    index = BucketedIndex(spark, work_dir(spark, "index"), ["doc_id"], ["ts", "event_id"], buckets=8, most_runs=3)
+    rows = events(spark, sf_dir).select(
+        F.date_format("ts", "yyyy-MM-dd'T'HH").alias("doc_id"), "event_id", "ts"
+    )
+    for n in range(20):
+        index.upsert(rows.where(F.col("event_id") % 20 == n), n)
+        if n == 10:
+            index.vacuum()
+    return index.read()
+
+
 @query(
     "log_after_marker",
     """

@@ -13,7 +13,7 @@ from millrace.operators import latest
 from millrace.plans.common import events
 from millrace.plans.registry import query
 from millrace.sources import connectors
-from millrace.sources.index import DocumentIndex
+from millrace.sources.index import BucketedIndex
 from millrace.sources.tables import SCHEMAS, table, table_stream
 from millrace.streaming import runs, sinks, stateful, windows
 
@@ -353,7 +353,7 @@ def multi_sink(spark, sf_dir):
 )
 def upsert_stream(spark, sf_dir):
     folder = runs.Folder.new(spark, "upsert")
-    index = DocumentIndex(spark, folder.output, ["doc_id"], ["ts", "event_id"])
+    index = BucketedIndex(spark, folder.output, ["doc_id"], ["ts", "event_id"], buckets=8)
     shape = lambda df: df.select(
         F.date_format("ts", "yyyy-MM-dd'T'HH").alias("doc_id"), "event_id", "ts"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from millrace.runtime import Limits, estimated_bytes
-from millrace.sources.index import DocumentIndex
+from millrace.sources.index import BucketedIndex, DocumentIndex
 from millrace.streaming.runs import BATCH, Folder
 
 
@@ -32,7 +32,9 @@ def to_all(
     return stream.writeStream.option("checkpointLocation", folder.checkpoint).foreachBatch(write)
 
 
-def to_index(stream: DataFrame, folder: Folder, index: DocumentIndex) -> DataStreamWriter:
+def to_index(
+    stream: DataFrame, folder: Folder, index: DocumentIndex | BucketedIndex
+) -> DataStreamWriter:
     return stream.writeStream.option("checkpointLocation", folder.checkpoint).foreachBatch(
         index.upsert
     )

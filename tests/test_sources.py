@@ -1,5 +1,6 @@
 import io
 import os
+import random
 import zipfile
 
 import pytest
@@ -7,9 +8,9 @@ from pyspark.sql import functions as F
 
 from millrace.operators import ordered as o
 from millrace.operators import sequence as sq
-from millrace.runtime import shared_root, work_dir
+from millrace.runtime import names_in, shared_root, work_dir
 from millrace.sources import connectors, files, lines, records
-from millrace.sources.index import DocumentIndex
+from millrace.sources.index import BucketedIndex, DocumentIndex
 
 
 def write(path, content):
@@ -204,6 +205,49 @@ def test_index_keeps_the_later_of_two_in_one_second(spark, tmp_path):
     assert spark.read.parquet(compacted.path).count() == 2
 
 
+def test_bucketed_index_over_twenty_batches(spark, tmp_path):
+    index = BucketedIndex(spark, str(tmp_path / "index"), ["id"], ["ts"], buckets=6, most_runs=3)
+    with pytest.raises(ValueError):
+        index.read()
+    want, rng = {}, random.Random(6)
+    for batch in range(20):
+        rows = [(None if rng.random() < 0.05 else f"id{rng.randrange(40)}", rng.randrange(9), f"{batch}.{n}") for n in range(12)]
+        best = {}
+        for i, ts, v in rows:  # of equal times in a batch one wins; here none are equal
+            if (i, ts) not in {(a, b) for a, (b, _) in best.items()}:
+                best[i] = max(best.get(i, (-1, "")), (ts, v))
+        rows = [(i, ts, v) for i, (ts, v) in best.items()]
+        df = spark.createDataFrame(rows, "id string, ts long, v string")
+        index.upsert(df, batch)
+        for i, ts, v in rows:
+            want[i] = (ts, v) if i not in want or ts >= want[i][0] else want[i]  # later batches win ties
+        if batch in (7, 8):
+            index.upsert(df.withColumn("v", F.lit("again")), batch)  # delivered twice
+        assert max(index.runs_per_bucket().values()) <= 3
+    got = lambda df: {r.id: (r.ts, r.v) for r in df.collect()}
+    assert got(index.read()) == want
+    before = len(names_in(spark, f"{index.path}/runs"))
+    index.vacuum()
+    assert got(index.read()) == want and len(names_in(spark, f"{index.path}/runs")) < before
+    some = spark.createDataFrame([("id3",), ("id5",), ("none",)], "id string")
+    assert got(index.lookup(some)) == {i: want[i] for i in ("id3", "id5") if i in want}
+
+
+def test_bucketed_index_touches_only_buckets_of_the_batch(spark, tmp_path):
+    index = BucketedIndex(spark, str(tmp_path / "index"), ["id"], ["ts"], buckets=8, most_runs=2)
+    rows = lambda ids, ts: spark.createDataFrame([(i, ts) for i in ids], "id int, ts int")
+    index.upsert(rows(range(100), 0), 0)
+    first = index._state()["runs"]
+    for n in range(1, 4):
+        index.upsert(rows([5], n), n)
+    now = index._state()["runs"]
+    changed = [b for b in now if now[b] != first[b]]
+    assert len(now) == 8 and len(changed) == 1
+    # a version that was written and not yet named is not seen
+    index._write(rows([5], 99).withColumn("batch_id", F.lit(99).cast("bigint")), "unnamed")
+    assert index.lookup(rows([5], 0)).first()["ts"] == 3 and index.read().count() == 100
+
+
 def test_json_rows(spark, tmp_path):
     out = str(tmp_path / "json")
     schema = "myfloat_nullable FLOAT, mystr STRING, myint_id INT"
