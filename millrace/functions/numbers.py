@@ -13,7 +13,8 @@ def _col(c: Column | str) -> Column:
 
 
 SMALL_PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31)
-MOST_TRIED = 10**14
+WITNESSES = (*SMALL_PRIMES, 37)
+WIDE = "decimal(38,0)"
 
 # Texts that a cast may take for numbers.  The cast decides; these only keep off
 # texts that it would refuse.
@@ -55,24 +56,46 @@ def floor_2(value: Column | str) -> Column:
     return F.floor(_col(value) * 100) / 100.0
 
 
+def _times(a: Column, b: Column, n: Column) -> Column:
+    """a * b modulo n, exact for 64-bit numbers: their product has at most 38 digits."""
+    return (a.cast(WIDE) * b.cast(WIDE) % n.cast(WIDE)).cast(WIDE)
+
+
+def _power(base: Column, exponent: Column, n: Column) -> Column:
+    """base ** exponent modulo n, by the exponent's bits from the highest."""
+
+    def step(so_far: Column, bit: Column) -> Column:
+        square = _times(so_far, so_far, n)
+        is_set = F.call_function("shiftrightunsigned", exponent, bit).bitwiseAND(F.lit(1)) == 1
+        return F.when(is_set, _times(square, base, n)).otherwise(square)
+
+    return F.aggregate(F.sequence(F.lit(62), F.lit(0), F.lit(-1)), F.lit(1).cast(WIDE), step)
+
+
 def is_prime(n: Column | str) -> Column:
-    """Trial division up to the square root; numbers below 2 are not prime.
+    """Whether a number is prime, for all 64-bit numbers; those below 2 are not.
 
-    Most numbers end at a small prime.  The others are divided by 6k - 1 and 6k + 1 only, at
-    most 1.7 million of each: numbers above ``MOST_TRIED`` raise.
+    Most numbers end at a small prime.  The others are tested with the first twelve primes as
+    witnesses (Miller and Rabin), which is proof for every number of this size.
     """
     v = _col(n).cast("bigint")
     small = reduce(lambda a, p: a | (v % p == 0), SMALL_PRIMES, F.lit(False))
-    least = F.lit(SMALL_PRIMES[-1])
-    root = F.greatest(F.floor(F.sqrt(v)).cast("bigint"), least)
-    tried = F.sequence(F.lit(5).cast("bigint"), root, F.lit(6).cast("bigint"))
+    below = v - 1
+    zeros = F.bit_count(below.bitwiseAND(-below) - 1).cast("int")
+    odd = F.call_function("shiftrightunsigned", below, zeros)
+
+    def passes(witness: Column) -> Column:
+        ends = F.sequence(F.lit(0), zeros - 1)
+        reaches = F.exists(ends, lambda k: _power(witness, F.call_function("shiftleft", odd, k), v) == below)
+        return (_power(witness, odd, v) == 1) | reaches
+
+    witnesses = F.array(*[F.lit(p).cast("bigint") for p in WITNESSES])
     return (
         F.when(v < 2, False)
         .when(v.isin(*SMALL_PRIMES), True)
         .when(small, False)
         .when(v < SMALL_PRIMES[-1] ** 2, True)
-        .when(v > MOST_TRIED, F.raise_error("too large for trial division").cast("boolean"))
-        .otherwise(F.forall(tried, lambda d: (v % d != 0) & (v % (d + 2) != 0)))
+        .otherwise(F.forall(witnesses, passes))
     )
 
 

@@ -46,7 +46,7 @@ def min_mean_max(
             F.count(value).alias("n"),
             low.alias("lowest"),
             high.alias("highest"),
-            F.round(F.avg(value), 4).alias("mean"),
+            F.avg(value).alias("mean"),
         )
         .orderBy(*_list(by))
     )
@@ -142,14 +142,12 @@ def downsample(df: DataFrame, by: Names, ts: str, width: str, value: str) -> Dat
         df.groupBy(*_list(by), slot_start(ts, width).alias("slot"))
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.avg(value).alias("_m"),
             F.min(value).alias("lowest"),
             F.max(value).alias("highest"),
             F.min(ts).alias("first_ts"),
             F.max(ts).alias("last_ts"),
+            F.avg(value).alias("mean"),
         )
-        .withColumn("mean", F.round("_m", 4))
-        .drop("_m")
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import ordered as o
+from millrace.runtime import pin
 
 Names = Sequence[str] | str
 
@@ -135,8 +136,10 @@ def versioned_exclusion(
 
     The versions are turned into switches per value - on where a version has it, off where
     the next one does not - so the rows are looked at per value and not as one sequence.
+    The list is made once and written, as it is looked at for its versions and for its values.
     """
     order_by = _list(order_by)
+    listing = pin(listing.select(value, version, *[c for c in order_by if c not in (value, version)]), "listing")
     versions = listing.select(version, *order_by).distinct()
     here = F.struct(*order_by)
     spans = o.ordered(versions.withColumn("_from", here), (), order_by).add(_to=o.lead("_from"))

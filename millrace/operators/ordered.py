@@ -14,7 +14,9 @@ column is then computed
    scanned in block order and joined back.  There are about ``rows / rows_per_task``
    summary rows of heavy keys, which is what bounds the broadcast.
 
-Light keys keep block -1 and take the plain path in the same plan.
+Light keys keep block -1 and take the plain path in the same plan.  Very large inputs have two
+levels: range partitions, and blocks of bounded size inside each.  Their summaries are joined
+without a broadcast.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from millrace.runtime import Limits, estimated_bytes, pin
 
 BLOCK = "_block"
 LIGHT = -1
-# More blocks would cost more in shuffle files than they save; beyond that blocks grow.
+# More partitions would cost more in shuffle files than they save, and more lookup rows are not
+# broadcast.  Blocks do not grow beyond it: partitions are then cut into several blocks each.
 MOST_BLOCKS = 20_000
 # Several small blocks share a task; that evens out how they fall into tasks by hash.
 BLOCKS_PER_TASK = 4
@@ -179,6 +182,10 @@ class Ordered:
     by: tuple[str, ...]
     order_by: tuple[str, ...]
     blocked: bool
+    wide: bool = False  # more blocks than a broadcast should hold
+
+    def _small(self, summaries: DataFrame) -> DataFrame:
+        return summaries if self.wide else F.broadcast(summaries)
 
     @property
     def df(self) -> DataFrame:
@@ -203,7 +210,7 @@ class Ordered:
         return self._with(self.rows.drop(*columns))
 
     def _with(self, rows: DataFrame) -> "Ordered":
-        return Ordered(rows, self.by, self.order_by, self.blocked)
+        return Ordered(rows, self.by, self.order_by, self.blocked, self.wide)
 
     def number_groups(
         self, name: str, columns: Sequence[str], starts: Callable[[Column, Column], Column]
@@ -246,7 +253,7 @@ class Ordered:
         )
         carried = seams.select(*[F.col(k).alias(f"_k_{k}") for k in keys], past.alias("_c"))
         joined = marked.withColumn("_l", local).join(
-            F.broadcast(carried), self._same_block(), "left"
+            self._small(carried), self._same_block(), "left"
         )
         return self._with(
             joined.select(
@@ -288,7 +295,7 @@ class Ordered:
             F.slice(coming, 1, size - 1).alias("_coming"),
             (F.row_number().over(across) == 1).alias("_leads"),
         )
-        joined = near.join(F.broadcast(carried), self._same_block(), "left")
+        joined = near.join(self._small(carried), self._same_block(), "left")
         whole = F.when(F.col("_coming").isNull(), F.col("_ahead")).otherwise(
             F.slice(F.concat("_ahead", "_coming"), 1, size)
         )
@@ -326,7 +333,7 @@ class Ordered:
             *[F.col(k).alias(f"_k_{k}") for k in keys],
             *[r.carry(F.col(f"_s_{n}"), across).alias(f"_c_{n}") for n, r in columns.items()],
         )
-        joined = local.join(F.broadcast(carried), self._same_block(), "left")
+        joined = local.join(self._small(carried), self._same_block(), "left")
         return self._with(
             joined.select(
                 *[c for c in self.rows.columns if c not in columns],
@@ -353,7 +360,7 @@ def ordered(
         raise ValueError("rows have no order of their own: name the order columns")
     plain = Ordered(df, by, order_by, blocked=False)
     limits = Limits.of(df.sparkSession)
-    if estimated_bytes(df) <= limits.small_bytes:
+    if estimated_bytes(df) <= limits.small_bytes and _estimate_counts(df, by):
         return plain
 
     # One column-pruned pass with map-side counts; at most rows / rows_per_task keys remain.
@@ -365,15 +372,28 @@ def ordered(
         .where(F.col("_n") > limits.rows_per_task),
         "heavy-keys",
     )
-    total = heavy.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    total, keys = heavy.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
     if total == 0:
         return plain
+    # heavy keys, blocks and bins of these are all fewer than this
+    wide = BLOCKS_PER_TASK * total // limits.rows_per_task + keys > MOST_BLOCKS
     rows = None
-    if place is not None:
-        rows = _value_blocks(df, by, place, heavy, total, limits)
+    if place is not None and not wide:
+        rows = _value_blocks(df, by, place, heavy, limits)
     if rows is None:
-        rows = _range_blocks(df, by, order_by, heavy, total, limits)
-    return Ordered(rows, by, order_by, blocked=True)
+        rows = _range_blocks(df, by, order_by, heavy, total, wide, limits)
+    return Ordered(rows, by, order_by, blocked=True, wide=wide)
+
+
+def _estimate_counts(df: DataFrame, by: Sequence[str]) -> bool:
+    """Whether the size estimate says something about the rows.
+
+    Catalyst takes a generator for one that gives a row each, so below one rows are counted; and
+    a table without a key, all one sequence, may be many rows of few bytes.
+    """
+    if "Generate " in df._jdf.queryExecution().optimizedPlan().toString():
+        return False
+    return bool(by) or estimated_bytes(df) <= Limits.of(df.sparkSession).small_bytes // 8
 
 
 def _place(df: DataFrame, column: str) -> Column | None:
@@ -399,7 +419,7 @@ def _prefixed(df: DataFrame, by: Sequence[str], prefix: str, *rest: Column | str
 
 
 def _value_blocks(
-    df: DataFrame, by: tuple[str, ...], place: Column, heavy: DataFrame, total: int, limits: Limits
+    df: DataFrame, by: tuple[str, ...], place: Column, heavy: DataFrame, limits: Limits
 ) -> DataFrame | None:
     """Blocks by ranges of the first order column.  The block is a function of the row.
 
@@ -408,7 +428,7 @@ def _value_blocks(
     or written but the small tables, and light rows pass through the same plan.
     None when single places hold too many rows to be cut this way.
     """
-    per_block = max(-(-limits.rows_per_task // BLOCKS_PER_TASK), -(-total // MOST_BLOCKS))
+    per_block = -(-limits.rows_per_task // BLOCKS_PER_TASK)
     meta = heavy.select(
         *by,
         "_lo",
@@ -456,19 +476,29 @@ def _range_blocks(
     order_by: tuple[str, ...],
     heavy: DataFrame,
     total: int,
+    wide: bool,
     limits: Limits,
 ) -> DataFrame:
     """Blocks by range partitions of all order columns, for any type and any ties.
 
-    The block of a row depends on sampled bounds, so the heavy rows are written once.
+    Where there would be too many partitions, each is sorted and cut into blocks by position; the
+    block is then the upper part of the row's place (partition, position).  The block of a row
+    depends on sampled bounds, so the heavy rows are written once.
     """
     # Twice as many blocks as needed on average: the bounds come from a sample.
     n = min(max(2, -(-2 * total // limits.rows_per_task)), MOST_BLOCKS)
-    known = F.broadcast(_prefixed(heavy, by, "_h_"))
+    known = _prefixed(heavy, by, "_h_")
+    known = known if wide else F.broadcast(known)
     heavy_rows = df.join(known, _match(by, "_h_"), "left_semi") if by else df
     ranged = heavy_rows.repartitionByRange(n, *by, *order_by)
-    blocks = pin(ranged.withColumn(BLOCK, F.spark_partition_id()), "blocks")
+    if wide:
+        ranged = ranged.sortWithinPartitions(*by, *order_by)
+        bits = max(limits.rows_per_task.bit_length() - 1, 0)
+        block = F.shiftright(F.monotonically_increasing_id(), bits)
+    else:
+        block = F.spark_partition_id().cast("bigint")
+    blocks = pin(ranged.withColumn(BLOCK, block), "blocks")
     if not by:
         return blocks
     light = df.join(known, _match(by, "_h_"), "left_anti")
-    return light.withColumn(BLOCK, F.lit(LIGHT)).unionByName(blocks)
+    return light.withColumn(BLOCK, F.lit(LIGHT).cast("bigint")).unionByName(blocks)

@@ -17,6 +17,10 @@ from millrace.runtime import spread
 from millrace.sources.tables import table
 
 
+def _mean_to(places, df):
+    return df.withColumn("mean", F.round("mean", places))
+
+
 @query(
     "station_stats",
     """
@@ -26,7 +30,7 @@ from millrace.sources.tables import table
     """,
 )
 def station_stats(spark, sf_dir):
-    return ag.min_mean_max(events(spark, sf_dir), "event_type", "value")
+    return _mean_to(4, ag.min_mean_max(events(spark, sf_dir), "event_type", "value"))
 
 
 @query(
@@ -39,9 +43,23 @@ def station_stats(spark, sf_dir):
     """,
 )
 def station_stats_seed_zero(spark, sf_dir):
-    return ag.min_mean_max(
+    return _mean_to(4, ag.min_mean_max(
         table(spark, sf_dir, "supplier"), "s_nationkey", "s_acctbal", seed_zero=True
-    )
+    ))
+
+
+@query(
+    "measure_with_small_means",
+    """
+    SELECT event_type, count(value) AS n, min(value / 1e8) AS lowest, max(value / 1e8) AS highest,
+           round(avg(value / 1e8), 15) AS mean
+    FROM events GROUP BY event_type ORDER BY event_type
+    """,
+)
+def measure_with_small_means(spark, sf_dir):
+    # means below 0.0001 stay what they are
+    rows = events(spark, sf_dir).withColumn("v", F.col("value") / F.lit(1e8))
+    return _mean_to(15, ag.min_mean_max(rows, "event_type", "v"))
 
 
 @query(
@@ -109,7 +127,7 @@ _MEASURED = """
 def _measured(spark, sf_dir, value):
     items = table(spark, sf_dir, "lineitem").select("l_returnflag", value.alias("v"))
     states = ag.merge_partials(ag.partials(items, "l_returnflag", "v"), "l_returnflag")
-    means = ag.min_mean_max(items, "l_returnflag", "v").select("l_returnflag", "mean")
+    means = _mean_to(4, ag.min_mean_max(items, "l_returnflag", "v")).select("l_returnflag", "mean")
     finite = items.withColumn("v", F.when(~F.isnan("v"), F.col("v")).otherwise(0.0))
     totals = ag.partials(finite, "l_returnflag", "v").select("l_returnflag", "total")
     return states.drop("total").join(means, "l_returnflag").join(totals, "l_returnflag").select(
@@ -339,7 +357,7 @@ def kth_smallest_large_k(spark, sf_dir):
 def downsample_without_times(spark, sf_dir):
     # every seventh event has lost its time and is counted in the null slot
     rows = events(spark, sf_dir).withColumn("ts", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
-    slots = ag.downsample(rows, "event_type", "ts", "1 hour", "value")
+    slots = _mean_to(4, ag.downsample(rows, "event_type", "ts", "1 hour", "value"))
     return slots.select("event_type", "slot", "n", "mean")
 
 
@@ -394,7 +412,7 @@ def point_merge(spark, sf_dir):
     """,
 )
 def downsample(spark, sf_dir):
-    return ag.downsample(events(spark, sf_dir), "event_type", "ts", "1 hour", "value")
+    return _mean_to(4, ag.downsample(events(spark, sf_dir), "event_type", "ts", "1 hour", "value"))
 
 
 @query(

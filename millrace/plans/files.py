@@ -39,7 +39,8 @@ def measurement_lines(spark, sf_dir):
         lines.read_lines(spark, path), "location STRING, temperature DOUBLE", ";"
     )
     clean = parsed.where(F.col("error").isNull())
-    return ag.min_mean_max(clean, "location", "temperature")
+    stats = ag.min_mean_max(clean, "location", "temperature")
+    return stats.withColumn("mean", F.round("mean", 4))
 
 
 @query(
@@ -177,6 +178,25 @@ def line_protocol_texts(spark, sf_dir):
     )
 
 
+@query(
+    "line_protocol_endings",
+    """
+    SELECT event_type AS measurement, CAST(event_id AS VARCHAR) AS number, props AS kind,
+           CASE WHEN event_id % 2 = 0 THEN user_id END AS at
+    FROM (SELECT event_id, user_id, event_type, 'k' || user_id AS props FROM events)
+    """,
+)
+def line_protocol_endings(spark, sf_dir):
+    # line ends of two kinds, behind the time or, where there is none, behind the last value
+    rows = events(spark, sf_dir).select("event_id", "user_id", "event_type")
+    time = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), "user_id")).otherwise("")
+    end = F.when(F.col("event_id") % 3 == 0, "\r\n").when(F.col("event_id") % 3 == 1, "\n").otherwise("")
+    line = F.concat("event_type", F.lit(" kind=k"), "user_id", F.lit(",number="), "event_id", time, end)
+    found = records.points(rows.select(line.alias("line")))
+    fields = F.col("fields")
+    return found.select("measurement", fields["number"].alias("number"), fields["kind"].alias("kind"), "at")
+
+
 def _messages(spark, sf_dir):
     """One message per order: header, person, and one to four OBX segments."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

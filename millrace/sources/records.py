@@ -23,7 +23,8 @@ NAME = r"[^\\,= ]*+(?:\\.[^\\,= ]*+)*+"
 SERIES = r"(?=[^, ])[^\\, ]*+(?:\\.[^\\, ]*+)*+"
 TEXT_FIELD = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 TAG = f",{NAME}={NAME}"
-FIELD = f"{NAME}=(?:{TEXT_FIELD}|{NAME})"
+BARE = r"[^\\,= \r\n]*+(?:\\.[^\\,= \r\n]*+)*+"  # a line end ends the line
+FIELD = f"{NAME}=(?:{TEXT_FIELD}|{BARE})"
 POINT = rf"(?s)^({SERIES})((?:{TAG})*+) ({FIELD}(?:,{FIELD})*+)(?: (-?\d+))?\s*$"
 
 

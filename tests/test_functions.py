@@ -91,7 +91,10 @@ def test_primes(spark):
     found = spark.range(-2, 30).where(numbers.is_prime("id")).orderBy("id").collect()
     assert [r["id"] for r in found] == [2, 3, 5, 7, 11, 13, 17, 19, 23, 29]
     large = {961: False, 1369: False, 1373: True, 37 * 41: False, 10**12 + 39: True, 10**12 + 61: True,
-             1_000_003 * 1_000_033: False, 999_983**2: False}
+             1_000_003 * 1_000_033: False, 999_983**2: False,
+             # near the end of 64 bits: the largest primes, a product of two, and strong pseudoprimes
+             2**63 - 25: True, 2**63 - 165: True, 2**61 - 1: True, 2**63 - 1: False, 2**63 - 27: False,
+             3_037_000_493 * 3_037_000_453: False, 3215031751: False, 3825123056546413051: False}
     df = spark.createDataFrame([(n,) for n in large], "n bigint")
     assert {r["n"]: r["p"] for r in df.select("n", numbers.is_prime("n").alias("p")).collect()} == large
 

@@ -2,6 +2,7 @@ import itertools
 import math
 import statistics
 
+
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
@@ -97,6 +98,27 @@ def test_min_mean_max_and_zero_seed(spark):
     assert [tuple(r) for r in seeded.collect()] == [("a", 0.0, 5.0), ("b", -4.0, 0.0)]
 
 
+def test_means_are_not_rounded(spark):
+    df = spark.createDataFrame([("a", 0.00001), ("a", 0.00002)], "k string, v double")
+    assert ag.min_mean_max(df, "k", "v").first()["mean"] == pytest.approx(0.000015, rel=1e-12)
+    timed = df.withColumn("ts", F.timestamp_seconds(F.lit(5)))
+    assert ag.downsample(timed, "k", "ts", "1 minute", "v").first()["mean"] == pytest.approx(0.000015, rel=1e-12)
+
+
+def test_a_listing_is_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def seen(v):
+        made.add(1)
+        return v
+
+    listing = spark.range(4).select(F.lit(0).alias("version"), seen("id").alias("v"), F.lit(1).alias("t"))
+    rows_ = spark.range(8).select(F.col("id").cast("int").alias("v"), F.lit(5).alias("t"))
+    left = joins.versioned_exclusion(rows_, listing, "v", "t")
+    assert sorted(r["v"] for r in left.collect()) == [4, 5, 6, 7] and made.value == 4
+
+
 def test_stored_partials_merge_to_the_same_answer(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("k"), (F.col("id") / 100).alias("v"))
     halves = [df.where(f"v {op} 5") for op in ("<", ">=")]

@@ -97,3 +97,39 @@ def test_rows_without_a_place_come_first(spark, heavy):
     assert seq.blocked
     order = [r["id"] for r in seq.df.orderBy("i").collect()]
     assert order == [i for i in range(24) if i % 4 == 0] + [i for i in range(24) if i % 4]
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_blocks_do_not_grow_with_the_table(spark, heavy, monkeypatch, text):
+    df = spark.createDataFrame(_rows(n=90), "k string, t int, id int, v int")
+    if text:
+        df = df.withColumn("t", F.lpad(F.col("t").cast("string"), 3, "0"))
+    for by in (["k"], []):
+        spark.conf.set("spark.millrace.smallBytes", "1000000000")
+        spark.conf.set("spark.millrace.rowsPerTask", "1000000")
+        _, plain = _result(df, by)
+        spark.conf.set("spark.millrace.smallBytes", "0")
+        spark.conf.set("spark.millrace.rowsPerTask", "5")
+        monkeypatch.setattr(o, "MOST_BLOCKS", 8)
+        seq = o.ordered(df, by=by, order_by=["t", "id"])
+        assert seq.blocked and seq.wide
+        sizes = seq.rows.where(f"{o.BLOCK} >= 0").groupBy(*by, o.BLOCK).count().collect()
+        assert len(sizes) > 8 and max(r["count"] for r in sizes) <= 5
+        blocked, rows = _result(df, by)
+        assert blocked and rows == plain
+        plan = seq.add(**_specs()).df._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" not in plan
+        monkeypatch.undo()
+
+
+def test_rows_below_a_generator_are_counted(spark):
+    # 200 rows of a few bytes by the estimate, 200,000 in fact
+    df = spark.range(200).select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("n"), "id")
+    spark.conf.set("spark.millrace.rowsPerTask", "50000")
+    try:
+        seq = o.ordered(df, (), ["id", "n"])
+        assert seq.blocked
+        sizes = [r["count"] for r in seq.rows.groupBy(o.BLOCK).count().collect()]
+        assert sum(sizes) == 200_000 and max(sizes) <= 50_000
+    finally:
+        spark.conf.unset("spark.millrace.rowsPerTask")
