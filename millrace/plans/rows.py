@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import arrays, numbers, protect, text
 from millrace.functions import time as clock
+from millrace.operators import names, routing, user
 from millrace.operators import ordered as o
-from millrace.operators import routing, user
 from millrace.plans.common import events
 from millrace.plans.registry import query
 from millrace.runtime import pin, spread
@@ -310,6 +310,27 @@ def entities(spark, sf_dir):
     )
 
 
+_NAMES = r"""
+    WITH begun AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+    names AS (SELECT DISTINCT w[1:n] AS spelled, n FROM begun, (VALUES (3), (5)) v(n) WHERE len(w) >= n),
+    places AS (SELECT doc_id, w, unnest(range(len(w))) AS p
+               FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents))
+    SELECT doc_id, CAST(p AS INTEGER) AS "at", CAST(n AS INTEGER) AS n_words, array_to_string(spelled, ' ') AS name
+    FROM places JOIN names ON w[p + 1:p + n] = spelled
+    QUALIFY row_number() OVER (PARTITION BY doc_id, p ORDER BY n DESC) = 1
+"""
+
+
+@query("names_by_dictionary", _NAMES)
+def names_by_dictionary(spark, sf_dir):
+    # the dictionary: how the benchmark's passages begin, with three words and with five
+    begun = table(spark, sf_dir, "benchmark").select(names.words("text").alias("w"))
+    sizes = begun.withColumn("n", F.explode(F.array(F.lit(3), F.lit(5)))).where(F.size("w") >= F.col("n"))
+    dictionary = sizes.select(F.array_join(F.slice("w", 1, F.col("n")), " ").alias("name"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return names.find_names(spread(docs), dictionary, "text", "name")
+
+
 @query(
     "name_pairs",
     """

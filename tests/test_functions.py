@@ -214,3 +214,17 @@ def test_escaped_quotes_and_long_numbers(spark):
     assert [r.t for r in got] == ['a"b "c" \\"dA', "plain"]
     many = spark.createDataFrame([("000000000000000000000012",), ("99999999999999999999",)], "t string")
     assert [r.n for r in many.select(numbers.number_in("t", "bigint").alias("n")).collect()] == [12, None]
+
+
+def test_names_of_a_dictionary(spark):
+    from millrace.operators import names
+
+    dictionary = spark.createDataFrame([("New York",), ("new york",), ("New York Times",), ("York",), ("Ada",), ("!?",), (None,)], "n string")
+    texts = ["He read the NEW YORK, times in York.", "Ada; ada New", "new york time", "", None, "nothing here"]
+    rows = spark.createDataFrame([(i, t, f"k{i}") for i, t in enumerate(texts)], "id int, text string, first string")
+    got = names.find_names(rows, dictionary, "text", "n")
+    assert got.columns == ["id", "first", "at", "n_words", "name"]
+    found = sorted((r.id, r.at, r.n_words, r.name) for r in got.collect())
+    assert found == [(0, 3, 3, "New York Times"), (0, 4, 1, "York"), (0, 7, 1, "York"), (1, 0, 1, "Ada"), (1, 1, 1, "Ada"),
+                     (2, 0, 2, "New York"), (2, 1, 1, "York")]
+    assert names.find_names(rows, dictionary.limit(0), "text", "n").count() == 0
