@@ -312,11 +312,15 @@ def entities(spark, sf_dir):
 
 _NAMES = r"""
     WITH begun AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
-    names AS (SELECT DISTINCT w[1:n] AS spelled, n FROM begun, (VALUES (3), (5)) v(n) WHERE len(w) >= n),
-    places AS (SELECT doc_id, w, unnest(range(len(w))) AS p
-               FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents))
-    SELECT doc_id, CAST(p AS INTEGER) AS "at", CAST(n AS INTEGER) AS n_words, array_to_string(spelled, ' ') AS name
-    FROM places JOIN names ON w[p + 1:p + n] = spelled
+    names AS (SELECT DISTINCT array_to_string(w[1:n], ' ') AS name, n FROM begun, (VALUES (3), (5)) v(n) WHERE len(w) >= n),
+    places AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS p
+               FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)),
+    ahead AS (SELECT doc_id, p, a || ' ' || lead(a, 1) OVER o || ' ' || lead(a, 2) OVER o AS three,
+                     ' ' || lead(a, 3) OVER o || ' ' || lead(a, 4) OVER o AS more
+              FROM places WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+    found AS (SELECT doc_id, p, n, name FROM ahead JOIN names ON n = 3 AND name = three
+              UNION ALL SELECT doc_id, p, n, name FROM ahead JOIN names ON n = 5 AND name = three || more)
+    SELECT doc_id, CAST(p AS INTEGER) AS "at", CAST(n AS INTEGER) AS n_words, name FROM found
     QUALIFY row_number() OVER (PARTITION BY doc_id, p ORDER BY n DESC) = 1
 """
 
