@@ -5,6 +5,8 @@ and the excess is shared out again.  The words of a source, its documents shuffl
 cut into blocks of equally many words.  The mix is a row of slots: slot k is the point
 frac((k + 1) * golden ratio), in 32-bit fixed point, mapped through the cumulative block quotas to a
 source.  The slots of a source are ranked; slot r takes block r modulo its blocks, up to the quota.
+``spans`` is that mix, a row per slot and document; ``mixed`` sums it up per document and
+``mixed_documents`` puts the documents in the order of their slots.
 
 All of it is DataFrame work.  Ranks and running sums go in two levels, per chunk of slots and per
 bucket of hashes first, so a source that holds a third of all rows is ordered in many tasks.  The
@@ -95,7 +97,8 @@ def goals(by_source: DataFrame, mix: Mix) -> DataFrame:
 
 
 def schedule(wanted: DataFrame, mix: Mix, chunk: int = 4096) -> DataFrame:
-    """``number, at, times``: how often block ``at`` of a source is taken, from the ranked slots."""
+    """``slot, number, at, pass``: the block ``at`` that a slot takes from its source, which it is
+    the ``pass``-th time (from 0) that the source is run through, from the ranked slots."""
     spark = wanted.sparkSession
     sources = wanted.agg(F.max("slots").alias("n"))
     n = sources.first().n or 0  # one number
@@ -115,7 +118,9 @@ def schedule(wanted: DataFrame, mix: Mix, chunk: int = 4096) -> DataFrame:
     within = F.row_number().over(W.partitionBy("number", "chunk").orderBy("id")) - 1
     ranked = owned.withColumn("within", within).join(before, ["number", "chunk"])
     taken = ranked.withColumn("rank", F.col("before") + F.col("within")).where("rank < quota")
-    return taken.groupBy("number", F.expr("rank % blocks").alias("at")).agg(F.count("*").alias("times"))
+    return taken.select(
+        F.col("id").alias("slot"), "number", F.expr("rank % blocks").alias("at"), F.expr("rank div blocks").alias("pass")
+    )
 
 
 def _placed(sized: DataFrame, wanted: DataFrame, buckets_log2: int = 12) -> DataFrame:
@@ -131,60 +136,91 @@ def _placed(sized: DataFrame, wanted: DataFrame, buckets_log2: int = 12) -> Data
     running = sized.withColumn("within", _before(F.col("size"), order))
     same = F.expr("source <=> cell_source and bucket = cell")
     return running.join(before, same).withColumn("first", F.col("before") + F.col("within")).select(
-        "doc_id", "tie", "size", "source_size", "target", "number", "block", "first", "place"
+        "doc_id", "source", "tie", "size", "source_size", "target", "number", "block", "first"
+    )
+
+
+def _tables(docs: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
+    """Rows at their places, and the schedule."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sized = scratch.put(sizes(docs), "sizes")
+    wanted = scratch.put(goals(sized.groupBy("source").agg(F.sum("size").alias("source_size")), mix), "goals")
+    return _placed(sized, wanted), schedule(wanted, mix)
+
+
+def _cut(placed: DataFrame) -> DataFrame:
+    """A row for every block that holds words of a document: its words from ``start`` on."""
+    at = F.expr("sequence(first div block, (first + size - 1) div block)")
+    begin = F.expr("greatest(first, at * block)")
+    return placed.where("size > 0").withColumn("at", F.explode(at)).withColumns(
+        {"start": begin - F.col("first"), "words": F.expr("least(first + size, (at + 1) * block)") - begin}
+    )
+
+
+def spans(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mix itself: ``slot, source, block, pass, doc_id, start, words, first, tie``.
+
+    Slot by slot (ids ascend, those past a source's quota are left out) the documents whose words
+    from ``start`` on (from 0) it takes, ``words`` of them; inside a slot they go in the order of
+    ``first``, the words of the source before the document.  ``block`` is the number of the block
+    in its source.  Rows and columns are treated as by ``mixed``; documents without words have no row.
+    """
+    placed, slots = _tables(docs, mix)
+    return _cut(placed).join(slots, ["number", "at"]).select(
+        "slot", "source", F.col("at").alias("block"), "pass", "doc_id", "start", "words", "first", "tie"
     )
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``doc_id, size, source_size, target, taken, passes, tie`` of every row.
 
-    ``taken`` is the words that the mix takes from the row, repeats counted, and ``passes`` how many
-    of its first words the first, second, ... run through its source takes.  Null, empty and blank
+    ``taken`` is the words that the mix takes from the row, repeats counted: the sum over its spans.
+    ``passes`` holds for the first, second, ... run through its source the ``words`` taken, which
+    are its first ones, the ``slot`` that takes the first of them, and ``first``, its place there.
+    Null, empty and blank
     texts have size 0 and nothing taken; a null source is a source of its own; a source without
     words has target 0.  Rows that repeat an id are documents of their own.  Rows without id come
     in one place of the order.  No rows: no rows.  Other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession, "mixing")
-    sized = scratch.put(sizes(docs), "sizes")
-    wanted = scratch.put(goals(sized.groupBy("source").agg(F.sum("size").alias("source_size")), mix), "goals")
-    times = schedule(wanted, mix)
-    placed = _placed(sized, wanted)
-    blocks = F.expr("sequence(first div block, (first + size - 1) div block)")
-    parts = placed.where("size > 0").withColumn("at", F.explode(blocks)).join(times, ["number", "at"], "left")
-    overlap = F.expr("least(first + size, (at + 1) * block) - greatest(first, at * block)")
-    taken = lambda t: F.sum(F.when(F.col("times") >= t, overlap).otherwise(0))
-    runs = range(1, math.ceil(mix.most) + 1)
+    placed, slots = _tables(docs, mix)
+    parts = _cut(placed).join(slots, ["number", "at"], "left")
+    in_pass = lambda t, value: F.when(F.col("pass") == t, value)
+    taken = lambda t: F.struct(
+        F.coalesce(F.sum(in_pass(t, F.col("words"))), F.lit(0).cast("long")).alias("words"),
+        F.min(in_pass(t, F.col("slot"))).alias("slot"),
+        F.col("first"),
+    )
     row = ["number", "first", "doc_id", "tie", "size", "source_size", "target"]
+    runs = range(math.ceil(mix.most))
     full = parts.groupBy(*row).agg(F.array(*(taken(t) for t in runs)).alias("passes"))
-    none = placed.where("size = 0").select(*row, F.array(*(F.lit(0).cast("long") for _ in runs)).alias("passes"))
+    none = placed.where("size = 0").select(*row, F.array().cast(full.schema["passes"].dataType).alias("passes"))
     return full.union(none).select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        F.aggregate("passes", F.lit(0).cast("long"), lambda a, b: a + b).alias("taken"),
+        F.aggregate("passes.words", F.lit(0).cast("long"), lambda a, b: a + b).alias("taken"),
         "passes",
         "tie",
     )
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The rows of the mix with the columns of ``docs``: a row for every run through its source that
-    takes words of it, with its first words (joined by one space) where only some are taken."""
+    """The rows of the mix with the columns of ``docs``, whatever their names, in the order of the
+    schedule: a row for every run through its source that takes words of it, at the slot that takes
+    the first of them, with its first words (joined by one space) where only some are taken."""
     columns = docs.columns
     number = lambda df: df.withColumn(  # noqa: E731  rows that repeat id and text are told apart
-        "_copy", F.row_number().over(W.partitionBy("doc_id", "_tie").orderBy(F.lit(0)))
-    )
-    found = mixed(docs, mix).where("taken > 0").select("doc_id", F.col("tie").alias("_tie"), F.col("size").alias("_size"), "passes")
-    found = number(found).select(F.col("doc_id").alias("_id"), F.col("_tie").alias("_text"), F.col("_copy").alias("_nth"), "_size", F.col("passes").alias("_passes"))
-    rows = number(docs.withColumn("_tie", F.xxhash64("text")))
-    same = F.expr("doc_id <=> _id and _tie = _text and _copy = _nth")
-    rows = rows.join(found, same).withColumn("_taken", F.explode("_passes")).where("_taken > 0")
-    some = F.col("_taken") < F.col("_size")
-    words = F.regexp_extract_all("text", F.lit(WHITE), F.lit(0))
-    rows = rows.withColumn(
-        "text", F.when(some, F.array_join(F.slice(words, F.lit(1), F.col("_taken").cast("int")), " ")).otherwise(F.col("text"))
+        "nth", F.row_number().over(W.partitionBy("doc_id", "tie").orderBy(F.lit(0)))
     )
+    found = number(mixed(docs, mix).where("taken > 0")).select("doc_id", "tie", "nth", "size", "passes")
+    rows = number(docs.select("doc_id", F.xxhash64("text").alias("tie"), F.struct(*columns).alias("row")))
+    same = F.expr("d.doc_id <=> m.doc_id and d.tie = m.tie and d.nth = m.nth")
+    rows = rows.alias("d").join(found.alias("m"), same).select("row", "size", F.explode("passes").alias("run"))
+    rows = rows.where("run.words > 0").orderBy("run.slot", "run.first")
+    some, text = F.col("run.words") < F.col("size"), F.col("row.text")
+    words = F.slice(F.regexp_extract_all(text, F.lit(WHITE), F.lit(0)), F.lit(1), F.col("run.words").cast("int"))
+    new = {"text": F.when(some, F.array_join(words, " ")).otherwise(text)}
     if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(columns)
+        new["n_chars"] = F.when(some, F.length(new["text"]).cast("long")).otherwise(F.col("row.n_chars"))
+    return rows.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in columns))
