@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import mixing, registry, queries  # noqa: F401
 from millrace.llm.common import documents
@@ -92,7 +93,10 @@ def test_slots_follow_the_golden_ratio(spark):
     spans = mixing.spans(docs, SMALL).toPandas()
     owner = spans.groupby("slot").source.agg(["min", "max"])
     assert (owner["min"] == owner["max"]).all()
-    quota = owner["min"].value_counts()
+    by_source = mixing.sizes(docs).groupBy("source").agg(F.sum("size").alias("source_size"))
+    goals = mixing.goals(by_source, SMALL).toPandas().set_index("source")
+    quota = (goals.target / goals.block + 0.5).astype(int)
+    assert owner["min"].value_counts().to_dict() == quota.to_dict()
     edges, low, total = {}, 0, quota.sum()
     for s in sorted(quota.index):
         edges[s] = (low * 2**32 // total, (low + quota[s]) * 2**32 // total)
