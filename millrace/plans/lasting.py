@@ -18,8 +18,11 @@ from millrace.operators import joins
 from millrace.plans.common import events
 from millrace.plans.registry import query
 from millrace.plans.streams import KEYED, SLIDING, TUMBLING, TYPED
-from millrace.sources.tables import table_stream
+from millrace.sources.intake import Intake
+from millrace.sources.shards import append_to_shards, read_shards
+from millrace.sources.tables import table, table_stream
 from millrace.streaming import runs, stateful, timed, windows
+from millrace.streaming.marks import KeyMarks
 from millrace.streaming.published import Published, batch_key
 from millrace.streaming.redelivery import Redelivery
 
@@ -269,3 +272,65 @@ def ordered_replies(spark, sf_dir, log=None):
 @query("replies_in_order_stream", _IN_ORDER)
 def replies_in_order_stream(spark, sf_dir):
     return ordered_replies(spark, sf_dir).where(F.col("user_id").isNotNull())
+
+
+@query(
+    "late_by_user_stream",
+    """
+    SELECT event_id, user_id, coalesce(ts < top - INTERVAL 2 HOUR, FALSE) AS late FROM (
+      SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT
+             + ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 43200, event_id) AS top FROM events)
+    """,
+)
+def late_by_user_stream(spark, sf_dir):
+    # no event comes more than 12 hours after a newer one, so marks older than that are given up
+    wait = F.conv(F.substring(F.md5(F.col("event_id").cast("string")), 1, 8), 16, 10).cast("bigint")
+    came = F.unix_seconds(F.col("ts").cast("timestamp")) + wait % (DISORDER * 3600)
+    rows = events(spark, sf_dir).select("event_id", "user_id", "ts", came.alias("arrival"), came.alias("came"))
+    folder = runs.Folder.new(spark, "marks")
+    rule = KeyMarks(folder, ["user_id"], ["came", "event_id"], "ts", 2 * 3600, DISORDER * 3600, buckets=8)
+    in_slices(rows, folder, lambda stream: runs.drain(rule.writer(stream)))
+    return runs.read_batches(folder, "event_id BIGINT, user_id BIGINT, late BOOLEAN").drop("batch_id")
+
+
+@query(
+    "shard_log_stream",
+    """
+    SELECT user_id % 4 AS shard, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id
+    FROM events WHERE user_id IS NOT NULL GROUP BY ALL
+    """,
+)
+def shard_log_stream(spark, sf_dir):
+    # odd events first; the even ones are appended to the same shards and read on from there
+    folder = runs.Folder.new(spark, "shard-log")
+    rows = events(spark, sf_dir).select("event_id", "ts", (F.col("user_id") % 4).alias("of"))
+    for delivered in (1, 0):
+        log = folder.landing("log")
+        append_to_shards(rows.where(F.col("event_id") % 2 == delivered), log, "of", "event_id", 5_000)
+        stream = read_shards(spark, log, "event_id BIGINT, ts TIMESTAMP_NTZ", [0, 1, 2, 3], files=2)
+        runs.drain(folder.append_to(stream))
+    return folder.read(stream).groupBy(F.col("shard").cast("bigint").alias("shard")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")
+    )
+
+
+@query(
+    "intake_moved",
+    "SELECT lang, source, count(*) AS n_read, count(*) AS n_moved FROM documents GROUP BY lang, source",
+)
+def intake_moved(spark, sf_dir):
+    # two deliveries; rows are counted as they were read and in the folder of processed files
+    folder = runs.Folder.new(spark, "intake")
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), "lang", "source").alias("line")
+    docs = table(spark, sf_dir, "documents").select("lang", "source", line)
+    intake = Intake(spark, folder.landing("upload"), f"{folder.path}/processed", "*.txt")
+    for part in (0, 1):
+        half = docs.where(F.pmod(F.xxhash64("line"), F.lit(2)) == part)
+        half.write.mode("append").partitionBy("lang", "source").text(intake.upload)
+        intake.run(folder.append_to)
+    moved = spark.read.option("recursiveFileLookup", True).text(intake.processed).toDF("line")
+    rows = folder.read(intake.lines()).select("line", F.lit(1).alias("read")).unionByName(moved.withColumn("read", F.lit(0)))
+    fields = F.split("line", ",")
+    return rows.groupBy(fields[1].alias("lang"), fields[2].alias("source")).agg(
+        F.sum("read").alias("n_read"), F.sum(1 - F.col("read")).alias("n_moved")
+    )

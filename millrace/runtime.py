@@ -118,3 +118,30 @@ def put_file(spark: SparkSession, path: str, text: str) -> bool:
 def get_file(spark: SparkSession, path: str) -> str:
     """The text of a small file."""
     return "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+
+
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """Files of a folder and its subfolders, relative to it, sorted; none if there is no such folder."""
+    at, fs = _file_system(spark, path)
+    if not fs.exists(at):
+        return []
+    root, found, each = fs.makeQualified(at).toUri().getPath().rstrip("/"), [], fs.listFiles(at, True)
+    while each.hasNext():
+        found.append(each.next().getPath().toUri().getPath()[len(root) + 1 :])
+    return sorted(found)
+
+
+def replace_file(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a file, in place of the one that is there; folders are made as needed.
+
+    Not every file system replaces on renaming, so the old file goes first; should the job end
+    there, ``source`` is still in its place.
+    """
+    at, fs = _file_system(spark, source)
+    to = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if fs.exists(to):
+        fs.delete(to, False)
+    elif not fs.exists(to.getParent()):
+        fs.mkdirs(to.getParent())
+    if not fs.rename(at, to):
+        raise OSError(f"cannot rename {source} to {target}")
