@@ -8,8 +8,9 @@ symbols of the next round.  Labels see a few neighbours only, so equal substring
 inside, whatever their offset.  The fingerprint is the ``size`` smallest distinct names from round
 ``first`` on, and two fingerprints give an estimate of the share of phrases in common.
 
-Documents meet their successors in ranges of ids: every range also gets a copy of the first row of
-the next one, and is read in order by one task that holds a few texts at a time.
+Documents meet their successors in ranges of about equal size, cut from the sorted ids and sizes:
+every range also gets a copy of the first row of the next one, and is read in order by one task
+that holds a few texts at a time.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from millrace.llm.common import Spans, mixed
 
 ONE = np.uint64(1)
 SIZE, FIRST, BITS = 64, 2, 40
+ROW = 2048  # bytes that a row counts for beside its text
 
 
 def _lowest(x: np.ndarray) -> np.ndarray:
@@ -164,55 +166,91 @@ SCHEMA = [
 ]
 
 
-def _ranged(docs: DataFrame, range_bytes: int, most_ranges: int) -> DataFrame | None:
-    """``range, carried, doc_id, tie, text``: rows in ranges of ids, and the copies of first rows."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    if not n:
-        return None
-    ranges = min(most_ranges, 1 + size // range_bytes)
-    share = [i / ranges for i in range(1, ranges)]
-    bounds = np.unique(np.array(rows.approxQuantile("doc_id", share, 0.2 / ranges) if share else [], np.int64))
+class Cuts:
+    """First keys (id, hash of the text) of consecutive ranges, null ids first, and the ranges of rows."""
 
-    def place(ids: pa.Array) -> np.ndarray:
-        known = ids.fill_null(0).to_numpy(zero_copy_only=False)
-        return np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, known, side="right"))
+    def __init__(self, keys: list[tuple[int | None, int]]):
+        keys = sorted(set(keys), key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+        self.n = len(keys)
+        self.nulls = sum(i is None for i, _ in keys)
+        self.ids = np.array([i for i, _ in keys[self.nulls :]], np.int64)
+        self.ties = np.array([t for _, t in keys], np.int64)
 
-    def where(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(self, ids: pa.Array, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each row, and whether the row is equal to the first one of it."""
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        known = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        at, high = (np.searchsorted(self.ids, known, side) + self.nulls for side in ("left", "right"))
+        equal = ~null & (high > at)  # ids that ranges begin with, some of them in several ranges
+        for k in np.flatnonzero(equal):
+            at[k] += np.searchsorted(self.ties[at[k] : high[k]], ties[k], "right")
+        at = np.where(null, np.searchsorted(self.ties[: self.nulls], ties, "right"), at) - 1
+        same = np.zeros(len(at), bool)
+        of_known = np.flatnonzero(equal & (at >= self.nulls))
+        same[of_known] = self.ids[at[of_known] - self.nulls] == known[of_known]
+        same |= null
+        return at, same & (self.ties[at] == ties)
+
+
+def _cuts(keys: DataFrame, range_bytes: int) -> Cuts:
+    """Ranges of about ``range_bytes`` from ``doc_id, tie, size``, one key of 16 bytes each."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, filled = None, 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(place(b.column(0)).astype(np.int32)), b.column(0)], ["range", "doc_id"])
-
-    ids = rows.select("doc_id").mapInArrow(where, "range int, doc_id long")
-    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
-    starts = sorted((r.range, r["first"].doc_id) for r in ids.groupBy("range").agg(first).collect())  # at most most_ranges
-    into = {r: starts[i - 1][0] for i, (r, _) in enumerate(starts)}  # the range before; before the first, the last
-    begins = dict(starts)
+            first = []
+            columns = (b.column(c).to_pylist() for c in ("doc_id", "tie", "size"))
+            for i, (doc_id, tie, size) in enumerate(zip(*columns, strict=True)):
+                if last is None or (filled >= range_bytes and last != (doc_id, tie)):
+                    first.append(i)
+                    filled = 0
+                last = (doc_id, tie)
+                filled += size
+            yield b.select(["doc_id", "tie"]).take(pa.array(first, pa.int64()))
+
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    found = keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, "doc_id long, tie long")
+    return Cuts([(r.doc_id, r.tie) for r in found.collect()])
+
+
+def _ranged(docs: DataFrame, range_bytes: int) -> DataFrame | None:
+    """``range, carried, doc_id, tie, text``: rows in ranges of their order, and the copies of first rows."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("tie"), text.alias("text"))
+    keys = rows.select("doc_id", "tie", (F.octet_length("text") + ROW).alias("size"))
+    size = keys.agg(F.sum("size")).first()[0]
+    if size is None:
+        return None
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = _cuts(keys, min(range_bytes, size // tasks))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["range", "carried", "doc_id", "tie", "text"]
         for b in batches:
-            at = place(b.column("doc_id"))
             own = [b.column(c) for c in names[2:]]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.zeros(len(at), np.int32)), *own], names)
-            copy = [i for i, (r, x) in enumerate(zip(at.tolist(), b.column("doc_id").to_pylist(), strict=True)) if begins[r] == x]
-            if copy:
-                to = pa.array([into[r] for r in at[copy].tolist()], pa.int32())
-                yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(len(copy), np.int32)), *(c.take(pa.array(copy)) for c in own)], names)
-
-    return rows.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(
-        deal, "range int, carried int, doc_id long, tie long, text string"
-    )
+            at, first = cuts.of(own[0], own[1].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.zeros(len(at), np.int32)), *own], names)
+            if first.any():
+                before = (at[first] - 1) % cuts.n  # before the first range, the last
+                copies = [c.take(pa.array(np.flatnonzero(first))) for c in own]
+                yield pa.RecordBatch.from_arrays([pa.array(before, pa.int32()), pa.array(np.ones(len(before), np.int32)), *copies], names)
 
+    return rows.mapInArrow(deal, "range int, carried int, doc_id long, tie long, text string")
 
-def fingerprinted(docs: DataFrame, range_bytes: int = 16 << 20, most_ranges: int = 20_000) -> DataFrame:
+
+def fingerprinted(docs: DataFrame, range_bytes: int = 64 << 20) -> DataFrame:
     """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
     A null text is an empty one, whose fingerprint is empty: its likeness is 1 to an empty text and
     0 to others.  Rows go in ascending order of id, null first; rows of one id in the order of a
     hash of their text, so equal rows follow each other and are compared.  A single row follows
     itself.  No rows: no rows.  Other columns are ignored.
+
+    Ranges end within an id where it repeats (also null), so none exceeds ``range_bytes`` by more
+    than a text, but for rows equal in id and text; small tables have a range for each shuffle
+    partition.  The driver holds one key per range: 25 MB for 100 TB.
     """
-    ranged = _ranged(docs, range_bytes, most_ranges)
+    ranged = _ranged(docs, range_bytes)
     if ranged is None:
         return docs.sparkSession.createDataFrame([], ", ".join(SCHEMA))
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import phrase_prints as pp
 from millrace.llm.common import Spans, documents
@@ -100,6 +101,28 @@ def test_odd_rows(spark):
     assert one.near_next == 1.0 and one.n_chars == 3
 
 
+def test_rows_of_one_id_lie_in_many_ranges(spark):
+    rng = random.Random(5)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(300, 900)))
+    rows = [(i, text()) for i in range(200)] + [(77, text()) for _ in range(150)] + [(None, text()) for _ in range(150)]
+    rows += [(77, "equal " * 50)] * 40 + [(None, None)] * 40
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ranged = pp._ranged(df, 20_000)
+    sizes = {r["range"]: r["count"] for r in ranged.where("carried = 0").groupBy("range").count().collect()}
+    assert sum(sizes.values()) == len(rows) and len(sizes) > 25 and max(sizes.values()) < 60
+    assert ranged.where("carried = 0").groupBy("doc_id").agg(F.countDistinct("range").alias("n")).where("n > 4").count() == 2
+
+    texts = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    order = texts.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()
+    want = []
+    for i, (doc_id, own) in enumerate(order):
+        changed = pp.edited(own, order[(i + 1) % len(order)].text)
+        want.append((doc_id, len(own), hashlib.sha256(changed.encode()).hexdigest()))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in pp.fingerprinted(df, 20_000).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     got = pp.fingerprinted(spark.createDataFrame([], SCHEMA))
     assert got.count() == 0 and got.columns == [c.split()[0] for c in pp.SCHEMA]
