@@ -1,37 +1,43 @@
 """Token counts that follow edits without encoding whole texts again.
 
-A text is cut before blanks into leaves of some hundred characters.  The tokenizer never joins over
-white space, so leaves are counted one by one, and a segment tree per document holds their counts
-and the sums of its subtrees.  Trees are kept as a table.  An edit touches the leaves of the
-characters that it changes and of one more character on either side; only these regions are encoded
-again, as one piece each, and the sums above them are brought up to date.
+A text is cut into leaves of some hundred characters, before blanks and before the full-width marks
+that follow a letter.  The tokenizer never joins over these places, so leaves are counted one by
+one, and a segment tree per document holds their counts and the sums of its subtrees.  Trees are
+kept as a table.  An edit touches the leaves of the characters that it changes and of one more
+character on either side; only these regions are encoded again, the sums above them are brought up
+to date, and the new trees serve the next edits.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from millrace.llm.common import Scratch, word_encoder
 
-# Characters before which a text may be cut: white space to every tokenizer that drops it.
-BLANKS = (" ", "\n")
+# Characters before which a text may be cut.  White space to every tokenizer that drops
+# it, and marks that end a run of letters.
+BLANKS = " \n"
+MARKS = "\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+CUT = re.compile(f"[{BLANKS}]|(?<=[^\\W\\d_])[{MARKS}]")
 
 
 def leaves(text: str, leaf: int) -> list[int]:
-    """Where leaves begin: 0, then the first blank at least ``leaf`` characters after the last."""
+    """Where leaves begin: 0, then the first place to cut at least ``leaf`` characters after the last.
+
+    A run of letters without such a place is one token to be for the tokenizer, and so one leaf.
+    """
     starts = [0]
-    at = leaf
-    while at < len(text):
-        found = [x for b in BLANKS if (x := text.find(b, at)) >= 0]
-        if not found:
-            break
-        starts.append(min(found))
-        at = starts[-1] + leaf
+    while found := CUT.search(text, starts[-1] + leaf):
+        starts.append(found.start())
     return starts
 
 
@@ -54,15 +60,27 @@ def set_leaf(sums: list[int], i: int, count: int) -> None:
         at //= 2
 
 
-def apply(text: str, starts: list[int], sums: list[int], edits: list[tuple[int, int, str]], count) -> tuple[int, int, int]:
-    """Apply edits ``(at, removed, inserted)`` to the tree; ``count`` gives the tokens of a text.
+@dataclass
+class Edited:
+    """A text after edits with its tree, and the regions and characters that were encoded for it."""
+
+    text: str
+    starts: list[int]
+    sums: list[int]
+    regions: int = 0
+    encoded: int = 0
+
+
+def apply(text: str, starts: list[int], sums: list[int], edits: list[tuple[int, int, str]], count, leaf: int) -> Edited:
+    """Apply edits ``(at, removed, inserted)`` to a text and its tree; ``count`` gives the tokens of a text.
 
     Places are those of the text before.  An edit beyond the end is one at the end, and one that
-    begins inside what an earlier one removes begins after it.  Returns tokens, regions and
-    characters encoded.
+    begins inside what an earlier one removes begins after it.  A region that has grown beyond two
+    leaves is cut again.  Where the number of leaves stays, only the sums above them change;
+    otherwise sums are added up anew from the counts of the leaves, without encoding.
     """
     if not edits:
-        return sums[1], 0, 0
+        return Edited(text, starts, sums)
     n, done = len(text), 0
     regions: list[list] = []  # first leaf, last leaf, edits
     for at, removed, inserted in sorted(edits, key=lambda e: e[0]):
@@ -75,19 +93,43 @@ def apply(text: str, starts: list[int], sums: list[int], edits: list[tuple[int,
             regions[-1][2].append((at, end, inserted))
         else:
             regions.append([low, high, [(at, end, inserted)]])
-    encoded = 0
-    for low, high, changes in regions:
-        begin = starts[low]
-        stop = starts[high + 1] if high + 1 < len(starts) else n
-        pieces, at = [], begin
+
+    half = len(sums) // 2
+    counts = sums[half : half + len(starts)]
+    pieces: list[str] = []
+    new_starts: list[int] = []
+    new_counts: list[int] = []
+    out = Edited("", new_starts, sums, len(regions))
+    before, shift = 0, 0  # leaves done, and how far what follows has moved
+    for low, high, changes in [*regions, [len(starts), len(starts) - 1, []]]:
+        new_starts += [s + shift for s in starts[before:low]]
+        new_counts += counts[before:low]
+        if not changes:
+            pieces.append(text[starts[before] if before < len(starts) else n :])
+            break
+        begin, stop = starts[low], starts[high + 1] if high + 1 < len(starts) else n
+        if before < low:
+            pieces.append(text[starts[before] : begin])
+        parts, at = [], begin
         for s, e, inserted in changes:
-            pieces += [text[at:s], inserted]
+            parts += [text[at:s], inserted]
             at = e
-        piece = "".join([*pieces, text[at:stop]])
-        encoded += len(piece)
-        for i in range(low, high + 1):
-            set_leaf(sums, i, count(piece) if i == low else 0)
-    return sums[1], len(regions), encoded
+        piece = "".join([*parts, text[at:stop]])
+        inner = leaves(piece, leaf) if len(piece) > 2 * leaf else [0]
+        new_starts += [begin + shift + s for s in inner]
+        new_counts += [count(piece[s:e]) for s, e in zip(inner, [*inner[1:], len(piece)], strict=True)]
+        pieces.append(piece)
+        out.encoded += len(piece)
+        before, shift = high + 1, shift + len(piece) - (stop - begin)
+    out.text = "".join(pieces)
+    if len(new_starts) == len(starts):
+        out.sums = list(sums)
+        for i, (old, new) in enumerate(zip(counts, new_counts, strict=True)):
+            if old != new:
+                set_leaf(out.sums, i, new)
+    else:
+        out.sums = tree(new_counts)
+    return out
 
 
 def trees(docs: DataFrame, tokenizer: str, leaf: int = 512) -> DataFrame:
@@ -109,25 +151,23 @@ def trees(docs: DataFrame, tokenizer: str, leaf: int = 512) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, tie long, starts array<long>, sums array<long>")
 
 
-def recounted(docs: DataFrame, known: DataFrame, edits: DataFrame, tokenizer: str) -> DataFrame:
-    """``doc_id, tokens_before, tokens_after, n_edits, n_regions, n_encoded`` of every row of ``docs``.
-
-    ``known`` has the trees of ``docs``; ``edits`` has ``doc_id, at, removed, inserted`` with places in
-    code points.  A null text is an empty one, nulls in an edit are 0 or empty, and edits of ids that
-    are no document are ignored, as are edits and documents without id.  Rows that repeat an id get
-    its edits each.  Rows without edits keep their count.  No rows: no rows.  Other columns are
-    ignored.
-    """
+def _applied(docs: DataFrame, known: DataFrame, edits: DataFrame, tokenizer: str, leaf: int, schema: str, row) -> DataFrame:
+    """``row(doc_id, tokens before, number of edits, Edited)`` of every row, in columns ``schema``."""
     known = known.groupBy("doc_id", "tie").agg(F.min(F.struct("starts", "sums")).alias("known"))
     known = known.select(F.col("doc_id").alias("known_id"), F.col("tie").alias("known_tie"), "known")
-    one = F.struct(F.coalesce("at", F.lit(0)).cast("long").alias("at"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed"), F.coalesce("inserted", F.lit("")).alias("inserted"))
+    one = F.struct(
+        F.coalesce("at", F.lit(0)).cast("long").alias("at"),
+        F.coalesce("removed", F.lit(0)).cast("long").alias("removed"),
+        F.coalesce("inserted", F.lit("")).alias("inserted"),
+    )
     wanted = edits.where("doc_id is not null").groupBy(F.col("doc_id").alias("edited_id")).agg(F.collect_list(one).alias("edits"))
     # trees and edits meet first, so that texts are moved once
     known = known.join(wanted, F.expr("known_id = edited_id"), "left")
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").join(
         known, F.expr("doc_id <=> known_id and tie = known_tie")
     )
-    names = ["doc_id", "tokens_before", "tokens_after", "n_edits", "n_regions", "n_encoded"]
+
+    form = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer)
@@ -136,13 +176,46 @@ def recounted(docs: DataFrame, known: DataFrame, edits: DataFrame, tokenizer: st
             out = []
             for doc_id, text, known, edits in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "known", "edits")), strict=True):
                 changes = sorted((e["at"], e["removed"], e["inserted"]) for e in edits or [])
-                sums = known["sums"]
-                before = sums[1]
-                after, regions, encoded = apply(text or "", known["starts"], sums, changes, count)
-                out.append((doc_id, before, after, len(changes), regions, encoded))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)], names)
+                after = apply(text or "", known["starts"], known["sums"], changes, count, leaf)
+                out.append(row(doc_id, known["sums"][1], len(changes), after))
+            yield pa.RecordBatch.from_pylist(out, form)
+
+    return rows.select("doc_id", "text", "known", "edits").mapInArrow(run, schema)
+
+
+def recounted(docs: DataFrame, known: DataFrame, edits: DataFrame, tokenizer: str, leaf: int = 512) -> DataFrame:
+    """``doc_id, tokens_before, tokens_after, n_edits, n_regions, n_encoded`` of every row of ``docs``.
+
+    ``known`` has the trees of ``docs``; ``edits`` has ``doc_id, at, removed, inserted`` with places in
+    code points.  A null text is an empty one, nulls in an edit are 0 or empty, and edits of ids that
+    are no document are ignored, as are edits and documents without id.  Rows that repeat an id get
+    its edits each.  Rows without edits keep their count.  No rows: no rows.  Other columns are
+    ignored.
+    """
+    names = ["doc_id", "tokens_before", "tokens_after", "n_edits", "n_regions", "n_encoded"]
+
+    def row(doc_id: int | None, before: int, n_edits: int, after: Edited) -> dict:
+        return dict(zip(names, (doc_id, before, after.sums[1], n_edits, after.regions, after.encoded), strict=True))
+
+    return _applied(docs, known, edits, tokenizer, leaf, ", ".join(f"{n} long" for n in names), row)
+
+
+def edited_trees(docs: DataFrame, known: DataFrame, edits: DataFrame, tokenizer: str, leaf: int = 512) -> DataFrame:
+    """``doc_id, text, starts, sums``: the texts after the edits, and their trees, for the next edits.
+
+    Inputs and odd rows as in ``recounted``; null texts come back empty.  Write the result, and take
+    documents and ``of_edited`` from it.
+    """
+
+    def row(doc_id: int | None, before: int, n_edits: int, after: Edited) -> dict:
+        return {"doc_id": doc_id, "text": after.text, "starts": after.starts, "sums": after.sums}
+
+    return _applied(docs, known, edits, tokenizer, leaf, "doc_id long, text string, starts array<long>, sums array<long>", row)
+
 
-    return rows.select("doc_id", "text", "known", "edits").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+def of_edited(rows: DataFrame) -> DataFrame:
+    """The table of trees, as ``trees`` gives it, of a written result of ``edited_trees``."""
+    return rows.select("doc_id", F.xxhash64("text").alias("tie"), "starts", "sums")
 
 
 def edits_of(docs: DataFrame) -> DataFrame:
