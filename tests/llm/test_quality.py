@@ -1,8 +1,10 @@
 """The quality classifier: held-out accuracy, the fold rule, odd rows."""
 
+import math
 import zlib
 
 import numpy as np
+import pytest
 
 from millrace.llm import quality
 from millrace.llm.common import documents
@@ -23,6 +25,72 @@ def test_held_out_rows_are_told_apart(spark, sf_dir):
     assert (known.predicted == known.quality).mean() > 0.95
 
 
+def slow_features(text):
+    """The features of a text, counted byte by byte and word by word."""
+    text = text or b""
+    words = text.split()
+    n, size = len(words), len(text)
+    if not n:
+        return [1.0] + [0.0] * (quality.N_FEATURES - 1)
+    classes = [sum(c in v for c in text) for v in quality.CLASSES.values()] + [sum(c > 127 for c in text)]
+    kinds, lines = sorted(set(words)), text.split(b"\n")
+    shares = [text.count(bytes([c])) / size for c in set(text)]
+    return [
+        0.0,
+        *(c / size for c in classes),
+        *(min(c / n, 4.0) for c in classes),
+        *(math.sqrt(c / size) for c in classes),
+        len(kinds) / n,
+        math.log(len(kinds)) / math.log(n + 1),
+        len(kinds) / math.sqrt(n),
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
+        max(words.count(w) for w in kinds) / n,
+        len(set(lines)) / len(lines),
+        math.log(1 + n),
+        math.log(1 + size),
+        (size - n) / n,
+        math.log(1 + n / len(lines)),
+        -sum(x * math.log2(x) for x in shares),
+        sum(w.isupper() for w in kinds) / len(kinds),
+        sum(w.isalpha() for w in kinds) / len(kinds),
+        sum(len(w) > 20 for w in kinds) / len(kinds),
+    ]
+
+
+def test_every_score_of_the_table_by_hand(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels)
+    want = {}
+    for r in docs.collect():
+        x = [(f - c) / s for f, c, s in zip(slow_features(r.text and r.text.encode()), model.centre, model.scale, strict=True)]
+        z = sum(min(max(v, -8.0), 8.0) * w for v, w in zip(x, model.weights[:-1], strict=True)) + model.weights[-1]
+        want[r.doc_id] = 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
+    got = {r.doc_id: r.score for r in quality.scored(docs, labels).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
+@pytest.mark.parametrize("prior", (0.2, 0.6))
+def test_fit_reaches_the_lowest_risk(prior):
+    """Classes that overlap: the risk stays above its bound, and no step from the result lowers it."""
+    rng = np.random.default_rng(7)
+    positive = rng.normal(0.6, 1, (4000, 2))
+    n = int(prior * 4000)
+    unlabelled = np.concatenate([rng.normal(0.6, 1, (n, 2)), rng.normal(-0.6, 1, (4000 - n, 2))])
+    model = quality.fit(positive, unlabelled, prior, decay=0.0)
+
+    def risk(w):
+        zp, zu = (np.clip((x - model.centre) / model.scale, -8, 8) @ w[:-1] + w[-1] for x in (positive, unlabelled))
+        loss = lambda z: np.log1p(np.exp(-z)).mean()
+        negative = loss(-zu) - prior * loss(-zp)
+        assert negative > 0
+        return prior * loss(zp) + max(0.0, negative)
+
+    lowest = risk(model.weights)
+    for _ in range(60):
+        assert risk(model.weights + rng.normal(0, rng.choice([0.02, 0.2]), 3)) > lowest - 1e-6
+
+
 def test_held_out_labels_change_nothing(spark, sf_dir):
     docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     held = quality.held_out(labels["doc_id"])
