@@ -15,6 +15,35 @@ from pyspark.sql import DataFrame
 LANE_STEP = 7919
 
 
+class RowsFailed(Exception):
+    """Raised by a function on batches that knows its failing rows: ``rest`` is the result of the others."""
+
+    def __init__(self, rest: pd.DataFrame):
+        super().__init__("rows failed")
+        self.rest = rest
+
+
+def each_row(function: Callable[[tuple], tuple], columns: Sequence[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A function of one row (a named tuple) as one on batches; ``columns`` name what it returns.
+
+    Every row is tried by itself, so rows that fail cost no further calls, however many they are.
+    """
+
+    def on_batch(batch: pd.DataFrame) -> pd.DataFrame:
+        done, first = [], None
+        for row in batch.itertuples(index=False, name="Row"):
+            try:
+                done.append(function(row))
+            except Exception as failure:  # whatever the user's function raises
+                first = first or failure
+        rest = pd.DataFrame(done, columns=list(columns))
+        if first is not None:
+            raise RowsFailed(rest) from first
+        return rest
+
+    return on_batch
+
+
 def map_batches(
     df: DataFrame,
     function: Callable[[pd.DataFrame], pd.DataFrame],
@@ -25,12 +54,17 @@ def map_batches(
 
     It may return more or fewer rows than it gets (map, filter, flatten).  With
     ``skip_failing`` a batch for which it raises is halved until the rows that fail stand
-    alone; those are left out, and the others go on.
+    alone; those are left out, and the others go on.  That takes about one call per row where
+    many fail, so a function that can name its failing rows (``each_row``) is not called again.
     """
 
     def results(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         try:
             yield function(batch)
+        except RowsFailed as failed:
+            if not skip_failing:
+                raise failed.__cause__ or failed
+            yield failed.rest
         except Exception:  # whatever the user's function raises
             if not skip_failing:
                 raise
@@ -41,7 +75,10 @@ def map_batches(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield from results(batch)
+            # what is left of a batch goes on as one again
+            found = list(results(batch))
+            if found:
+                yield found[0] if len(found) == 1 else pd.concat(found, ignore_index=True)
 
     return df.mapInPandas(run, schema)
 

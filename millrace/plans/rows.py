@@ -166,13 +166,14 @@ def tapped_rows(spark, sf_dir):
 )
 def skip_failing_rows(spark, sf_dir):
     # a user function that raises for some rows: those are left out, the rest goes on
-    def doubled(batch):
-        if (batch["event_type"] == "error").any():
+    def doubled(row):
+        if row.event_type == "error":
             raise ValueError("not to be doubled")
-        return batch[["event_id"]].assign(doubled=batch["event_id"] * 2)
+        return row.event_id, row.event_id * 2
 
-    rows = events(spark, sf_dir).select("event_id", "event_type")
-    return user.map_batches(rows, doubled, "event_id BIGINT, doubled BIGINT", skip_failing=True)
+    rows = spread(events(spark, sf_dir).select("event_id", "event_type"))
+    each = user.each_row(doubled, ["event_id", "doubled"])
+    return user.map_batches(rows, each, "event_id BIGINT, doubled BIGINT", skip_failing=True)
 
 
 @query(

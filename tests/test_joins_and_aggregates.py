@@ -396,6 +396,38 @@ def test_rows_that_fail_are_skipped(spark):
         user.map_batches(df, strict, "v BIGINT").collect()
 
 
+def test_rows_that_fail_cost_no_further_calls(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def strict(row):
+        calls.add(1)
+        if row.v % 7 == 3:
+            raise ValueError
+        return row.v, row.v * 2
+
+    df = spark.range(0, 700, 1, 3).select(F.col("id").alias("v"))
+    each = user.each_row(strict, ["v", "doubled"])
+    kept = user.map_batches(df, each, "v BIGINT, doubled BIGINT", skip_failing=True)
+    assert sorted(map(tuple, kept.collect())) == [(v, 2 * v) for v in range(700) if v % 7 != 3]
+    assert calls.value == 700
+    with pytest.raises(PythonException, match="ValueError"):
+        user.map_batches(df, each, "v BIGINT, doubled BIGINT").collect()
+    none = user.map_batches(df.where("v % 7 = 3"), each, "v BIGINT, doubled BIGINT", skip_failing=True)
+    assert none.count() == 0
+
+
+def test_rows_left_of_a_batch_go_on_as_one(spark):
+    def strict(batch):
+        if (batch["v"] % 7 == 3).any():
+            raise ValueError
+        return batch
+
+    df = spark.range(0, 700, 1, 1).select(F.col("id").alias("v"))
+    kept = user.map_batches(df, strict, "v BIGINT", skip_failing=True)
+    sizes = kept.mapInPandas(lambda batches: (b.iloc[:0].assign(n=[]) if b.empty else b.iloc[:1].assign(n=len(b)) for b in batches), "v BIGINT, n BIGINT")
+    assert [r.n for r in sizes.collect()] == [600]
+
+
 def test_concat_keeps_the_order_of_the_inputs(spark):
     a, b = spark.createDataFrame([(5,)], "v int"), spark.createDataFrame([(1,)], "v int")
     seq = o.ordered(routing.concat(a, b), (), ["part", "v"]).add(i=o.index())
