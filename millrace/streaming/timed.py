@@ -1,15 +1,19 @@
-"""State per key with timers: sessions closed by a timer, replies matched by order.
+"""State with timers: sessions closed by a timer, replies matched by order.
 
 Both need event time with a watermark, and state stores that can hold several kinds of state
-(``stores``).  A key's state lives in one task; what is kept of a session does not grow with it.
+(``stores``).  Keys share buckets: a bucket has one timer and its state as packed tables, which are
+worked on for all its keys at once, so the calls to the state store go by the buckets and not by
+keys or rows.  A bucket's state lives in one task; what is kept of a session does not grow with it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import AbstractContextManager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +22,7 @@ from millrace.streaming.runs import setting
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BUCKETS = 64
 
 
 def stores(spark: SparkSession) -> AbstractContextManager[None]:
@@ -25,82 +30,137 @@ def stores(spark: SparkSession) -> AbstractContextManager[None]:
     return setting(spark, PROVIDER, ROCKS)
 
 
-def _ms(micros: int) -> int:
+def pack(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
+
+
+def joined(parts: Sequence[pd.DataFrame]) -> pd.DataFrame:
+    """The parts that have rows as one table; the first part if none has."""
+    full = [p for p in parts if len(p)]
+    return pd.concat(full, ignore_index=True) if full else parts[0]
+
+
+def codes_of(key: pd.Series) -> np.ndarray:
+    return pd.factorize(key, use_na_sentinel=False)[0]
+
+
+def _ms(micros):
     """The first millisecond that is not before ``micros``."""
     return -(-micros // 1000)
 
 
-def _stamp(micros: pd.Series | list[int]) -> pd.Series:
+def _stamp(micros: np.ndarray) -> pd.Series:
     return pd.to_datetime(pd.Series(micros, dtype="int64"), unit="us")
 
 
-def _keyed(stream: DataFrame, key: str, ts: str) -> DataFrame:
-    """Rows with a key and a time.  One condition over both, since a condition on the key alone
-    would be moved before the watermark, which then would not see rows without a key."""
-    return stream.where(F.when(F.col(ts).isNotNull(), F.col(key).isNotNull()))
+def _keyed(stream: DataFrame, key: str, ts: str, buckets: int) -> DataFrame:
+    """Rows with a key and a time, and their bucket.  One condition over both, since a condition on the
+    key alone would be moved before the watermark, which then would not see rows without a key."""
+    kept = stream.where(F.when(F.col(ts).isNotNull(), F.col(key).isNotNull()))
+    return kept.withColumns({"bucket": F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"), "micros": F.unix_micros(ts)})
+
+
+class _Timer:
+    """The one timer of a bucket, at the earliest of what is due in it; 0 is none."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle, self.at = handle, handle.getValueState("timer", "at BIGINT")
+
+    def get(self) -> int:
+        return self.at.get()[0] if self.at.exists() else 0
+
+    def set(self, before: int, timer: int) -> None:
+        """In place of ``before``, which is 0 if it has gone off."""
+        if before != timer:
+            if before:
+                self.handle.deleteTimer(before)
+            if timer:
+                self.handle.registerTimer(timer)
+        if timer:
+            self.at.update((timer,))
+        else:
+            self.at.clear()
+
+
+def spans_of(spans: pd.DataFrame, key: str, gap: int) -> pd.DataFrame:
+    """Spans (key, first, last, n) of which those of a key that are nearer than the gap became one."""
+    spans = spans.iloc[np.lexsort((spans["first"], codes_of(spans[key])))].reset_index(drop=True)
+    codes = codes_of(spans[key])  # now in ascending order
+    first, last = spans["first"].to_numpy(), spans["last"].to_numpy()
+    # times by their rank, so that the running maximum can start anew with every key
+    times, rank = np.unique(last, return_inverse=True)
+    reach = times[np.maximum.accumulate(codes * len(times) + rank) - codes * len(times)]
+    start = np.ones(len(spans), bool)
+    start[1:] = (codes[1:] != codes[:-1]) | (first[1:] - reach[:-1] >= gap)
+    at = np.flatnonzero(start)
+    return pd.DataFrame({
+        key: spans[key].to_numpy()[at], "first": first[at], "last": np.maximum.reduceat(last, at),
+        "n": np.add.reduceat(spans["n"].to_numpy(), at),
+    })
 
 
 class _Sessions(StatefulProcessor):
-    """Open sessions of a key as a map from their first time to their last time and rows."""
+    """Open sessions of a bucket: key, first time, last time and rows of each."""
 
     def __init__(self, key: str, gap: int):
         self.key, self.gap = key, gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "first BIGINT", "last BIGINT, n BIGINT")
+        self.open = handle.getValueState("open", "spans BINARY")
+        self.timer = _Timer(handle)
+
+    def _keep(self, spans: pd.DataFrame, before: int) -> None:
+        if len(spans):
+            self.open.update((pack(spans),))
+        else:
+            self.open.clear()
+        self.timer.set(before, _ms(int(spans["last"].min()) + self.gap) if len(spans) else 0)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = [(first, *value) for (first,), value in self.open.iterator()]
-        spans = list(held)
+        spans = [unpack(self.open.get()[0])] if self.open.exists() else []
         for part in rows:  # rows of a part become spans before they meet the open sessions
-            micros = part["micros"].dropna().astype("int64").sort_values()
-            start = micros.diff().isna() | (micros.diff() >= self.gap)
-            for _, run in micros.groupby(start.cumsum()):
-                spans.append((int(run.iloc[0]), int(run.iloc[-1]), len(run)))
-        merged: list[list[int]] = []
-        for first, last, n in sorted(spans):
-            if merged and first - merged[-1][1] < self.gap:
-                merged[-1][1] = max(merged[-1][1], last)
-                merged[-1][2] += n
-            else:
-                merged.append([first, last, n])
-        now = {first: (last, n) for first, last, n in merged}
-        for first, last, n in held:
-            if now.get(first) != (last, n):
-                self.handle.deleteTimer(_ms(last + self.gap))
-                if first not in now:
-                    self.open.removeKey((first,))
-        for first, value in now.items():
-            self.open.updateValue((first,), value)
-            self.handle.registerTimer(_ms(value[0] + self.gap))
+            if len(part):
+                micros = part["micros"].astype("int64")
+                single = pd.DataFrame({self.key: part[self.key], "first": micros, "last": micros, "n": 1})
+                spans.append(spans_of(single, self.key, self.gap))
+        if spans:
+            self._keep(spans_of(joined(spans), self.key, self.gap), self.timer.get())
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = [(first, *value) for (first,), value in self.open.iterator()]
-        done = [s for s in held if _ms(s[1] + self.gap) <= now]
-        for first, *_ in done:
-            self.open.removeKey((first,))
-        if done:
-            first, last, n = zip(*sorted(done), strict=True)
-            yield pd.DataFrame({self.key: [key[0]] * len(done), "n": n, "start_ts": _stamp(first), "end_ts": _stamp(last)})
+        spans = unpack(self.open.get()[0])
+        over = _ms(spans["last"] + self.gap) <= timerValues.getCurrentWatermarkInMs()
+        self._keep(spans[~over], 0)
+        done = spans[over].reset_index(drop=True)
+        if len(done):
+            yield pd.DataFrame({
+                self.key: done[self.key], "n": done["n"], "start_ts": _stamp(done["first"].to_numpy()),
+                "end_ts": _stamp(done["last"].to_numpy()),
+            })
 
     def close(self) -> None:
         pass
 
 
-def sessions(stream: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
+def sessions(stream: DataFrame, key: str, ts: str, gap_seconds: int, buckets: int = BUCKETS) -> DataFrame:
     """``key, n, start_ts, end_ts`` of each session, when the watermark has passed its last time by
     the gap; a gap equal to the limit starts a new session.  Rows without a time or key are
     left out.
 
     Rows may come in any order inside the watermark's delay, so a key can have several open
-    sessions, which a late row may join.  The state is one entry per open session.
+    sessions, which a late row may join.  The state has a row for each open session.
     """
     kind = stream.schema[key].dataType.simpleString()
-    rows = _keyed(stream, key, ts).select(key, ts, F.unix_micros(ts).alias("micros"))
-    return rows.groupBy(key).transformWithStateInPandas(
+    rows = _keyed(stream, key, ts, buckets).select("bucket", key, ts, "micros")
+    return rows.groupBy("bucket").transformWithStateInPandas(
         _Sessions(key, gap_seconds * 1_000_000),
         f"`{key}` {kind}, n BIGINT, start_ts TIMESTAMP, end_ts TIMESTAMP", "append", "eventTime",
     )
@@ -203,7 +263,7 @@ def match_in_order(
     reply in time comes out by a timer.  Rows without a time or channel are left out.
     """
     kind = stream.schema[channel].dataType.simpleString()
-    rows = _keyed(stream, channel, ts).select(
+    rows = _keyed(stream, channel, ts, BUCKETS).select(
         channel, ts, F.unix_micros(ts).alias("micros"), F.col(row_id).cast("bigint").alias("row_id"),
         F.coalesce(F.col(is_reply), F.lit(False)).alias("reply"),
     )

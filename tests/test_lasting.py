@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -72,6 +73,38 @@ def test_sessions_close_by_timer_while_other_keys_go_on(spark):
     assert out[3:] == [("c", 1, 31, 31), ("c", 2, 41, 50)] and after <= before
 
 
+def test_keys_share_the_state_rows_of_their_bucket(spark):
+    folder, schema = runs.Folder.new(spark, "t-buckets"), "k string, ts timestamp"
+
+    def drained(rows):
+        stream = runs.with_event_time(land(spark, folder, rows, schema), "ts", "5 seconds")
+        done = timed.sessions(stream, "k", "ts", 10, buckets=3)
+        with timed.stores(spark):
+            run = runs.drain(folder.append_to(done))
+        return folder.read(done), run.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    rows = [(f"key {k}", at(20 * n + k % 7)) for k in range(200) for n in range(3)]
+    out, kept = drained(rows)
+    assert kept <= 3 * 4  # spans, time of the timer, the timer by key and by time
+    out, kept = drained([("end", at(1000))])
+    found = sorted((r.k, r.n, seconds(r.start_ts), seconds(r.end_ts)) for r in out.collect())
+    assert found == sorted((f"key {k}", 1, 20 * n + k % 7, 20 * n + k % 7) for k in range(200) for n in range(3))
+
+
+def test_spans_nearer_than_the_gap_become_one():
+    rng = random.Random(5)
+    for _ in range(50):
+        spans = [(rng.choice("abc"), t, t + rng.randrange(9), 1) for t in (rng.randrange(100) for _ in range(rng.randrange(1, 30)))]
+        want = []
+        for k, first, last, n in sorted(spans):
+            if want and want[-1][0] == k and first - want[-1][2] < 4:
+                want[-1] = (k, want[-1][1], max(want[-1][2], last), want[-1][3] + n)
+            else:
+                want.append((k, first, last, n))
+        got = timed.spans_of(pd.DataFrame(spans, columns=["k", "first", "last", "n"]), "k", 4)
+        assert sorted(got.itertuples(index=False, name=None)) == want
+
+
 def order_rows():
     """Rows (channel, second, id, is it a reply) with early, late, missing and surplus replies."""
     rng, rows = random.Random(3), []
