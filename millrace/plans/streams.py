@@ -406,8 +406,9 @@ def keyed_fold_stream(spark, sf_dir):
 
     def step(state, batch):
         n, first, last = state
-        ids = batch["event_id"].dropna()
-        if ids.empty:
+        ids = batch["event_id"].array  # a key has few rows in a batch, so no frame is made of them
+        ids = ids[~ids.isna()].to_numpy()
+        if not len(ids):
             return state
         return n + len(ids), min(first, int(ids.min())), max(last, int(ids.max()))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from millrace.operators import latest
 from millrace.operators import ordered as o
 from millrace.operators.ordered import Ordered
 from millrace.streaming.runs import BATCH, Folder
+from millrace.streaming.timed import pack, unpack
 
 MICROS = 1_000_000
 FRESH = "_fresh"
@@ -189,43 +191,66 @@ def fold_until_idle(
     step: Callable[[tuple, pd.DataFrame], tuple],
     idle_ms: int,
     spread: int = 8,
+    buckets: int = 32,
 ) -> DataFrame:
     """A user fold per key; its result comes out when the key has been idle, and at the end.
 
     A key is idle when the watermark is ``idle_ms`` past its own newest event time.  That time
     is part of the state, so a key that goes on in a later batch starts its idle time anew.
 
-    ``step`` folds one Arrow batch of rows into the state, so a key's rows are never held
-    together.  Each key is spread over several states by a hash of ``spread_by``, so one
+    ``step`` folds the rows that a key has in one Arrow batch into its state, so a key's rows are
+    never held together.  Each key is spread over several states by a hash of ``spread_by``, so one
     heavy key does not wait for one task: the results are partial folds per (key, spread),
     to be merged by a plain aggregate.  ``step`` must not depend on the order of rows.
     The stream needs a watermark.
+
+    Keys share ``buckets``; the state of a bucket is one packed table, so that what a batch costs
+    besides the steps does not go by the keys.
     """
     key_type = stream.select(key).schema[0].dataType.simpleString()
+    names = [f.split(" ")[0] for f in state_schema.split(", ")]
+    helpers = ["_bucket", "_spread", "_ms"]
 
     def fold(
         group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            done = state.get
+        mark = state.getCurrentWatermarkMs()
+        held = unpack(state.get[0]) if state.exists else None
+        now, met = {}, []
+        if held is not None:
+            now = {k: tuple(v) for k, *v in zip(*(held[c].tolist() for c in [key, *names, "_newest"]), strict=True)}
+        for rows in () if state.hasTimedOut else batches:
+            codes, keys = pd.factorize(rows[key], use_na_sentinel=False)
+            order = codes.argsort(kind="stable")
+            newest = rows["_ms"].fillna(0).astype("int64").to_numpy()[order]
+            rows = rows.drop(columns=helpers).iloc[order]
+            ends = np.cumsum(np.bincount(codes, minlength=len(keys))).tolist()
+            keys = [None if pd.isna(k) else k for k in keys.tolist()]
+            for k, first, last in zip(keys, [0, *ends], ends, strict=False):
+                *value, latest_ms = now.get(k, (*zero, 0))
+                now[k] = (*step(tuple(value), rows.iloc[first:last]), max(latest_ms, int(newest[first:last].max())))
+            met += keys
+        met = set(met)
+        done = [k for k, v in now.items() if v[-1] + idle_ms < mark and k not in met]
+        if done:
+            columns = zip(*(now[k][:-1] for k in done), strict=True)
+            yield pd.DataFrame({key: done, **dict(zip(names, columns, strict=True))})
+        for k in done:
+            del now[k]
+        if now:
+            columns = zip(*now.values(), strict=True)
+            state.update((pack(pd.DataFrame({key: list(now), **dict(zip([*names, "_newest"], columns, strict=True))})),))
+            # a timeout must lie past the watermark
+            state.setTimeoutTimestamp(max(min(v[-1] for v in now.values()) + idle_ms, mark + 1))
+        elif state.exists:
             state.remove()
-            names = [f.split(" ")[0] for f in state_schema.split(", ")]
-            done = done[:-1]
-            yield pd.DataFrame({key: [group[0]], **{n: [v] for n, v in zip(names, done)}})
-            return
-        *value, newest = state.get if state.exists else (*zero, 0)
-        value = tuple(value)
-        for rows in batches:
-            newest = max(newest, int(rows["_ms"].fillna(0).max()))
-            value = step(value, rows.drop(columns="_ms"))
-        state.update((*value, newest))
-        # a timeout must lie past the watermark
-        state.setTimeoutTimestamp(max(newest + idle_ms, state.getCurrentWatermarkMs() + 1))
-
-    salted = stream.withColumn(
-        "_spread", F.pmod(F.xxhash64(spread_by), F.lit(spread)).cast("int")
-    ).withColumn("_ms", F.unix_millis(ts))
-    return salted.groupBy(key, "_spread").applyInPandasWithState(
-        fold, f"{key} {key_type}, {state_schema}", f"{state_schema}, _newest BIGINT", "append",
+
+    # rows without a key are apart, so that the keys of a bucket keep their type
+    bucket = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    salted = stream.withColumns({
+        "_bucket": bucket, "_spread": F.pmod(F.xxhash64(spread_by), F.lit(spread)).cast("int"), "_ms": F.unix_millis(ts),
+    })
+    return salted.groupBy("_bucket", "_spread").applyInPandasWithState(
+        fold, f"{key} {key_type}, {state_schema}", "states BINARY", "append",
         GroupStateTimeout.EventTimeTimeout,
     )

@@ -297,6 +297,31 @@ def test_idle_time_is_counted_from_the_keys_own_newest_event(spark):
     assert drained([]) == [("a", 3), ("b", 1), ("c", 2)]
 
 
+def test_folds_of_many_keys_share_states(spark):
+    folder, schema = runs.Folder.new(spark, "t-shared"), "k string, n bigint, ts timestamp"
+    marks = runs.end_marks(spark, folder, schema)
+    add = lambda state, batch: (state[0] + len(batch),)
+
+    def drained(rows):
+        whole = land(spark, folder, rows, schema).unionByName(marks)
+        stream = stateful.fold_until_idle(
+            runs.with_event_time(whole, "ts", "1 second"), "k", "ts", "n", (0,), "rows BIGINT",
+            add, idle_ms=60_000, spread=2, buckets=3,
+        )
+        run = runs.drain(folder.append_to(stream))
+        found = folder.read(stream).where("k IS NOT NULL").groupBy("k").agg(F.sum("rows").alias("n"))
+        return sorted(map(tuple, found.collect())), run.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    out, kept = drained([(f"key {k}", n, at(k)) for k in range(100) for n in range(4)])
+    assert kept <= 6
+    # keys come out by their own idle time, in a bucket where others go on
+    assert {k for k, _ in out} == {f"key {k}" for k in range(38)}
+    out, _ = drained([(f"key {k}", n, at(k + 60)) for k in range(50, 100) for n in range(4)])
+    runs.mark_end(spark, folder, schema, "ts")
+    out, _ = drained([])
+    assert out == sorted((f"key {k}", 4 if k < 50 else 8) for k in range(100))
+
+
 def test_checkpoints_live_below_the_shared_folder(spark):
     folder = runs.Folder.new(spark, "t-place")
     assert folder.checkpoint.startswith(spark.conf.get("spark.checkpoint.dir"))
