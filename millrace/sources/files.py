@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from millrace.operators import ordered as o
 
+# Objects are small and slow to put, so that tasks differ.
+TASKS_PER_CORE = 4
 ENTRY_SCHEMA = "archive STRING, name STRING, content BINARY"
 
 
@@ -41,8 +43,14 @@ def read_objects(spark: SparkSession, folder: str, pattern: str = "*") -> DataFr
 
 
 def put_text_objects(df: DataFrame, folder: str, name: str, text: str) -> None:
-    """One text object per row, in a folder of its name."""
-    df.select(name, text).write.mode("append").partitionBy(name).text(folder)
+    """One text object per row, in a folder of its name.
+
+    Rows are dealt out to all cores, and each task puts its objects in their place when it ends, as
+    single puts do; else the driver would move them one by one.  A job that fails may leave objects.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    writer = df.select(name, text).repartition(cores * TASKS_PER_CORE).write.mode("append")
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(name).text(folder)
 
 
 def _matches(spark: SparkSession, pattern: str) -> bool:

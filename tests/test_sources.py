@@ -289,6 +289,14 @@ def test_objects_put_listed_and_read(spark, tmp_path):
     assert "content" not in listing._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
+def test_objects_of_one_partition_are_put_by_many_tasks(spark, tmp_path):
+    store = str(tmp_path / "many")
+    df = spark.range(0, 60, 1, 1).select(F.col("id").alias("name"), F.lit("hello").alias("body"))
+    files.put_text_objects(df, store, "name", "body")
+    paths = [r.path for r in files.read_objects(spark, store, "*.txt").select("path").collect()]
+    assert len(paths) == 60 and len({p.split("/part-")[1][:5] for p in paths}) > 4
+
+
 @pytest.mark.parametrize("separator", ["|", ".", ";", "\t", "^", "||", "$"])
 def test_separators_are_taken_literally(spark, separator):
     df = spark.createDataFrame([(separator.join(["1", "b", "2"]),)], "line string")
