@@ -167,85 +167,84 @@ def sessions(stream: DataFrame, key: str, ts: str, gap_seconds: int, buckets: in
 
 
 class _InOrder(StatefulProcessor):
-    """Rows of a channel wait until the watermark has passed them, then are taken in their order.
+    """Rows of a bucket's channels wait until the watermark has passed them, then are taken in their order.
 
-    ``waiting`` holds rows that are not in order yet, ``asked`` the open requests and ``told`` the
-    times of replies whose request has not come, both by number; ``counts`` numbers the rows.
+    ``waiting`` has parts of rows that are not in order yet, ``asked`` the open requests and ``told``
+    the replies whose request has not come, both by number; ``counts`` numbers the rows of each channel.
     """
 
     def __init__(self, channel: str, timeout: int):
         self.channel, self.timeout = channel, timeout
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us BIGINT, is_reply INT, id BIGINT", "one INT")
-        self.asked = handle.getMapState("asked", "n BIGINT", "id BIGINT, us BIGINT")
-        self.told = handle.getMapState("told", "n BIGINT", "id BIGINT, us BIGINT")
-        self.counts = handle.getValueState("counts", "requests BIGINT, replies BIGINT, timer BIGINT")
-
-    def _wake_at(self, due: list[int], requests: int, replies: int) -> None:
-        """One timer per channel, at the next row or the next timeout."""
-        before = (self.counts.get() or (0, 0, 0))[2] if self.counts.exists() else 0
-        timer = min(due, default=0)
-        if before != timer:
-            if before:
-                self.handle.deleteTimer(before)
-            if timer:
-                self.handle.registerTimer(timer)
-        self.counts.update((requests, replies, timer))
-
-    def _numbers(self) -> tuple[int, int]:
-        return tuple(self.counts.get()[:2]) if self.counts.exists() else (0, 0)
-
-    def _due(self) -> list[int]:
-        # a row is in order once nothing of its time can come: the watermark is past it
-        rows = [_ms(us + 1) for (us, _, _), _ in self.waiting.iterator()]
-        return rows + [_ms(us + self.timeout + 1) for _, (_, us) in self.asked.iterator()]
+        self.waiting = handle.getListState("waiting", "rows BINARY")
+        self.open = handle.getValueState("open", "asked BINARY, told BINARY, counts BINARY")
+        self.timer = _Timer(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before, earliest = self.timer.get(), []
         for part in rows:
-            for us, is_reply, id_ in zip(part["micros"].tolist(), part["reply"].tolist(), part["row_id"].tolist(), strict=True):
-                self.waiting.updateValue((us, int(is_reply), id_), (1,))
-        self._wake_at(self._due(), *self._numbers())
+            if len(part):
+                self.waiting.appendValue((pack(part[[self.channel, "micros", "reply", "row_id"]]),))
+                # a row is in order once nothing of its time can come: the watermark is past it
+                earliest.append(_ms(int(part["micros"].min()) + 1))
+        if earliest:
+            self.timer.set(before, min([before or earliest[0], *earliest]))
         yield from ()
 
+    def _numbered(self, rows: pd.DataFrame, counts: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The rows in order with their number ``n`` on their side, going on from the counts, and the new counts."""
+        rows = rows.drop_duplicates().sort_values(["micros", "reply", "row_id"])
+        rows = rows.merge(counts, on=self.channel, how="left").fillna({"requests": 0, "replies": 0})
+        base = np.where(rows["reply"], rows["replies"], rows["requests"]).astype("int64")
+        rows["n"] = base + rows.groupby([self.channel, "reply"], sort=False, dropna=False).cumcount().to_numpy()
+        new = rows.groupby(self.channel, sort=False, dropna=False)["reply"].agg(["size", "sum"]).reset_index()
+        new = pd.DataFrame({self.channel: new[self.channel], "requests": new["size"] - new["sum"], "replies": new["sum"]})
+        total = joined([counts, new]).groupby(self.channel, sort=False, dropna=False).sum().astype("int64").reset_index()
+        return rows[[self.channel, "n", "row_id", "micros", "reply"]], total
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs()
-        requests, replies = self._numbers()
-        asked = {n: value for (n,), value in self.asked.iterator()}
-        told = {n: value for (n,), value in self.told.iterator()}
-        before, out = (set(asked), set(told)), []
-        ready = sorted(k for k, _ in self.waiting.iterator() if _ms(k[0] + 1) <= now)
-        for us, is_reply, id_ in ready:
-            self.waiting.removeKey((us, is_reply, id_))
-            if is_reply:
-                n, replies = replies, replies + 1
-                told[n] = (id_, us)
-            else:
-                n, requests = requests, requests + 1
-                asked[n] = (id_, us)
-            if n in asked and n in told:
-                request, reply = asked.pop(n), told.pop(n)
-                ok = 0 <= reply[1] - request[1] <= self.timeout
-                out.append((n, request[0], reply[0] if ok else None, "answered" if ok else "timeout"))
+        now, side = timerValues.getCurrentWatermarkInMs(), [self.channel, "n", "row_id", "micros"]
+        parts = [unpack(data) for (data,) in self.waiting.get()] if self.waiting.exists() else []
+        waiting = joined(parts) if parts else None
+        asked, told, counts = (unpack(data) for data in self.open.get()) if self.open.exists() else (None, None, None)
+        if waiting is not None:
+            ready = _ms(waiting["micros"] + 1) <= now
+            rows, waiting = waiting[ready], waiting[~ready]
+            if counts is None:
+                counts = rows[[self.channel]].iloc[:0].assign(requests=np.int64(0), replies=np.int64(0))
+                asked = told = rows.iloc[:0].assign(n=np.int64(0))[side]
+            if len(rows):
+                rows, counts = self._numbered(rows, counts)
+                asked = joined([asked, rows.loc[~rows["reply"], side]])
+                told = joined([told, rows.loc[rows["reply"], side]])
+                self.waiting.clear()
+                if len(waiting):
+                    self.waiting.put([(pack(waiting),)])
+        replies = told.rename(columns={"row_id": "reply_id", "micros": "reply_micros"})
+        replies["reply_id"] = replies["reply_id"].astype("Int64")
+        replies["reply_micros"] = replies["reply_micros"].astype("Int64")
+        pairs = asked.merge(replies, on=[self.channel, "n"], how="left")
+        come = pairs["reply_id"].notna().to_numpy()
         # a request whose time is over has its failure row now; its reply, if one comes, finds none
-        for n, (id_, us) in sorted(asked.items()):
-            if _ms(us + self.timeout + 1) <= now:
-                del asked[n]
-                out.append((n, id_, None, "timeout"))
-        told = {n: v for n, v in told.items() if n >= requests}
-        for state, old, new in ((self.asked, before[0], asked), (self.told, before[1], told)):
-            for n in old - new.keys():
-                state.removeKey((n,))
-            for n in new.keys() - old:
-                state.updateValue((n,), new[n])
-        self.counts.update((requests, replies, 0))
-        self._wake_at([t for t in self._due() if t > now], requests, replies)
-        if out:
-            n, request, reply, outcome = zip(*out, strict=True)
+        over = (_ms(pairs["micros"] + self.timeout + 1) <= now).to_numpy()
+        wait = (pairs["reply_micros"] - pairs["micros"]).where(come)
+        ok = ((wait >= 0) & (wait <= self.timeout)).fillna(False).to_numpy(dtype=bool)
+        left = pairs.loc[~come & ~over, side]
+        # replies are kept for requests that have not come
+        told = told.merge(counts, on=self.channel, how="left")
+        told = told.loc[told["n"] >= told["requests"], side]
+        self.open.update((pack(left), pack(told), pack(counts)))
+        due = [_ms(int(left["micros"].min()) + self.timeout + 1)] if len(left) else []
+        if waiting is not None and len(waiting):
+            due.append(_ms(int(waiting["micros"].min()) + 1))
+        self.timer.set(0, min(due, default=0))
+        out = come | over
+        if out.any():
+            done = pairs[out]
             yield pd.DataFrame({
-                self.channel: [key[0]] * len(out), "n": n, "request_id": request,
-                "reply_id": pd.array(reply, "Int64"), "outcome": outcome,
+                self.channel: done[self.channel], "n": done["n"], "request_id": done["row_id"],
+                "reply_id": done["reply_id"].where(ok[out]), "outcome": np.where(ok[out], "answered", "timeout"),
             })
 
     def close(self) -> None:
@@ -253,7 +252,7 @@ class _InOrder(StatefulProcessor):
 
 
 def match_in_order(
-    stream: DataFrame, channel: str, ts: str, row_id: str, is_reply: str, timeout_seconds: int
+    stream: DataFrame, channel: str, ts: str, row_id: str, is_reply: str, timeout_seconds: int, buckets: int = BUCKETS
 ) -> DataFrame:
     """``channel, n, request_id, reply_id, outcome`` of each request, as ``joins.match_in_order``
     finds them in the order of time, requests before replies, and id.
@@ -263,11 +262,11 @@ def match_in_order(
     reply in time comes out by a timer.  Rows without a time or channel are left out.
     """
     kind = stream.schema[channel].dataType.simpleString()
-    rows = _keyed(stream, channel, ts, BUCKETS).select(
-        channel, ts, F.unix_micros(ts).alias("micros"), F.col(row_id).cast("bigint").alias("row_id"),
+    rows = _keyed(stream, channel, ts, buckets).select(
+        "bucket", channel, ts, "micros", F.col(row_id).cast("bigint").alias("row_id"),
         F.coalesce(F.col(is_reply), F.lit(False)).alias("reply"),
     )
-    return rows.groupBy(channel).transformWithStateInPandas(
+    return rows.groupBy("bucket").transformWithStateInPandas(
         _InOrder(channel, timeout_seconds * 1_000_000),
         f"`{channel}` {kind}, n BIGINT, request_id BIGINT, reply_id BIGINT, outcome STRING", "append", "eventTime",
     )

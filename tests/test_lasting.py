@@ -156,6 +156,15 @@ def test_replies_by_order_on_a_stream(spark):
     assert 0 < sizes[-3] < sizes[-1]
 
 
+def test_channels_share_the_state_rows_of_their_bucket(spark):
+    folder, schema = runs.Folder.new(spark, "t-channels"), "channel string, ts timestamp, id long, told boolean"
+    rows = [(f"c{n % 50}", at(n), n, n >= 50) for n in range(100)]
+    stream = runs.with_event_time(land(spark, folder, rows, schema), "ts", "200 seconds")
+    with timed.stores(spark):
+        run = runs.drain(folder.append_to(timed.match_in_order(stream, "channel", "ts", "id", "told", 60, buckets=2)))
+    assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] < 50
+
+
 def test_a_reader_sees_a_batch_whole_or_not_at_all(spark):
     store = Published(spark, work_dir(spark, "t-published"))
     rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int")
